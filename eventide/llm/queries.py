@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import bpe, line_dedup, matroska, packing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_bpe_codec": bpe.op3_bpe_codec,
+    "op4_media_columns": matroska.op4_media_columns,
+    "op5_sharding": sharding.op5_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL: dict[str, str] = {
