@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialised, table
 
 #: The characters stripped from a line, and the letters lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,16 +45,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = F.transform(lines_of(F.col(text_col)), lambda x: F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit("#"), line_key(x)).alias("h2"), (F.char_length(line_key(x)) >= min_chars).alias("counts")))
-    lines = (
-        docs.select(*_document(id_col, text_col), F.posexplode(hashed).alias("pos", "line"))
-        .where("line.counts")
-        .select("line.h1", "line.h2", "doc", "version", "pos")
-        .repartitionByRange(ranges, "h1", "h2", "doc", "version")
-        .sortWithinPartitions("h1", "h2", "doc", "version", "pos")
-    )
+    keys = F.transform(lines_of(F.col(text_col)), line_key)
+    hashed = F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("#"), k).alias("h2"), (F.char_length(k) >= min_chars).alias("counts")))
+    exploded = docs.select(*_document(id_col, text_col), F.posexplode(hashed).alias("pos", "line")).where("line.counts")
+    # Four jobs read these narrow rows (two sample the ranges): hash the texts once and keep the hashes.
+    lines = materialised(exploded.select("line.h1", "line.h2", "doc", "version", "pos"), "line-hashes")
+    ranged = lines.repartitionByRange(ranges, "h1", "h2", "doc", "version").sortWithinPartitions("h1", "h2", "doc", "version", "pos")
     per_document = Window.partitionBy("h1", "h2", "doc", "version").orderBy("pos")
-    first = lines.withColumn("nth", F.row_number().over(per_document)).where("nth = 1")
+    first = ranged.withColumn("nth", F.row_number().over(per_document)).where("nth = 1")
     frequent = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
     # A frequent key can hold a large part of all lines: deal each key over 16 salts, the keys copied to every salt.
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "version"), F.lit(16)))
