@@ -70,7 +70,7 @@ NOT_ARTICLE = frozenset(
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int
     parent: "Element | None"
     dropped: bool
     main: bool
@@ -111,7 +111,8 @@ def excluded(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
 
 def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     """The elements, parents first, and the page's blocks in order."""
-    root = Element("", "", None, False, False)
+    root = Element("", 0, None, False, False)
+    paths: dict[tuple[int, str, str], int] = {}  # (path of the parent, tag, first class) -> path; long paths as strings would grow with the square of the depth
     here, blocks, everything = root, [], [root]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
@@ -202,7 +203,7 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                         break
                     e = e.parent
         out, first = excluded(tag, attrs, here.main)
-        child = Element(tag, here.path if tag in INLINE else f"{here.path}/{tag}{'.' + first if first else ''}", here, here.dropped or out, here.main or tag in MAIN or 'role="main"' in attrs)
+        child = Element(tag, here.path if tag in INLINE else paths.setdefault((here.path, tag, first), len(paths) + 1), here, here.dropped or out, here.main or tag in MAIN or 'role="main"' in attrs)
         if tag not in INLINE:
             here.children.append(child)
         elif out:
@@ -218,9 +219,9 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     return everything, blocks
 
 
-def path_ratios(blocks: list[Block]) -> dict[str, float]:
+def path_ratios(blocks: list[Block]) -> dict[int, float]:
     """Fused, smoothed ratio of each tag path."""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for b in blocks:
         t = totals.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
         t[0] += len(b.text)
@@ -230,7 +231,7 @@ def path_ratios(blocks: list[Block]) -> dict[str, float]:
     fused = {p: chars / n * (1.0 + marks / n) * (1.0 - min(1.0, linked / chars)) for p, (chars, marks, linked, n) in totals.items()}
     row = [fused[b.element.path] for b in blocks]
     half = len(KERNEL) // 2
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
         near = [(row[j], KERNEL[j - i + half]) for j in range(max(0, i - half), min(len(row), i + half + 1))]
         s = sums.setdefault(b.element.path, [0.0, 0.0])
