@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, matroska, packing, quality, sharding, token_counts
+from . import ann, bpe, html_text, line_dedup, matroska, packing, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op4_media_columns": matroska.op4_media_columns,
     "op5_sharding": sharding.op5_sharding,
+    "op6_nearest": ann.op6_nearest,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_line_dedup": line_dedup.op9_line_dedup,
