@@ -82,3 +82,24 @@ def sub_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+class RecentCache:
+    """A bounded cache in two generations: what was not used while the newer one filled up goes.
+
+    ``new`` is a plain dict for fast lookups; call :meth:`turn` between texts.
+    """
+
+    def __init__(self, entries: int) -> None:
+        self.entries, self.new, self.old = entries, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) >= self.entries:
+            self.old, self.new = self.new, {}
+
+    def older(self, key):
+        """The value from the older generation, brought over; None if there is none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.new[key] = value
+        return value

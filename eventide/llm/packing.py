@@ -11,6 +11,7 @@ cut into whole windows and a rest; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -25,14 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialised, sub_batches, table
+from .common import RecentCache, materialised, sub_batches, table
+from .token_counts import byte_alphabet
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 16
-CACHE_ENTRIES = 400_000
+#: Entries of the caches in each of two generations; longer chunks are not kept.
+CHUNKS_KEPT, WORDS_KEPT, LONG = 250_000, 400_000, 64
+#: Below this code point nothing composes, and lower case is a matter of single characters.
+LATIN = "\u0250"
+#: How the vocabulary splits lower-case text into words (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Where a text's chunks between white space can't be told from the text alone, the library takes the whole text:
 #: special strings, and separators that only one of the two treats as white space.
 WHOLE = re.compile("<\\|(?:startoftext|endoftext)\\|>|[\x1c-\x1f]")
@@ -40,38 +47,81 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordCache:
-    """Ids of texts under a vocabulary that drops white space, so that chunks between it are encoded once each."""
+    """Ids of texts under a vocabulary that drops white space, so that chunks between it are encoded once each.
+
+    Chunks of Latin script are lower-cased, split into words and merged here, with caches for chunks and for
+    words; all others, and texts with special strings, go through the library.
+    """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.ids, self.end = model["vocab"], model["end_of_word_suffix"]
+        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
+        self.letters = {v: k for k, v in byte_alphabet().items()}
+        self.words_of = regex.compile(WORDS).findall
+        self.chunks, self.words = RecentCache(CHUNKS_KEPT), RecentCache(WORDS_KEPT)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merged(self, word: str) -> bytes:
+        """Ids of one word: pairs merge by rank, the leftmost of the lowest rank first."""
+        parts = [self.letters[b] for b in word.encode()]
+        parts[-1] += self.end
+        rank, none = self.ranks.get, 1 << 60
+        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            low = min(pairs)
+            if low == none:
+                break
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
+        return np.array([self.ids[p] for p in parts], "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space."""
+        found = self.chunks.older(chunk)
+        if found is None:
+            if len(chunk) > LONG or max(chunk) >= LATIN:
+                found = self._library([chunk])[0]
+            else:
+                out = []
+                for word in self.words_of(chunk.lower()):
+                    ids = self.words.new.get(word) or self.words.older(word)
+                    if ids is None:
+                        ids = self.words.new[word] = self._merged(word)
+                    out.append(ids)
+                found = b"".join(out)
+            if len(chunk) <= LONG:
+                self.chunks.new[chunk] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if WHOLE.search(t)]
-        chunks = [t.split() for t in texts]
-        for i in whole:
-            chunks[i] = []
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = list({c for cs in chunks for c in cs if c not in known})
-        rare = {}
-        if new:
-            for c, ids in zip(new, self._encode(new), strict=True):
-                (known if len(c) <= 64 else rare)[c] = ids
-        get = known.__getitem__
-        out = [b"".join(map(get, cs)) if not rare else b"".join(known[c] if c in known else rare[c] for c in cs) for cs in chunks]
-        if whole:
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
+        out: list[bytes] = []
+        for text in texts:
+            if WHOLE.search(text):
+                out += self._library([text])
+                continue
+            self.chunks.turn()
+            self.words.turn()
+            chunks, make = text.split(), self._chunk
+            found = list(map(self.chunks.new.get, chunks))
+            if None in found:
+                found = [make(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+            out.append(b"".join(found))
         return out
 
 
