@@ -23,14 +23,15 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import RecentCache, map_texts, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Unicode White_Space (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WIDE_SPACE = re.compile(f"[{SPACE}]{{2,}}")
-CACHE_ENTRIES = 400_000
+#: Entries of the caches in each of two generations.
+CHUNKS_KEPT, WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 200_000, 800_000, 400_000
 
 
 class PrefixCounter:
@@ -51,57 +52,81 @@ class PrefixCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.vocab = {t for t in raw if self.merge(t) == [t]}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.chunks: dict[str, bytes | np.ndarray] = {}
-        self.words: dict[str, list[int]] = {}
-        self.last: dict[bytes, tuple[int, bytes]] = {}
+        self.chunks, self.words = RecentCache(CHUNKS_KEPT), RecentCache(WORDS_KEPT)
+        self.tree: dict[int, int] = {}
+        self.known = [(0, b"")]
 
     def merge(self, word: bytes) -> list[bytes]:
         """Plain merging of a short byte string, lowest rank first."""
         parts = [word[i : i + 1] for i in range(len(word))]
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best, at = min((ranks.get((parts[i], parts[i + 1]), none), i) for i in range(len(parts) - 1))
-            if best == none:
+        rank, none = self.ranks.get, 1 << 60
+        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            low = min(pairs)
+            if low == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
         return parts
 
     def stays_apart(self, left: bytes, right: bytes) -> bool:
         """Whether ``left`` and ``right`` next to each other encode as just these two tokens."""
         found = self.apart.get((left, right))
         if found is None:
-            if len(self.apart) > CACHE_ENTRIES:
+            if len(self.apart) > PAIRS_KEPT:
                 self.apart.clear()
             found = self.apart[left, right] = self.merge(left + right) == [left, right]
         return found
 
+    def _last_token(self, piece: bytes, end: int, tails: list[bytes]) -> tuple[int, bytes]:
+        """Start and bytes of the last token of ``piece[:end]``, given the last tokens of all shorter prefixes."""
+        prefix = piece[:end]
+        if end <= self.longest and prefix in self.vocab:
+            return 0, prefix
+        vocab, apart = self.vocab, self.apart
+        grown = end - 1 - len(tails[end - 1])  # most often the last token grows by a byte
+        if grown and (token := piece[grown:end]) in vocab:
+            fits = apart.get((tails[grown], token))
+            if fits or fits is None and self.stays_apart(tails[grown], token):
+                return grown, token
+        for start in range(max(1, end - self.longest), end):
+            token = piece[start:end]
+            if token in vocab:
+                fits = apart.get((tails[start], token))
+                if fits or fits is None and self.stays_apart(tails[start], token):
+                    return start, token
+        raise ValueError("the vocabulary lacks single bytes")
+
     def piece_counts(self, piece: bytes) -> list[int]:
-        """Token counts of ``piece[:1]``, ``piece[:2]``, ... by dynamic programming over prefixes."""
-        counts, lasts, size = [0], [b""], len(piece)
-        short = size <= 48
-        known, vocab, longest, apart = self.last, self.vocab, self.longest, self.apart
-        if short and len(known) > CACHE_ENTRIES:
-            known.clear()
-        for end in range(1, size + 1):
-            prefix = piece[:end]
-            hit = known.get(prefix) if short else None
-            if hit is None:
-                if end <= longest and prefix in vocab:
-                    hit = (1, prefix)
-                else:
-                    for start in range(max(1, end - longest), end):
-                        token = piece[start:end]
-                        if token in vocab:
-                            fits = apart.get((lasts[start], token))
-                            if fits is None:
-                                fits = self.stays_apart(lasts[start], token)
-                            if fits:
-                                break
-                    hit = (counts[start] + 1, token)
-                if short:
-                    known[prefix] = hit
-            counts.append(hit[0])
-            lasts.append(hit[1])
+        """Token counts of ``piece[:1]``, ``piece[:2]``, ... by dynamic programming over prefixes.
+
+        The prefixes of short pieces are nodes of a tree that all pieces share.
+        """
+        counts, tails = [0], [b""]
+        if len(piece) > 48:
+            for end in range(1, len(piece) + 1):
+                start, token = self._last_token(piece, end, tails)
+                counts.append(counts[start] + 1)
+                tails.append(token)
+            return counts[1:]
+        if len(self.tree) > PREFIXES_KEPT:
+            self.tree, self.known = {}, [(0, b"")]
+        tree, known, node = self.tree, self.known, 0
+        for end, byte in enumerate(piece, 1):
+            step = node << 8 | byte
+            node = tree.get(step)
+            if node is None:
+                start, token = self._last_token(piece, end, tails)
+                node = tree[step] = len(known)
+                known.append((counts[start] + 1, token))
+            count, token = known[node]
+            counts.append(count)
+            tails.append(token)
         return counts[1:]
 
     def _piece(self, piece: str) -> list[int]:
@@ -114,29 +139,29 @@ class PrefixCounter:
             ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
             counts = [counts[e - 1] for e in ends] + counts[-1:]
         if len(piece) <= 32:
-            if len(self.words) > CACHE_ENTRIES // 2:
-                self.words.clear()
-            self.words[piece] = counts
+            self.words.new[piece] = counts
         return counts
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Counts at every code point of a chunk."""
-        pieces, get = self.pieces(chunk), self.words.get
+        self.words.turn()
+        pieces, get, older = self.pieces(chunk), self.words.new.get, self.words.older
         if len(pieces) == 1:
-            return get(chunk) or self._piece(chunk)
+            return get(chunk) or older(chunk) or self._piece(chunk)
         out, base = [], 0
         for piece in pieces:
-            out += [base + c for c in get(piece) or self._piece(piece)]
+            out += [base + c for c in get(piece) or older(piece) or self._piece(piece)]
             base = out[-1]
         return out
 
     def _chunk(self, chunk: str) -> bytes | np.ndarray:
+        packed = self.chunks.older(chunk)
+        if packed is not None:
+            return packed
         counts = self.chunk_counts(chunk)
         packed = bytes(counts) if max(counts) < 256 else np.array(counts, np.int64)
         if len(chunk) <= 64:
-            if len(self.chunks) > CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = packed
+            self.chunks.new[chunk] = packed
         return packed
 
     def ordinary(self, text: str) -> np.ndarray:
@@ -144,7 +169,8 @@ class PrefixCounter:
         if not text:
             return np.zeros(1, np.int64)
         chunks = CHUNK.findall(text)
-        get, make = self.chunks.get, self._chunk
+        self.chunks.turn()
+        get, make = self.chunks.new.get, self._chunk
         tables = [get(c) or make(c) if len(c) <= 64 else make(c) for c in chunks]
         if all(type(t) is bytes for t in tables):
             inner = np.frombuffer(b"".join(tables), np.uint8).astype(np.int64)
