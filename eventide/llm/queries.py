@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, line_dedup, matroska, packing, quality, sharding, token_counts
+from . import ann, bpe, html_text, jaccard_join, line_dedup, matroska, packing, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op4_media_columns": matroska.op4_media_columns,
