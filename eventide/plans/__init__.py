@@ -1,0 +1,3 @@
+"""The registered queries, by subject."""
+
+from . import q_skill  # noqa: F401
