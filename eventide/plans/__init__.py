@@ -1,3 +1,4 @@
 """The registered queries, by subject."""
 
 from . import q_skill  # noqa: F401
+from . import q_screens  # noqa: F401
