@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 16
 #: Entries of the caches in each of two generations; longer chunks are not kept.
-CHUNKS_KEPT, WORDS_KEPT, LONG = 250_000, 400_000, 64
+CHUNKS_KEPT, WORDS_KEPT, LONG = 400_000, 450_000, 64
 #: Below this code point nothing composes, and lower case is a matter of single characters.
 LATIN = "\u0250"
 #: How the vocabulary splits lower-case text into words (fixed value).
@@ -88,7 +89,7 @@ class WordCache:
                 pairs[i] = rank((parts[i], parts[i + 1]), none)
             if i:
                 pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
-        return np.array([self.ids[p] for p in parts], "<u4").tobytes()
+        return struct.pack(f"<{len(parts)}I", *map(self.ids.__getitem__, parts))
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space."""
@@ -97,8 +98,14 @@ class WordCache:
             if len(chunk) > LONG or max(chunk) >= LATIN:
                 found = self._library([chunk])[0]
             else:
-                out = []
-                for word in self.words_of(chunk.lower()):
+                out, low = [], chunk.lower()
+                if low.isalpha():
+                    words = (low,)
+                elif low[-1] in ".," and low[:-1].isalpha():
+                    words = (low[:-1], low[-1])
+                else:
+                    words = self.words_of(low)
+                for word in words:
                     ids = self.words.new.get(word) or self.words.older(word)
                     if ids is None:
                         ids = self.words.new[word] = self._merged(word)
