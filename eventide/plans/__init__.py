@@ -5,3 +5,4 @@ from . import q_screens  # noqa: F401
 from . import q_joins  # noqa: F401
 from . import q_aggregates  # noqa: F401
 from . import q_grid  # noqa: F401
+from . import q_inference  # noqa: F401
