@@ -27,6 +27,8 @@ from .common import map_texts, table
 
 #: A content path's ratio is at least this share of the page's mean ratio per character.
 SHARE = 0.2
+#: The article is the deepest element with more than this share of the text on content paths.
+HOLDS = 0.6
 #: Weights of the smoothing along the page.
 KERNEL = (1.0, 2.0, 4.0, 2.0, 1.0)
 #: A block with more of its text inside links than this is a menu or a list of links.
@@ -260,7 +262,7 @@ def main_text(page: str | None) -> str:
     holder = everything[0]
     while True:
         best = max((c for c in holder.children if not c.dropped), key=lambda c: c.weight, default=None)
-        if best is None or holder.tag in MAIN or best.weight <= 0.6 * holder.weight or best.tag in TEXT_BLOCKS:
+        if best is None or holder.tag in MAIN or best.weight <= HOLDS * everything[0].weight or best.tag in TEXT_BLOCKS:
             break
         holder = best
     for e in everything:
