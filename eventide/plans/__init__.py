@@ -1,8 +1 @@
-"""The registered queries, by subject."""
-
-from . import q_skill  # noqa: F401
-from . import q_screens  # noqa: F401
-from . import q_joins  # noqa: F401
-from . import q_aggregates  # noqa: F401
-from . import q_grid  # noqa: F401
-from . import q_inference  # noqa: F401
+"""Run plans: configuration, the stacked battery, and the registered queries by subject."""

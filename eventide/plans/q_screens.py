@@ -22,18 +22,22 @@ def all_slots(spark, sf_dir):
     return screens.all_slots_present(cells(spark, sf_dir), CELL_DAY, 6).select("day", "slot", "lat", "lon", F.round("x", 6).alias("x"))
 
 
-STEPS = {"land": F.expr("lat >= 2"), "valid": F.expr("x IS NOT NULL AND y IS NOT NULL"), "low": F.expr("x < 100"), "event": F.expr("y > 500")}
+STEPS = {"land": "lat >= 2", "valid": "x IS NOT NULL AND y IS NOT NULL", "low": "x < 100", "event": "y > 500"}
+
+
+def steps():
+    return {n: F.expr(e) for n, e in STEPS.items()}
 
 
 @query("flt_step_report", f"""WITH {CELLS} SELECT UNNEST([0, 1, 2, 3, 4]) AS step_no, UNNEST(['input', 'land', 'valid', 'low', 'event']) AS step,
 UNNEST([count(*), count(*) FILTER (WHERE lat >= 2), count(*) FILTER (WHERE lat >= 2 AND x IS NOT NULL AND y IS NOT NULL), count(*) FILTER (WHERE lat >= 2 AND x < 100 AND y IS NOT NULL), count(*) FILTER (WHERE lat >= 2 AND x < 100 AND y > 500)]) AS n_rows FROM cells""")
 def report(spark, sf_dir):
-    return screens.step_report(cells(spark, sf_dir), STEPS)
+    return screens.step_report(cells(spark, sf_dir), steps())
 
 
 @query("flt_apply_screens", f"WITH {CELLS} SELECT day, slot, lat, lon, n FROM cells WHERE lat >= 2 AND x < 100 AND y > 500")
 def apply(spark, sf_dir):
-    return screens.apply_screens(cells(spark, sf_dir), STEPS).select("day", "slot", "lat", "lon", "n")
+    return screens.apply_screens(cells(spark, sf_dir), steps()).select("day", "slot", "lat", "lon", "n")
 
 
 @query("flt_until_onset", f"""WITH {CELLS}, o AS (SELECT *, min(CASE WHEN y > 2000 THEN slot END) OVER (PARTITION BY day, lat, lon) AS f FROM cells)
