@@ -11,6 +11,7 @@ cut into whole windows and a rest; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -36,7 +37,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 16
 #: Entries of the caches in each of two generations; longer chunks are not kept.
-CHUNKS_KEPT, WORDS_KEPT, LONG = 400_000, 450_000, 64
+CHUNKS_KEPT, WORDS_KEPT, LONG = 700_000, 700_000, 64
 #: Below this code point nothing composes, and lower case is a matter of single characters.
 LATIN = "\u0250"
 #: How the vocabulary splits lower-case text into words (fixed value).
@@ -63,9 +64,12 @@ class WordCache:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.ids, self.end = model["vocab"], model["end_of_word_suffix"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
-        self.letters = {v: k for k, v in byte_alphabet().items()}
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        letters = {v: k for k, v in byte_alphabet().items()}
+        self.inner, self.final = ([ids[letters[b] + e] for b in range(256)] for e in ("", end))
+        # Pair of ids -> rank and id of what they merge into, all as single integers.
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.pairs = {ids[x] << 20 | ids[y]: r << 20 | ids[x + y] for r, (x, y) in enumerate(merges)}
         self.words_of = regex.compile(WORDS).findall
         self.chunks, self.words = RecentCache(CHUNKS_KEPT), RecentCache(WORDS_KEPT)
 
@@ -74,22 +78,23 @@ class WordCache:
 
     def _merged(self, word: str) -> bytes:
         """Ids of one word: pairs merge by rank, the leftmost of the lowest rank first."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank, none = self.ranks.get, 1 << 60
-        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        raw = word.encode()
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        get, none = self.pairs.get, 1 << 60
+        pairs = [get(x << 20 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
         while pairs:
             low = min(pairs)
             if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = low & 0xFFFFF
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), none)
+                pairs[i] = get(ids[i] << 20 | ids[i + 1], none)
             if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
-        return struct.pack(f"<{len(parts)}I", *map(self.ids.__getitem__, parts))
+                pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space."""
@@ -134,7 +139,9 @@ class WordCache:
 
 @lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
-    return WordCache(path)
+    made = WordCache(path)
+    gc.freeze()  # the vocabulary lives as long as the worker; collections need not walk it
+    return made
 
 
 class OpenWindows:
