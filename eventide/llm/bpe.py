@@ -15,6 +15,7 @@ table gives an empty result; other columns are ignored.  Lone surrogates cannot
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import unicodedata
@@ -230,7 +231,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    gc.freeze()  # the vocabulary lives as long as the worker; collections need not walk it
+    return made
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:

@@ -15,6 +15,7 @@ whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
@@ -46,59 +47,55 @@ class PrefixCounter:
         as_byte = byte_alphabet()
         raw = {bytes(as_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if all(c in as_byte for c in t)}
         self.longest = max(map(len, raw))
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {tuple(bytes(as_byte[c] for c in half) for half in m): r for r, m in enumerate(merges)}
+        text_ids = spec["model"]["vocab"]
+        letters = {v: k for k, v in as_byte.items()}
+        self.single = [text_ids[letters[b]] for b in range(256)]
+        # Pair of ids -> rank and id of what they merge into, all as single integers.
+        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        self.pairs = {text_ids[x] << 20 | text_ids[y]: r << 20 | text_ids[x + y] for r, (x, y) in enumerate(merges)}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.vocab = {t for t in raw if self.merge(t) == [t]}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.vocab = {t: i for t, i in raw.items() if self.merge(t) == [i]}
+        self.apart: dict[int, bool] = {}
         self.chunks, self.words = RecentCache(CHUNKS_KEPT), RecentCache(WORDS_KEPT)
         self.tree: dict[int, int] = {}
-        self.known = [(0, b"")]
+        self.known = [(0, 0, 0)]
 
-    def merge(self, word: bytes) -> list[bytes]:
-        """Plain merging of a short byte string, lowest rank first."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        rank, none = self.ranks.get, 1 << 60
-        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+    def merge(self, word: bytes) -> list[int]:
+        """Plain merging of a short byte string, lowest rank first: the ids."""
+        ids = [self.single[b] for b in word]
+        get, none = self.pairs.get, 1 << 60
+        pairs = [get(x << 20 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
         while pairs:
             low = min(pairs)
             if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = low & 0xFFFFF
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), none)
+                pairs[i] = get(ids[i] << 20 | ids[i + 1], none)
             if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
-        return parts
-
-    def stays_apart(self, left: bytes, right: bytes) -> bool:
-        """Whether ``left`` and ``right`` next to each other encode as just these two tokens."""
-        found = self.apart.get((left, right))
-        if found is None:
-            if len(self.apart) > PAIRS_KEPT:
-                self.apart.clear()
-            found = self.apart[left, right] = self.merge(left + right) == [left, right]
+                pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return ids
+
+    def stays_apart(self, left: int, right: int, both: bytes) -> bool:
+        """Whether two tokens next to each other (``both`` are their bytes) encode as just these two."""
+        if len(self.apart) > PAIRS_KEPT:
+            self.apart.clear()
+        found = self.apart[left << 20 | right] = self.merge(both) == [left, right]
         return found
 
-    def _last_token(self, piece: bytes, end: int, tails: list[bytes]) -> tuple[int, bytes]:
-        """Start and bytes of the last token of ``piece[:end]``, given the last tokens of all shorter prefixes."""
-        prefix = piece[:end]
-        if end <= self.longest and prefix in self.vocab:
-            return 0, prefix
-        vocab, apart = self.vocab, self.apart
-        grown = end - 1 - len(tails[end - 1])  # most often the last token grows by a byte
-        if grown and (token := piece[grown:end]) in vocab:
-            fits = apart.get((tails[grown], token))
-            if fits or fits is None and self.stays_apart(tails[grown], token):
-                return grown, token
-        for start in range(max(1, end - self.longest), end):
-            token = piece[start:end]
-            if token in vocab:
-                fits = apart.get((tails[start], token))
-                if fits or fits is None and self.stays_apart(tails[start], token):
+    def _last_token(self, piece: bytes, end: int, tails: list[int], sizes: list[int]) -> tuple[int, int]:
+        """Start and id of the last token of ``piece[:end]``, given the last tokens (ids and sizes) of all shorter prefixes."""
+        vocab, apart, longest = self.vocab.get, self.apart.get, self.longest
+        if end <= longest and (token := vocab(piece[:end])) is not None:
+            return 0, token
+        grown = end - 1 - sizes[end - 1]  # most often the last token grows by a byte
+        for start in (grown, *range(max(1, end - longest), end)):
+            if start and (token := vocab(piece[start:end])) is not None:
+                fits = apart(tails[start] << 20 | token)
+                if fits or fits is None and self.stays_apart(tails[start], token, piece[start - sizes[start] : end]):
                     return start, token
         raise ValueError("the vocabulary lacks single bytes")
 
@@ -107,26 +104,28 @@ class PrefixCounter:
 
         The prefixes of short pieces are nodes of a tree that all pieces share.
         """
-        counts, tails = [0], [b""]
+        counts, tails, sizes = [0], [0], [0]
         if len(piece) > 48:
             for end in range(1, len(piece) + 1):
-                start, token = self._last_token(piece, end, tails)
+                start, token = self._last_token(piece, end, tails, sizes)
                 counts.append(counts[start] + 1)
                 tails.append(token)
+                sizes.append(end - start)
             return counts[1:]
         if len(self.tree) > PREFIXES_KEPT:
-            self.tree, self.known = {}, [(0, b"")]
+            self.tree, self.known = {}, [(0, 0, 0)]
         tree, known, node = self.tree, self.known, 0
         for end, byte in enumerate(piece, 1):
             step = node << 8 | byte
             node = tree.get(step)
             if node is None:
-                start, token = self._last_token(piece, end, tails)
+                start, token = self._last_token(piece, end, tails, sizes)
                 node = tree[step] = len(known)
-                known.append((counts[start] + 1, token))
-            count, token = known[node]
+                known.append((counts[start] + 1, token, end - start))
+            count, token, size = known[node]
             counts.append(count)
             tails.append(token)
+            sizes.append(size)
         return counts[1:]
 
     def _piece(self, piece: str) -> list[int]:
@@ -213,7 +212,9 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    made = PrefixCounter(path)
+    gc.freeze()  # the vocabulary lives as long as the worker; collections need not walk it
+    return made
 
 
 def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
