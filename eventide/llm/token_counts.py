@@ -32,7 +32,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WIDE_SPACE = re.compile(f"[{SPACE}]{{2,}}")
 #: Entries of the caches in each of two generations.
-CHUNKS_KEPT, WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 200_000, 800_000, 400_000
+CHUNKS_KEPT, WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 350_000, 400_000, 1_200_000, 400_000
 
 
 class PrefixCounter:
@@ -59,7 +59,7 @@ class PrefixCounter:
         self.apart: dict[int, bool] = {}
         self.chunks, self.words = RecentCache(CHUNKS_KEPT), RecentCache(WORDS_KEPT)
         self.tree: dict[int, int] = {}
-        self.known = [(0, 0, 0)]
+        self.known = [0]
 
     def merge(self, word: bytes) -> list[int]:
         """Plain merging of a short byte string, lowest rank first: the ids."""
@@ -92,7 +92,7 @@ class PrefixCounter:
         if end <= longest and (token := vocab(piece[:end])) is not None:
             return 0, token
         grown = end - 1 - sizes[end - 1]  # most often the last token grows by a byte
-        for start in (grown, *range(max(1, end - longest), end)):
+        for start in (grown, *range(end - 1, max(0, end - 1 - longest), -1)):
             if start and (token := vocab(piece[start:end])) is not None:
                 fits = apart(tails[start] << 20 | token)
                 if fits or fits is None and self.stays_apart(tails[start], token, piece[start - sizes[start] : end]):
@@ -113,7 +113,7 @@ class PrefixCounter:
                 sizes.append(end - start)
             return counts[1:]
         if len(self.tree) > PREFIXES_KEPT:
-            self.tree, self.known = {}, [(0, 0, 0)]
+            self.tree, self.known = {}, [0]
         tree, known, node = self.tree, self.known, 0
         for end, byte in enumerate(piece, 1):
             step = node << 8 | byte
@@ -121,14 +121,14 @@ class PrefixCounter:
             if node is None:
                 start, token = self._last_token(piece, end, tails, sizes)
                 node = tree[step] = len(known)
-                known.append((counts[start] + 1, token, end - start))
-            count, token, size = known[node]
-            counts.append(count)
-            tails.append(token)
-            sizes.append(size)
+                known.append(counts[start] + 1 << 40 | token << 8 | end - start)
+            packed = known[node]
+            counts.append(packed >> 40)
+            tails.append(packed >> 8 & 0xFFFFFFFF)
+            sizes.append(packed & 0xFF)
         return counts[1:]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> list[int] | bytes:
         """Counts at every code point of a piece."""
         raw = piece.encode("utf-8", "surrogatepass")
         counts = self.piece_counts(raw)
@@ -138,10 +138,10 @@ class PrefixCounter:
             ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
             counts = [counts[e - 1] for e in ends] + counts[-1:]
         if len(piece) <= 32:
-            self.words.new[piece] = counts
+            counts = self.words.new[piece] = bytes(counts)
         return counts
 
-    def chunk_counts(self, chunk: str) -> list[int]:
+    def chunk_counts(self, chunk: str) -> list[int] | bytes:
         """Counts at every code point of a chunk."""
         self.words.turn()
         pieces, get, older = self.pieces(chunk), self.words.new.get, self.words.older
@@ -158,7 +158,7 @@ class PrefixCounter:
         if packed is not None:
             return packed
         counts = self.chunk_counts(chunk)
-        packed = bytes(counts) if max(counts) < 256 else np.array(counts, np.int64)
+        packed = counts if type(counts) is bytes else bytes(counts) if max(counts) < 256 else np.array(counts, np.int64)
         if len(chunk) <= 64:
             self.chunks.new[chunk] = packed
         return packed
@@ -182,7 +182,7 @@ class PrefixCounter:
         table[1:] = inner + np.repeat(np.cumsum(totals) - totals, lengths)
         for run in WIDE_SPACE.finditer(text):  # a prefix that ends in white space has that whole run as one piece
             a, b = run.span()
-            table[a + 1 : b + 1] = table[a] + np.array(self.chunk_counts(text[a:b]))
+            table[a + 1 : b + 1] = table[a] + np.array(list(self.chunk_counts(text[a:b])))
         return table
 
     def table(self, text: str) -> np.ndarray:
