@@ -83,5 +83,6 @@ def kernel_shape(kernel: DataFrame, receptor: Sequence[str], weight: str, dlat:
 def mass_region(kernel: DataFrame, receptor: Sequence[str], weight: str, distance: str, share: float = 0.9) -> DataFrame:
     """Rows in order of distance until they hold a share of the receptor's mass (the row that crosses it included)."""
     w = Window.partitionBy(*receptor)
-    before = F.coalesce(F.sum(weight).over(w.orderBy(distance).rangeBetween(Window.unboundedPreceding, -1e-9)), F.lit(0.0))
+    upto = F.sum(weight).over(w.orderBy(distance).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = upto - F.sum(weight).over(Window.partitionBy(*receptor, distance))
     return kernel.withColumn("_b", before).withColumn("_t", F.sum(weight).over(w)).where(F.col("_b") < share * F.col("_t")).drop("_b", "_t")
