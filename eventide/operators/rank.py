@@ -7,11 +7,13 @@ earlier ranges (a few hundred numbers per key) are added.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges per key are as many as shuffle partitions, and at least so many.
 RANGES = 64
 
 
@@ -20,15 +22,22 @@ def value_groups(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Adds ``before_<s>`` (sum over smaller values) and ``all_<s>`` (sum over all) for each column in ``sums``."""
-    cuts = [i / ranges for i in range(1, ranges)]
-    edges = groups.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_edges"))
+    ranges = ranges or max(RANGES, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts, step = [i / ranges for i in range(1, ranges)], math.isqrt(ranges)
+    # The condition always holds; naming all sums keeps this branch's shuffle the same as the other's, so it runs once.
+    named = F.when(sum((F.col(s).cast("double") for s in sums), F.lit(0.0)) > -1e308, F.col(value))
+    edges = groups.groupBy(*keys).agg(F.percentile_approx(named, cuts, 20 * ranges).alias("_edges"))
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % step == step - 1))
     if keys:
         cut = groups.join(edges, list(keys))
     else:  # one row of at most ``ranges`` numbers
         cut = groups.crossJoin(F.broadcast(edges))
-    cut = cut.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    # The number of edges below the value: first among every step-th edge, then among the step edges that follow.
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
+    cut = cut.withColumn("_first", below("_coarse") * step)
+    cut = cut.withColumn("_range", F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, step))).drop("_edges", "_coarse", "_first")
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

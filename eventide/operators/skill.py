@@ -42,8 +42,13 @@ def gini_by_threshold(df: DataFrame, values: Sequence[str], target: str, thresho
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("predictor"), F.col(v).cast("double").alias("value")) for v in values])).alias("s"), F.col(target).alias("t")).select("s.*", "t")
     sums = {"n": F.count(F.lit(1))} | {f"e{i}": F.count_if(F.col("t") > x) for i, x in enumerate(thresholds.values())}
     groups = value_groups(stacked.where("t IS NOT NULL"), ["predictor"], "value", sums)
-    levels = F.array(*[F.struct(F.lit(float(p)).alias("pct"), F.col(f"e{i}").alias("e")) for i, p in enumerate(thresholds)])
-    return gini_of_groups(groups.select("predictor", "value", "n", F.explode(levels).alias("l")).select("predictor", "value", "n", "l.pct", "l.e"), ["predictor", "pct"], "value")
+    # All thresholds share one ranking; rows per threshold appear only in the final, tiny aggregate.
+    names = [f"e{i}" for i in range(len(thresholds))]
+    r = running_totals(groups, ["predictor"], "value", ["n", *names])
+    areas = r.groupBy("predictor").agg(F.sum("n").alias("n"), *[x for e in names for x in (F.sum(e).alias(e), F.sum(F.col("n") * (F.col(f"before_{e}") + F.col(e) / 2)).alias(f"_{e}"))])
+    levels = F.array(*[F.struct(F.lit(float(p)).alias("pct"), F.col(e).alias("n_events"), F.col(f"_{e}").alias("area")) for p, e in zip(thresholds, names, strict=True)])
+    out = areas.select("predictor", "n", F.explode(levels).alias("l")).select("predictor", "l.pct", "n", "l.n_events", "l.area")
+    return out.select("predictor", "pct", "n", "n_events", F.when(F.col("n_events") > 0, 1 - 2 * F.col("area") / (F.col("n") * F.col("n_events"))).alias("gini"))
 
 
 def capture_curve(df: DataFrame, value: str, flag: str, tie: str, bins: int = 100, keys: Sequence[str] = ()) -> DataFrame:
