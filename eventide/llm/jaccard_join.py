@@ -72,7 +72,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 class WordHashes:
     def __init__(self) -> None:
-        self.cache = RecentCache(400_000)
+        self.cache = RecentCache(150_000)
 
     def _make(self, word: str) -> int:
         h = self.cache.older(word)
