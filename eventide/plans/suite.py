@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.inference import bin_day_matrix, binned_gini, day_weights, fdr, row_replicates
 from ..operators.inversion import crossfit
 from ..operators.rank import equal_count_bins
+from ..sources.scratch import written
 from .config import Hypothesis, RunConfig, select
 
 ROW = "id string, scope string, n long, n_events long, gini double, ci_lo double, ci_hi double, p double, se_naive double, se_block double, inflation double, expected string"
@@ -27,7 +28,7 @@ def stacked(df: DataFrame, tests: Sequence[Hypothesis], strata: Mapping[str, Col
     controls = sorted({c for h in tests if cfg.run_controls for c in h.controls})
     for c in controls:
         binned = equal_count_bins(df.where(F.col(c).isNotNull()), [], c, key, cfg.control_bins, f"_bin_{c}").select(key, f"_bin_{c}")
-        df = df.join(binned, key, "left")
+        df = df.join(written(binned, "control-bins"), key, "left")
     parts = []
     for h in tests:
         x, flag = F.col(h.predictor).cast("double"), F.col(h.flag)
@@ -82,13 +83,13 @@ def estimate(pdf: pd.DataFrame, cfg: RunConfig) -> dict:
 def run(df: DataFrame, registry: Sequence[Hypothesis], strata: Mapping[str, Column], cfg: RunConfig, key: str, day: str = "day") -> DataFrame:
     """One row per test, with false discovery control over the run."""
     tests = [h for h in select(registry, cfg.hypotheses) if h.testable]
-    df = df.persist()  # read once per inverted predictor and control
+    df = written(df, "sample")  # read once per inverted predictor and control
     for h in [h for h in tests if h.invert]:
         name = f"_{h.id}"
         index = crossfit(df.select(key, day, h.predictor, h.flag), h.predictor, h.flag, day, h.invert).select(key, F.col("index").alias(name))
-        df = df.join(index, key, "left")
+        df = df.join(written(index, "index"), key, "left")
     tests = [h if not h.invert else Hypothesis(**(h.__dict__ | {"predictor": f"_{h.id}"})) for h in tests]
-    long = stacked(df, tests, strata, cfg, key, day).persist()
+    long = written(stacked(df, tests, strata, cfg, key, day), "stacked")
     matrix = bin_day_matrix(long, ["id", "scope", "expected", "control_bin"], "x", "flag", "day", "key", cfg.rank_bins)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
