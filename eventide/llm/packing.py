@@ -37,7 +37,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 16
 #: Entries of the caches in each of two generations; longer chunks are not kept.
-CHUNKS_KEPT, WORDS_KEPT, LONG = 250_000, 300_000, 64
+CHUNKS_KEPT, WORDS_KEPT, LONG = 300_000, 450_000, 64
 #: Below this code point nothing composes, and lower case is a matter of single characters.
 LATIN = "\u0250"
 #: How the vocabulary splits lower-case text into words (fixed value).
