@@ -136,6 +136,6 @@ def zero_fraction(df: DataFrame, value: Column, by: Column) -> DataFrame:
     return df.groupBy(by.alias("bin")).agg(F.avg((value == 0).cast("int")).alias("zero_fraction"), F.count(F.lit(1)).alias("n"))
 
 
-def matrix(df: DataFrame, row: str, column: str, columns: Sequence[int], value: str) -> DataFrame:
+def matrix(df: DataFrame, row: str | Sequence[str], column: str, columns: Sequence[int], value: str) -> DataFrame:
     """A pivot of fixed geometry: one column ``c<k>`` per listed key, missing cells null."""
-    return df.groupBy(row).agg(*[F.max(F.when(F.col(column) == k, F.col(value))).alias(f"c{k}") for k in columns])
+    return df.groupBy(*([row] if isinstance(row, str) else row)).agg(*[F.max(F.when(F.col(column) == k, F.col(value))).alias(f"c{k}") for k in columns])

@@ -164,6 +164,13 @@ def matrix(spark, sf_dir):
     return out.select("lat", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(4)])
 
 
+@query("agg_matrix_whole", f"WITH {DAILY} SELECT day, lat, {', '.join(f'round(max(v) FILTER (WHERE lon = {k}), 6) AS c{k}' for k in range(12))} FROM daily GROUP BY day, lat")
+def matrix_whole(spark, sf_dir):
+    """The matrix of every day over all columns."""
+    out = agg.matrix(daily(spark, sf_dir), ["day", "lat"], "lon", range(12), "v")
+    return out.select("day", "lat", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(12)])
+
+
 @query("set_union_by_name", "SELECT doc_id AS id, 'labels' AS part, quality, NULL AS lang FROM labels UNION ALL SELECT doc_id, 'documents', NULL, lang FROM documents")
 def union_by_name(spark, sf_dir):
     a = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("labels").alias("part"), "quality")

@@ -50,3 +50,12 @@ def test_rasterise_matches_brute_force(spark, users):
                     if math.hypot(j - x0 - t * (x1 - x0), i - y0 - t * (y1 - y0)) <= 0.5 + 1e-9:
                         want.add((u, i, j))
     assert {tuple(r) for r in catalog.QUERIES["grd_rasterise_whole"](spark, DATA).select("user_id", "ilat", "ilon").collect()} == want
+
+
+def test_lines_levels_and_days_are_all_there(spark):
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    assert catalog.QUERIES["jn_last_at_or_before_whole"](spark, DATA).count() == read("lineitem").count()
+    assert catalog.QUERIES["grd_level_mixing_whole"](spark, DATA).count() == 64 * read("embeddings").count()
+    m = catalog.QUERIES["agg_matrix_whole"](spark, DATA)
+    cells = {(r["day"], r["lat"], r["lon"]) for r in rows(spark, DATA).select("day", "lat", "lon").distinct().collect()}
+    assert {(r["day"], r["lat"], k) for r in m.collect() for k in range(12) if r[f"c{k}"] is not None} == cells
