@@ -4,7 +4,9 @@ A page is read into blocks of text, each with its root-to-leaf tag path.  Text l
 per path, divided by the number of the path's blocks, smoothed along the page and fused (with the share of
 text outside links) into one ratio per path; paths above a threshold that the page itself sets are content.  The element
 that holds the content paths' text is the article; its headings, paragraphs and content-path blocks make up the text.
-Elements that announce themselves as something else (menus, footers, forms, adverts, comments ...) never count.
+Elements whose tag, role or style says that they are something else (menus, footers, hidden parts ...) never count.  Names
+(advert, sidebar, comments ...) and forms only lower the ratio of the paths below them, and not where the element is the
+article itself, or holds most of the content paths' text while no other article or main has text.
 
 Inside a block white space becomes one space; blocks are joined in page order by one line feed.
 
@@ -29,6 +31,12 @@ from .common import map_texts, table
 SHARE = 0.2
 #: The article is the deepest element with more than this share of the text on content paths.
 HOLDS = 0.6
+#: An element with more than this share of the text on content paths is no advert or sidebar, whatever its name.
+MOST = 0.5
+#: Unless article and main elements elsewhere hold more than this share of all text.
+RIVAL = 0.1
+#: Factor of the ratios below an element that is named as something else.
+NAMED = 0.001
 #: Weights of the smoothing along the page.
 KERNEL = (1.0, 2.0, 4.0, 2.0, 1.0)
 #: A block with more of its text inside links than this is a menu or a list of links.
@@ -49,7 +57,7 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
-DROPPED = frozenset("head nav footer aside form menu dialog button select option fieldset object video audio canvas map".split())
+DROPPED = frozenset("head nav footer aside menu dialog button select option fieldset object video audio canvas map".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption summary".split())
 MAIN = frozenset(("article", "main"))
 RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
@@ -58,6 +66,7 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": (set(), set()), "tbody": ({"thead", "tbody"}, {"table"}), "body": ({"head"}, set()),
 }
+MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Name parts of classes and ids that mark what is not the article.
 NOT_ARTICLE = frozenset(
@@ -76,7 +85,10 @@ class Element:
     parent: "Element | None"
     dropped: bool
     main: bool
+    named: bool = False
     weight: float = 0.0
+    plain: float = 0.0  # text outside named elements, and the part of it in article and main elements
+    exposed: float = 0.0
     inside: bool = False
     children: list["Element"] = field(default_factory=list)
 
@@ -87,14 +99,16 @@ class Block:
     text: str
     linked: int
     tag: str
+    path: int
 
 
-def excluded(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
-    """(whether the element announces itself as something other than the article, its first class)."""
+def excluded(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, str]:
+    """(whether the element is something other than the article, whether only its name or a form says so, its first class)."""
     if tag in DROPPED or tag == "header" and not in_main:
-        return True, ""
+        return True, False, ""
+    named = tag == "form"
     if not attrs.strip(" /\n\t"):
-        return False, ""
+        return False, named, ""
     first = ""
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
@@ -102,19 +116,18 @@ def excluded(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
             parts = {p.lower() for p in NAME_PARTS.findall(value)}
             if name == "class" and value.split():
                 first = value.split()[0]
-            if tag not in ("html", "body") and parts & NOT_ARTICLE:
-                return True, first
+            named = named or tag not in ("html", "body") and bool(parts & NOT_ARTICLE)
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, first
+            return True, False, first
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, first
-    return False, first
+            return True, False, first
+    return False, named and tag not in MAIN and not re.search(MAIN_ROLE, attrs), first
 
 
 def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     """The elements, parents first, and the page's blocks in order."""
     root = Element("", 0, None, False, False)
-    paths: dict[tuple[int, str, str], int] = {}  # (path of the parent, tag, first class) -> path; long paths as strings would grow with the square of the depth
+    paths: dict[tuple[int, str, str, bool], int] = {}  # (path of the parent, tag, first class, named) -> path; long paths as strings would grow with the square of the depth
     here, blocks, everything = root, [], [root]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
@@ -128,7 +141,7 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                 owner = here
                 while owner.tag in INLINE and owner.parent is not None:
                     owner = owner.parent
-                blocks.append(Block(owner, text, linked, owner.tag))
+                blocks.append(Block(owner, text, linked, owner.tag, owner.path))
             parts.clear()
         linked = 0
 
@@ -204,11 +217,11 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                         close(e)
                         break
                     e = e.parent
-        out, first = excluded(tag, attrs, here.main)
-        child = Element(tag, here.path if tag in INLINE else paths.setdefault((here.path, tag, first), len(paths) + 1), here, here.dropped or out, here.main or tag in MAIN or 'role="main"' in attrs)
+        out, named, first = excluded(tag, attrs, here.main)
+        child = Element(tag, here.path if tag in INLINE else paths.setdefault((here.path, tag, first, named), len(paths) + 1), here, here.dropped or out, here.main or tag in MAIN or 'role="main"' in attrs, named)
         if tag not in INLINE:
             here.children.append(child)
-        elif out:
+        elif out or named:
             flush()
         everything.append(child)
         if attrs.rstrip().endswith("/") and tag not in INLINE:
@@ -225,23 +238,68 @@ def path_ratios(blocks: list[Block]) -> dict[int, float]:
     """Fused, smoothed ratio of each tag path."""
     totals: dict[int, list[float]] = {}
     for b in blocks:
-        t = totals.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
+        t = totals.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         t[0] += len(b.text)
         t[1] += len(PUNCTUATION.findall(b.text))
         t[2] += b.linked
         t[3] += 1
     fused = {p: chars / n * (1.0 + marks / n) * (1.0 - min(1.0, linked / chars)) for p, (chars, marks, linked, n) in totals.items()}
-    row = [fused[b.element.path] for b in blocks]
+    row = [fused[b.path] for b in blocks]
     half = len(KERNEL) // 2
     sums: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
         near = [(row[j], KERNEL[j - i + half]) for j in range(max(0, i - half), min(len(row), i + half + 1))]
-        s = sums.setdefault(b.element.path, [0.0, 0.0])
+        s = sums.setdefault(b.path, [0.0, 0.0])
         s[0] += sum(v * w for v, w in near) / sum(w for _, w in near)
         s[1] += 1
     return {p: (a / n + fused[p]) / 2 for p, (a, n) in sums.items()}
 
 
+def content_paths(blocks: list[Block], ratio: dict[int, float]) -> set[int]:
+    chars = sum(len(b.text) for b in blocks)
+    mean = sum(ratio[b.path] * len(b.text) for b in blocks) / chars
+    return {p for p, r in ratio.items() if r >= SHARE * mean and r > 0}
+
+
+def weigh(everything: list[Element], blocks: list[Block]) -> float:
+    """Gives each element the length of the blocks in it; returns that of the page."""
+    for e in everything:
+        e.weight = 0.0
+    for b in blocks:
+        b.element.weight += len(b.text)
+    for e in reversed(everything[1:]):
+        e.parent.weight += e.weight
+    return everything[0].weight
+
+
+def inherit_names(everything: list[Element], blocks: list[Block]) -> None:
+    """``named`` goes to all that lies in a named element.
+
+    An element that holds most of the content paths' text loses it first, and all do if they leave next to nothing.
+    """
+    content = content_paths(blocks, path_ratios(blocks))
+    total = weigh(everything, [b for b in blocks if b.path in content] or blocks)
+    chars = sum(len(b.text) for b in blocks)
+    for b in blocks:
+        b.element.plain += len(b.text)
+    for e in reversed(everything[1:]):
+        if e.main:
+            e.exposed = e.plain
+        if not e.named:
+            e.parent.plain += e.plain
+            e.parent.exposed += e.exposed
+    rival = everything[0].exposed  # text of article and main elements outside named ones
+    for e in everything[1:]:
+        if e.parent.named:
+            e.named = True
+        elif e.named and e.weight > MOST * total and rival <= RIVAL * chars:
+            e.named = False
+            rival += e.exposed
+    if sum(len(b.text) for b in blocks if not b.element.named) <= RIVAL * chars:  # names that leave next to nothing say nothing
+        for e in everything:
+            e.named = False
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by line feeds."""
     if not page:
@@ -250,15 +308,13 @@ def main_text(page: str | None) -> str:
     blocks = [b for b in blocks if not b.element.dropped]
     if not blocks:
         return ""
-    ratio = path_ratios(blocks)
-    chars = sum(len(b.text) for b in blocks)
-    mean = sum(ratio[b.element.path] * len(b.text) for b in blocks) / chars
-    content = {p for p, r in ratio.items() if r >= SHARE * mean and r > 0}
-    chosen = [b for b in blocks if b.element.path in content]
-    for b in chosen or blocks:
-        b.element.weight += len(b.text)
-    for e in reversed(everything[1:]):
-        e.parent.weight += e.weight
+    inherit_names(everything, blocks)
+    for b in blocks:
+        if b.element.named:
+            b.path = -b.path
+    ratio = path_ratios([b for b in blocks if b.path >= 0]) | {p: r * NAMED for p, r in path_ratios([b for b in blocks if b.path < 0]).items()}
+    content = content_paths(blocks, ratio)
+    weigh(everything, [b for b in blocks if b.path in content] or blocks)
     holder = everything[0]
     while True:
         best = max((c for c in holder.children if not c.dropped), key=lambda c: c.weight, default=None)
@@ -271,7 +327,7 @@ def main_text(page: str | None) -> str:
     for b in blocks:
         if not b.element.inside or b.linked > LINKS * len(b.text):
             continue
-        if b.element.path in content or b.tag in TEXT_BLOCKS:
+        if b.path in content or b.tag in TEXT_BLOCKS and not b.element.named:
             out.append(b.text)
     return "\n".join(out)
 

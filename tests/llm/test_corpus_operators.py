@@ -226,6 +226,29 @@ def test_page_without_article_element():
     assert text.startswith("Head\nParagraph 0") and text.count("\n") == 5 and "One" not in text and "More" not in text
 
 
+SENTENCES = [f"Sentence {i} of the text, with some words in it. And more of them, to be sure." for i in range(9)]
+BODY = "".join(f"<p>{s}</p>" for s in SENTENCES)
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><article class="post has-sidebar">{BODY}</article><div class="sidebar"><p>Recent posts, of great interest.</p></div></body>',
+    f'<body><div id="main" class="no-sidebar">{BODY}</div><div class="ad">Buy now, cheap!</div></body>',
+    f'<body><div class="widget-content">{BODY}</div></body>',
+    f'<body><form id="aspnetForm"><div class="menu"><a href=1>One</a></div><div id="x">{BODY}</div></form></body>',
+    f'<body><main><h1></h1><div class="has-sidebar">{BODY}<div class="comments"><p>Great, thanks!</p></div></div></main></body>',
+    "<body><p>" + "Home page, all rights kept. " * 2 + "</p>" + "".join(f'<section class="widget">{BODY[i * len(BODY) // 3 : (i + 1) * len(BODY) // 3]}</section>' for i in range(3)) + "</body>",
+])
+def test_names_do_not_delete_the_article(page):
+    text = html_text.main_text(page)
+    assert [s for s in SENTENCES if s not in text] == []
+    assert not any(s in text for s in ("Recent", "Buy now", "One", "Great, thanks"))
+
+
+def test_long_comments_beside_an_article_stay_out():
+    page = f'<body><article><p>{SENTENCES[0]}</p><p>{SENTENCES[1]}</p></article><div class="comments">{BODY.replace("Sentence", "Comment")}</div></body>'
+    assert html_text.main_text(page) == "\n".join(SENTENCES[:2])
+
+
 def test_deep_pages_stay_linear():
     assert html_text.main_text("<div>x. " * 20_000).count("x.") > 10_000
 
