@@ -2,8 +2,9 @@
 
 A page is read into blocks of text, each with its root-to-leaf tag path.  Text length and punctuation are aggregated
 per path, divided by the number of the path's blocks, smoothed along the page and fused (with the share of
-text outside links) into one ratio per path; paths above a threshold that the page itself sets are content.  The element
-that holds the content paths' text is the article; its headings, paragraphs and content-path blocks make up the text.
+text outside links) into one ratio per path; paths above a threshold that the page itself sets are content.  The article is the
+article or main element with most of the content paths' text, or else the deepest element with all of it and the headline; its
+headings, paragraphs and content-path blocks make up the text, without paths and lists that are mostly links.
 Elements whose tag, role or style says that they are something else (menus, footers, hidden parts ...) never count.  Names
 (advert, sidebar, comments ...) and forms only lower the ratio of the paths below them, and not where the element is the
 article itself, or holds most of the content paths' text while no other article or main has text.
@@ -29,7 +30,7 @@ from .common import map_texts, table
 
 #: A content path's ratio is at least this share of the page's mean ratio per character.
 SHARE = 0.2
-#: The article is the deepest element with more than this share of the text on content paths.
+#: An article or main element with more than this share of the text on content paths is the article.
 HOLDS = 0.6
 #: An element with more than this share of the text on content paths is no advert or sidebar, whatever its name.
 MOST = 0.5
@@ -39,7 +40,7 @@ RIVAL = 0.1
 NAMED = 0.001
 #: Weights of the smoothing along the page.
 KERNEL = (1.0, 2.0, 4.0, 2.0, 1.0)
-#: A block with more of its text inside links than this is a menu or a list of links.
+#: A list, or a path of several blocks, with more of its text inside links than this is a menu or a list of links.
 LINKS = 0.6
 
 MARKUP = re.compile(
@@ -59,6 +60,8 @@ RAW = frozenset("script style noscript template iframe textarea title xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 DROPPED = frozenset("head nav footer aside menu dialog button select option fieldset object video audio canvas map".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl".split())
 MAIN = frozenset(("article", "main"))
 RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 #: What a start tag closes when it meets it open, up to the elements in the second set.
@@ -300,6 +303,56 @@ def inherit_names(everything: list[Element], blocks: list[Block]) -> None:
             e.named = False
 
 
+def article_of(everything: list[Element], blocks: list[Block]) -> Element:
+    """The article by the weights of the elements."""
+    root = everything[0]
+    for e in everything:
+        if e.tag in MAIN and not e.dropped and not e.named and e.weight > HOLDS * root.weight:
+            return e
+    headline = next((b.element for b in blocks if b.tag == "h1" and not b.element.named), None)
+    above = set()
+    while headline is not None:
+        above.add(id(headline))
+        headline = headline.parent
+    holder = root
+    while holder.tag not in TEXT_BLOCKS:
+        best = next((c for c in holder.children if not c.dropped and c.weight >= root.weight and (not above or id(c) in above)), None)
+        if best is None or best.tag in TEXT_BLOCKS:
+            break
+        holder = best
+    return holder
+
+
+def link_lists(blocks: list[Block]) -> set[int]:
+    """Which blocks belong to lists or paths that are mostly links; headings and single paragraphs never do."""
+    groups: dict[object, list[Block]] = {}
+    lists: dict[int, int | None] = {}
+
+    def list_of(e: Element) -> int | None:
+        """The outermost list around an element."""
+        chain = []
+        while e is not None and id(e) not in lists:
+            chain.append(e)
+            e = e.parent
+        found = None if e is None else lists[id(e)]
+        for c in reversed(chain):
+            if found is None and c.tag in LISTS:
+                found = id(c)
+            lists[id(c)] = found
+        return found
+
+    for b in blocks:
+        if b.tag not in HEADINGS:
+            own = list_of(b.element)
+            groups.setdefault(("path", b.path) if own is None else ("list", own), []).append(b)
+    out = set()
+    for (kind, _), group in groups.items():
+        single = kind == "path" and len(group) == 1 and group[0].tag in TEXT_BLOCKS
+        if not single and sum(b.linked for b in group) > LINKS * sum(len(b.text) for b in group):
+            out.update(map(id, group))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by line feeds."""
     if not page:
@@ -315,21 +368,12 @@ def main_text(page: str | None) -> str:
     ratio = path_ratios([b for b in blocks if b.path >= 0]) | {p: r * NAMED for p, r in path_ratios([b for b in blocks if b.path < 0]).items()}
     content = content_paths(blocks, ratio)
     weigh(everything, [b for b in blocks if b.path in content] or blocks)
-    holder = everything[0]
-    while True:
-        best = max((c for c in holder.children if not c.dropped), key=lambda c: c.weight, default=None)
-        if best is None or holder.tag in MAIN or best.weight <= HOLDS * everything[0].weight or best.tag in TEXT_BLOCKS:
-            break
-        holder = best
+    holder = article_of(everything, blocks)
     for e in everything:
         e.inside = e is holder or e.parent is not None and e.parent.inside
-    out = []
-    for b in blocks:
-        if not b.element.inside or b.linked > LINKS * len(b.text):
-            continue
-        if b.path in content or b.tag in TEXT_BLOCKS and not b.element.named:
-            out.append(b.text)
-    return "\n".join(out)
+    blocks = [b for b in blocks if b.element.inside]
+    menus = link_lists(blocks)
+    return "\n".join(b.text for b in blocks if (b.path in content or b.tag in TEXT_BLOCKS and not b.element.named) and id(b) not in menus)
 
 
 def extract(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:

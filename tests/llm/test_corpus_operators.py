@@ -249,6 +249,20 @@ def test_long_comments_beside_an_article_stay_out():
     assert html_text.main_text(page) == "\n".join(SENTENCES[:2])
 
 
+def test_second_section_and_headline_beside_the_body_stay():
+    cut = 7 * len(BODY) // 9
+    page = f'<body><div class="menu"><a href=1>One</a></div><div id=content><div class=sec>{BODY[:cut]}</div><div class=sec><h2>More</h2>{BODY[cut:]}</div></div></body>'
+    assert html_text.main_text(page) == "\n".join([*SENTENCES[:7], "More", *SENTENCES[7:]])
+    page = f'<body><div id=page><div class=top><h1>The headline</h1></div><div class=body>{BODY}</div></div></body>'
+    assert html_text.main_text(page) == "\n".join(["The headline", *SENTENCES])
+
+
+def test_links_count_by_paths_and_lists():
+    page = f"""<body><article><h1><a href=1>The headline</a></h1>{BODY}<ul><li><a href=2>A linked item</a><li>An item of plain words, a good deal longer</ul>
+    <p class=source><a href=3>Source</a></p><ul><li><a href=4>Share this</a><li><a href=5>Print this</a></ul><div class=more><a href=6>Next page</a></div></article></body>"""
+    assert html_text.main_text(page) == "\n".join(["The headline", *SENTENCES, "A linked item", "An item of plain words, a good deal longer", "Source"])
+
+
 def test_deep_pages_stay_linear():
     assert html_text.main_text("<div>x. " * 20_000).count("x.") > 10_000
 
