@@ -6,8 +6,10 @@ prefix with its own string, then all trees ascend together, one bit at a time, u
 candidates as asked for; these are compared exactly, in double precision.  Queries are dealt into blocks as well, and
 every query block meets every index block once; the best of all blocks are merged by rank.
 
-Nearness is the largest inner product.  Vectors are lifted by one coordinate to a common length, so that the
-angle between lifted vectors orders like the inner product also where lengths differ.
+Nearness is the largest inner product.  Inside a block the rows are dealt into bands of similar length, each with a forest
+of its own, from the longest down; the vectors of a band are lifted by one coordinate to the length of its longest, so that the
+angle between lifted vectors orders like the inner product.  Small bands are compared whole.  A band whose longest vector
+cannot reach the k-th best product found so far cannot hold any of the k best, and is passed over.
 
 ``MINIMUM + SHARE * rows`` candidates are asked for.  The share is set for data without any structure (the nearest of
 random directions in 64 dimensions), where 0.9 of the true neighbours need about two fifths of all rows in 64 trees;
@@ -32,6 +34,8 @@ from .common import materialised, table
 TREES, BITS = 64, 32
 MINIMUM, SHARE = 2000, 0.4
 INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Lengths of a band differ by at most this factor; a band of fewer rows is compared whole.
+BAND, WHOLE = 1.25, 256
 K = 20
 SEED = 20_240_501
 FOUND = "query_id long, vec_id long, score double"
@@ -95,23 +99,51 @@ def inner(x: np.ndarray, q: np.ndarray) -> list[float]:
     return [math.fsum(row) for row in (x * q).tolist()]
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, wanted: int, longest: float, directions: np.ndarray) -> list[tuple[int, int, float]]:
-    """The k best of one block for each query: candidates from the forest, then exact products."""
-    forest = Forest(lift(x, longest), directions)
+def bands(lengths: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows of each band, the longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    down, out, at = -lengths[order], [], 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(down, down[at] / BAND, side="right")))
+        out.append(np.sort(order[at:end]))
+        at = end
+    return out
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, directions: np.ndarray) -> list[tuple[int, int, float]]:
+    """The k best of one block for each query: a share of each band as candidates from its forest, then exact products."""
+    lengths, asked_lengths = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1)
     asked = strings(np.hstack([queries, np.zeros((len(queries), 1))]), directions)
+    found: list[list[np.ndarray]] = [[] for _ in queries]
+    best: list[np.ndarray] = [np.zeros(0) for _ in queries]  # the k largest products so far
+    for band in bands(lengths):
+        longest = lengths[band].max()
+        open_ = np.array([q for q in range(len(queries)) if len(best[q]) < k or longest * asked_lengths[q] * (1 + 1e-9) >= best[q].min()], dtype=int)
+        if not len(open_):
+            break  # the bands that follow are shorter still
+        wanted = math.ceil(share * len(band))
+        if len(band) < WHOLE or wanted >= len(band):
+            picks = (np.arange(len(band)) for _ in open_)
+        else:
+            picks = Forest(lift(x[band], longest), directions).candidates(asked[:, open_], wanted)
+        for q, rows in zip(open_, picks, strict=True):
+            rows = band[rows]
+            rows = rows[ids[rows] != query_ids[q]]
+            if len(rows):
+                found[q].append(rows)
+                near = np.concatenate([best[q], x[rows] @ queries[q]])
+                best[q] = np.partition(near, len(near) - k)[len(near) - k :] if len(near) > k else near
     out = []
-    for q, rows in enumerate(forest.candidates(asked, wanted)):
-        rows = rows[ids[rows] != query_ids[q]]
-        if not len(rows):
+    for q, parts in enumerate(found):
+        if not parts:
             continue
+        rows = np.concatenate(parts)
         near = x[rows] @ queries[q]
         if len(rows) > k:  # what rounding could put among the best is compared exactly
             edge = np.partition(near, len(near) - k)[len(near) - k]
-            slack = 1e-12 * longest * np.linalg.norm(queries[q])
-            keep = near >= edge - slack
-            rows = rows[keep]
-        best = sorted(zip((-s for s in inner(x[rows], queries[q])), ids[rows].tolist(), strict=True))[:k]
-        out += [(int(query_ids[q]), i, -s) for s, i in best]
+            rows = rows[near >= edge - 1e-12 * lengths.max() * asked_lengths[q]]
+        top = sorted(zip((-s for s in inner(x[rows], queries[q])), ids[rows].tolist(), strict=True))[:k]
+        out += [(int(query_ids[q]), i, -s) for s, i in top]
     return out
 
 
@@ -127,13 +159,12 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that ``is_query`` selects (a Column over ``vec_id``)."""
     spark = df.sparkSession
     vectors = materialised(valid_vectors(df, id_col, vec_col), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.count_if(is_query).alias("queries")).orderBy(F.desc("n"), "dim").first()
+    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("queries")).orderBy(F.desc("n"), "dim").first()
     if sizes is None or not sizes["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, longest = sizes["dim"], sizes["n"], sizes["longest"]
+    dim, n = sizes["dim"], sizes["n"]
     blocks, query_blocks = -(-n // INDEX_BLOCK), -(-sizes["queries"] // QUERY_BLOCK)
-    wanted = minimum + share * n
+    part = (minimum + share * n) / n
     usable = vectors.where(F.size("v") == dim)
 
     def dealt(rows: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
@@ -147,8 +178,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         rows, asked = rows.sort_values("vec_id", kind="stable"), asked.sort_values("vec_id", kind="stable")
-        part = math.ceil(wanted * len(rows) / n)
-        found = search_block(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), k, part, longest, planes(dim + 1))
+        found = search_block(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), k, part, planes(dim + 1))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
 
     found = index.groupBy("iblock", "qblock").cogroup(queries.groupBy("iblock", "qblock")).applyInPandas(search, FOUND)

@@ -134,6 +134,21 @@ def test_recall_of_random_vectors(spark):
     assert np.mean([len(set(found[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["lognormal", "one long"])
+def test_recall_where_lengths_differ(spark, lengths):
+    rng, n = np.random.default_rng(4), 20_000
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.lognormal(0, 1, (n, 1)) if lengths == "lognormal" else np.where(np.arange(n) == 7, 10.0, 1.0)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    recalls = []
+    for q, g in ann.nearest(df, F.col("vec_id") % 400 == 0).toPandas().groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recalls.append(len(set(g["vec_id"]) & set(np.argsort(-s)[:20])) / 20)
+    assert len(recalls) == 50 and np.mean(recalls) >= 0.96 and min(recalls) >= 0.7
+
+
 def test_ties_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, [inf, 0.0]), (9, [1.0]), (None, [9.0, 9.0]), (1, [1.0, 0.0]), (20, [0.0, -0.0]), (40, [-1.0, 0.0])]
