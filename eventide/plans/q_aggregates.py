@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import aggregates as agg
-from ..operators import windows
+from ..operators import rank, windows
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
 
 CELL_DAY = ["day", "lat", "lon"]
@@ -215,8 +215,11 @@ def first_per_group(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_id", "event_id").alias("event_id"))
 
 
-@query("top_covering_head", f"""WITH {ROWS}, s AS (SELECT user_id, sum(CAST(round(target * 100) AS BIGINT)) AS c FROM rows GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY c DESC, user_id) - c AS before, sum(c) OVER () AS total, row_number() OVER (ORDER BY c DESC, user_id) AS k FROM s)
-SELECT user_id, CAST(c AS BIGINT) AS c FROM r WHERE before < 0.3 * total AND k <= 50""")
+COVERING_HEAD = f"""WITH {ROWS}, s AS (SELECT user_id, sum(CAST(round(target * 100) AS BIGINT)) AS c FROM rows GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY c DESC, user_id) - c AS before, sum(c) OVER () AS total, row_number() OVER (ORDER BY c DESC, user_id) AS k FROM s)
+SELECT user_id, CAST(c AS BIGINT) AS c FROM r WHERE before < 0.3 * total AND k <= 50"""
+
+
+@query("top_covering_head", COVERING_HEAD)
 def covering_head(spark, sf_dir):
     """The smallest head of a ranking that covers a share of the total, at most 50 rows: only the head is ever sorted in one place."""
     s = rows(spark, sf_dir).groupBy("user_id").agg(F.sum(F.round(F.col("target") * 100).cast("long")).alias("c"))
@@ -226,6 +229,16 @@ def covering_head(spark, sf_dir):
     return head.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).crossJoin(F.broadcast(total)).where(F.col("before") < 0.3 * F.col("total")).select("user_id", "c")
 
 
+@query("top_covering_head_whole", COVERING_HEAD.replace(" AND k <= 50", ""))
+def covering_head_whole(spark, sf_dir):
+    """The smallest head that covers the share, however long: running sums over ranges of totals, then among users of equal totals."""
+    s = rows(spark, sf_dir).groupBy("user_id").agg(F.sum(F.round(F.col("target") * 100).cast("long")).alias("c")).withColumn("down", -F.col("c"))
+    sums = rank.running_totals(rank.value_groups(s, [], "down", {"t": F.sum("c")}), [], "down", ["t"])
+    w = Window.partitionBy("down").orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)
+    head = s.join(sums.where(F.col("before_t") < 0.3 * F.col("all_t")).select("down", "before_t", "all_t"), "down")
+    return head.withColumn("ties", F.coalesce(F.sum("c").over(w), F.lit(0))).where(F.col("before_t") + F.col("ties") < 0.3 * F.col("all_t")).select("user_id", "c")
+
+
 @query("top_evenly_spaced", f"WITH {ROWS}, d AS (SELECT DISTINCT day FROM rows), n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM d) SELECT day FROM n WHERE i % greatest(1, n // 10) = 0")
 def evenly_spaced(spark, sf_dir):
     """About ten steps over the days, whose number does not grow with the rows."""

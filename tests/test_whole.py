@@ -59,3 +59,17 @@ def test_lines_levels_and_days_are_all_there(spark):
     m = catalog.QUERIES["agg_matrix_whole"](spark, DATA)
     cells = {(r["day"], r["lat"], r["lon"]) for r in rows(spark, DATA).select("day", "lat", "lon").distinct().collect()}
     assert {(r["day"], r["lat"], k) for r in m.collect() for k in range(12) if r[f"c{k}"] is not None} == cells
+
+
+def test_covering_head_covers_its_share_beyond_fifty_rows(spark, tmp_path):
+    events = [(i, i, f'{{"k": {1 + i % 3}}}') for i in range(400)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, props string").selectExpr("event_id", "timestamp'2024-01-10' AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "props")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    ordered = sorted(((100 * (1 + i % 3), i) for i in range(400)), key=lambda r: (-r[0], r[1]))
+    total, before, want = sum(c for c, _ in ordered), 0, []
+    for c, u in ordered:
+        if before < 0.3 * total:
+            want.append((u, c))
+        before += c
+    assert len(want) > 50
+    assert sorted(map(tuple, catalog.QUERIES["top_covering_head_whole"](spark, str(tmp_path)).collect())) == sorted(want)
