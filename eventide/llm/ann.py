@@ -1,28 +1,28 @@
 """Operator 6: approximate nearest neighbours with a hash-prefix forest.
 
-The index rows are dealt into blocks of bounded size.  Each block holds a forest: per tree one array of long hash
-strings (signs of random projections), sorted.  A query descends in every tree to the range that shares the longest
-prefix with its own string, then all trees ascend together, one bit at a time, until the ranges hold as many different
-candidates as asked for; these are compared exactly, in double precision.  Queries are dealt into blocks as well, and
-every query block meets every index block once; the best of all blocks are merged by rank.
+Nearness is the largest inner product.  The index rows are dealt into blocks of bounded size.  Each block holds a forest: per
+tree one array of long hash strings (signs of random projections), sorted, with the row of each string.  Forests are built
+once, written, and read by every query block.
 
-Nearness is the largest inner product.  Inside a block the rows are dealt into bands of similar length, each with a forest
-of its own, from the longest down; the vectors of a band are lifted by one coordinate to the length of its longest, so that the
-angle between lifted vectors orders like the inner product.  Small bands are compared whole.  A band whose longest vector
-cannot reach the k-th best product found so far cannot hold any of the k best, and is passed over.
+A query looks up its own string in every tree, where the rows that share a prefix with it are one range; all trees
+ascend (or descend) together, bit by bit, to the longest prefix at which their ranges hold ``VISITS`` times the block's
+rows.  Each row in them has as many votes as trees that reached it, which bounds its angle to the query and, with its
+length, the inner product, from above but for chance.  The rows with the largest bounds are compared exactly, in double
+precision; the best of all blocks are merged by rank.
 
-``MINIMUM + SHARE * rows`` candidates are asked for.  The share is set for data without any structure (the nearest of
-random directions in 64 dimensions), where 0.9 of the true neighbours need about two fifths of all rows in 64 trees;
-clustered data reach that with far less.
+``FACTOR * sqrt(k * rows)`` rows are compared for each query, in every table of every size: 10 % of 2,000 rows, 2 % of 50,000.
+Ranges are read in each block, so that work still grows with queries times rows; what shrinks with size is the share compared.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do null ids; a repeated id counts once, with its least vector; ties go to the smaller id; an empty table, or one without queries,
-gives an empty result; other columns are ignored.
+no part, nor do null ids; a repeated id counts once, with its least vector; ties go to the smaller id, and of equal vectors
+only the k + 1 smallest ids are indexed, since no other can be among the k best of any query (all of them may ask); an empty
+table, or one without queries, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,14 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-TREES, BITS = 64, 32
-MINIMUM, SHARE = 2000, 0.4
-INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
-#: Lengths of a band differ by at most this factor; a band of fewer rows is compared whole.
-BAND, WHOLE = 1.25, 256
+TREES, BITS = 512, 24
+FACTOR, VISITS = 1.0, 6
+#: Rows of a forest (their positions fit 16 bits) and queries sent to it at once.
+INDEX_BLOCK, QUERY_BLOCK = 4096, 16_384
+#: Queries whose ranges are looked up together.
+CHUNK = 256
+#: Standard deviations of the votes added before they are read as an angle: chance must not put a long vector last.
+MARGIN = 2.0
 K = 20
 SEED = 20_240_501
 FOUND = "query_id long, vec_id long, score double"
+FORESTS = "iblock int, ids binary, vectors binary, order binary, strings binary"
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
@@ -48,103 +52,87 @@ def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
 
 def strings(x: np.ndarray, directions: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
     """(trees, rows) hash strings as integers, the first bit highest."""
-    signs = (x.astype(np.float32) @ directions.T > 0).reshape(len(x), trees, bits)
-    weights = (np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
-    return np.ascontiguousarray((signs.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64).T)
-
-
-class Forest:
-    """Sorted hash strings of one block."""
-
-    def __init__(self, lifted: np.ndarray, directions: np.ndarray, trees: int = TREES, bits: int = BITS) -> None:
-        self.bits, self.rows = bits, len(lifted)
-        own = strings(lifted, directions, trees, bits)
-        self.order = np.argsort(own, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(own, self.order, axis=1)
-
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query (a column of hash strings) the positions of at least ``wanted`` rows, or all."""
-        trees, n = queries.shape
-        low, high = np.zeros((self.bits + 1, trees, n), np.int32), np.full((self.bits + 1, trees, n), self.rows, np.int32)
-        for depth in range(1, self.bits + 1):
-            rest = np.uint64(self.bits - depth)
-            first = queries >> rest << rest
-            after = first + (np.uint64(1) << rest)
-            for t in range(trees):
-                low[depth, t] = np.searchsorted(self.sorted[t], first[t])
-                high[depth, t] = np.searchsorted(self.sorted[t], after[t])
-        width = (high - low).sum(axis=1)  # rows of all trees together, by depth and query
-        for q in range(n):
-            # The deepest level whose ranges could hold enough; further up only if too many of them coincide.
-            enough = np.flatnonzero(width[:, q] >= min(wanted, self.rows))
-            depth = int(enough[-1])
-            seen = np.zeros(self.rows, bool)
-            while True:
-                for t in range(trees):
-                    seen[self.order[t, low[depth, t, q] : high[depth, t, q]]] = True
-                if depth == 0 or np.count_nonzero(seen) >= wanted:
-                    break
-                depth -= 1
-            yield np.flatnonzero(seen)
-
-
-def lift(x: np.ndarray, longest: float) -> np.ndarray:
-    """Index vectors scaled to at most length 1 and filled up to it by one coordinate."""
-    y = x / longest
-    return np.hstack([y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1, keepdims=True)))])
-
-
-def inner(x: np.ndarray, q: np.ndarray) -> list[float]:
-    """Inner products in double precision, rounded once, so that equal vectors tie exactly."""
-    return [math.fsum(row) for row in (x * q).tolist()]
-
-
-def bands(lengths: np.ndarray) -> list[np.ndarray]:
-    """Positions of the rows of each band, the longest first."""
-    order = np.argsort(-lengths, kind="stable")
-    down, out, at = -lengths[order], [], 0
-    while at < len(order):
-        end = max(at + 1, int(np.searchsorted(down, down[at] / BAND, side="right")))
-        out.append(np.sort(order[at:end]))
-        at = end
+    weights = np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32)
+    out = np.empty((trees, len(x)), np.uint32)
+    for a in range(0, len(x), 512):
+        signs = (x[a : a + 512].astype(np.float32) @ directions.T > 0).reshape(-1, trees, bits)
+        out[:, a : a + 512] = (signs * weights).sum(axis=2, dtype=np.uint32).T
     return out
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float, directions: np.ndarray) -> list[tuple[int, int, float]]:
-    """The k best of one block for each query: a share of each band as candidates from its forest, then exact products."""
-    lengths, asked_lengths = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1)
-    asked = strings(np.hstack([queries, np.zeros((len(queries), 1))]), directions)
-    found: list[list[np.ndarray]] = [[] for _ in queries]
-    best: list[np.ndarray] = [np.zeros(0) for _ in queries]  # the k largest products so far
-    for band in bands(lengths):
-        longest = lengths[band].max()
-        open_ = np.array([q for q in range(len(queries)) if len(best[q]) < k or longest * asked_lengths[q] * (1 + 1e-9) >= best[q].min()], dtype=int)
-        if not len(open_):
-            break  # the bands that follow are shorter still
-        wanted = math.ceil(share * len(band))
-        if len(band) < WHOLE or wanted >= len(band):
-            picks = (np.arange(len(band)) for _ in open_)
-        else:
-            picks = Forest(lift(x[band], longest), directions).candidates(asked[:, open_], wanted)
-        for q, rows in zip(open_, picks, strict=True):
-            rows = band[rows]
-            rows = rows[ids[rows] != query_ids[q]]
-            if len(rows):
-                found[q].append(rows)
-                near = np.concatenate([best[q], x[rows] @ queries[q]])
-                best[q] = np.partition(near, len(near) - k)[len(near) - k :] if len(near) > k else near
-    out = []
-    for q, parts in enumerate(found):
-        if not parts:
-            continue
-        rows = np.concatenate(parts)
-        near = x[rows] @ queries[q]
-        if len(rows) > k:  # what rounding could put among the best is compared exactly
-            edge = np.partition(near, len(near) - k)[len(near) - k]
-            rows = rows[near >= edge - 1e-12 * lengths.max() * asked_lengths[q]]
-        top = sorted(zip((-s for s in inner(x[rows], queries[q])), ids[rows].tolist(), strict=True))[:k]
-        out += [(int(query_ids[q]), i, -s) for s, i in top]
-    return out
+class Forest:
+    """Sorted hash strings of one block, with the rows they belong to."""
+
+    def __init__(self, x: np.ndarray, directions: np.ndarray | None = None, order: np.ndarray | None = None, sorted_: np.ndarray | None = None, bits: int = BITS) -> None:
+        self.rows, self.bits, self.lengths = len(x), bits, np.linalg.norm(x, axis=1)
+        if order is None:
+            own = strings(x, directions, bits=bits)
+            order = np.argsort(own, axis=1, kind="stable")
+            sorted_ = np.take_along_axis(own, order, axis=1)
+        self.order, self.sorted = order.astype(np.int64), sorted_
+        votes, shares = np.arange(len(order) + 1), np.linspace(0.0, 1.0, 513)  # shares of agreeing bits
+        upper = np.minimum(len(order), votes + MARGIN * np.sqrt(votes + 1))
+        self.cosines = [np.interp(upper, len(order) * shares**d, -np.cos(np.pi * shares)) for d in range(1, bits + 1)]
+
+    def ranges(self, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, trees) first and last-but-one positions of the rows that share ``depth`` bits with each query."""
+        rest = (self.bits - depth).astype(np.uint32)
+        first = queries >> rest << rest
+        last = first | (np.uint32(1) << rest) - np.uint32(1)
+        low, high = np.empty(queries.T.shape, np.int64), np.empty(queries.T.shape, np.int64)
+        for t, own in enumerate(self.sorted):
+            low[:, t] = np.searchsorted(own, first[t])
+            high[:, t] = np.searchsorted(own, last[t], side="right")
+        return low, high
+
+    def candidates(self, queries: np.ndarray, wanted: int, visits: float = VISITS) -> Iterator[np.ndarray]:
+        """For each query (a column of hash strings) the positions of the ``wanted`` rows of the largest estimates."""
+        rows = list(self.order)
+        start = min(self.bits, max(1, round(math.log2(len(rows) / visits))))  # where rows without any structure hold enough
+        for a in range(0, queries.shape[1], CHUNK):
+            part = queries[:, a : a + CHUNK]
+            depth, low, high = self.deepest(part, start, visits)
+            for d, first, end in zip(depth.tolist(), low.tolist(), high.tolist(), strict=True):
+                seen = np.concatenate([o[f:e] for o, f, e in zip(rows, first, end, strict=True)])
+                estimate = self.cosines[d - 1][np.bincount(seen, minlength=self.rows)] * self.lengths
+                yield largest(estimate, wanted)
+
+    def deepest(self, queries: np.ndarray, start: int, visits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the longest common prefix length at which all trees together hold enough rows, and the ranges there."""
+        depth = np.full(queries.shape[1], start)
+        low, high = self.ranges(queries, depth)
+        enough = (high - low).sum(axis=1) >= visits * self.rows
+        for step in (-1, 1):  # ascend where the ranges hold too few, descend where they hold enough
+            moving = np.flatnonzero(enough == (step > 0))
+            while len(moving := moving[(depth[moving] + step >= 1) & (depth[moving] + step <= self.bits)]):
+                lower, higher = self.ranges(queries[:, moving], depth[moving] + step)
+                holds = (higher - lower).sum(axis=1) >= visits * self.rows
+                take = holds if step > 0 else np.ones(len(moving), bool)
+                depth[moving[take]] += step
+                low[moving[take]], high[moving[take]] = lower[take], higher[take]
+                moving = moving[holds == (step > 0)]
+        return depth, low, high
+
+
+def largest(values: np.ndarray, wanted: int) -> np.ndarray:
+    """Positions of the ``wanted`` largest values; of equal ones the first."""
+    if wanted >= len(values):
+        return np.arange(len(values))
+    cut = np.partition(values, len(values) - wanted)[len(values) - wanted]
+    above = np.flatnonzero(values > cut)
+    return np.concatenate([above, np.flatnonzero(values == cut)[: wanted - len(above)]])
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, forest: Forest, query_ids: np.ndarray, queries: np.ndarray, k: int, wanted: int, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the k best of one block for each query, candidates from its forest, then exact products."""
+    found: list[tuple[np.ndarray, ...]] = []
+    picks = forest.candidates(strings(queries, directions), wanted)
+    for own, q, rows in zip(query_ids, queries, picks, strict=True):
+        rows = rows[ids[rows] != own]
+        scores = (x[rows] * q).sum(axis=1)  # summed row by row alike, so that equal vectors tie exactly
+        best = np.lexsort((ids[rows], -scores))[:k]
+        found.append((np.full(len(best), own), ids[rows[best]], scores[best]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -155,33 +143,57 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, minimum: int = MINIMUM, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each row that ``is_query`` selects (a Column over ``vec_id``)."""
+def build_forests(vectors: DataFrame, dim: int, rows: int, k: int = K) -> DataFrame:
+    """(iblock, ids, vectors, order, strings): one row per block of about ``INDEX_BLOCK`` vectors, the k + 1 first of equal ones."""
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-rows // INDEX_BLOCK))).cast("int").alias("iblock")
+    firsts = vectors.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select(block, "vec_id", "v")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id", kind="stable")
+        x = np.stack(rows["v"].to_numpy())
+        forest = Forest(x, planes(dim))
+        parts = (rows["vec_id"].to_numpy(np.int64), x, forest.order.astype(np.uint16), forest.sorted)
+        return pd.DataFrame([[int(rows["iblock"].iloc[0]), *(p.tobytes() for p in parts)]], columns=[f.split()[0] for f in FORESTS.split(", ")])
+
+    return firsts.groupBy("iblock").applyInPandas(build, FORESTS)
+
+
+def search_forests(forests: DataFrame, queries: DataFrame, dim: int, rows: int, asked: int, k: int, wanted: float) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block for each query; every query block meets every forest once."""
+    query_blocks, blocks = -(-asked // QUERY_BLOCK), -(-rows // INDEX_BLOCK)
+    mine = F.pmod(F.xxhash64("vec_id", F.lit("queries")), F.lit(query_blocks)).cast("int").alias("qblock")
+    index = forests.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = queries.select("vec_id", "v", mine, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("iblock"))
+
+    def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(index) or not len(asked):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        f, asked = index.iloc[0], asked.sort_values("vec_id", kind="stable")
+        ids, x = np.frombuffer(f["ids"], np.int64), np.frombuffer(f["vectors"], np.float64).reshape(-1, dim)
+        shape = (-1, len(ids))
+        forest = Forest(x, order=np.frombuffer(f["order"], np.uint16).reshape(shape), sorted_=np.frombuffer(f["strings"], np.uint32).reshape(shape))
+        own = max(k, math.ceil(wanted * len(ids) / rows))
+        found = search_block(ids, x, forest, asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), k, own, planes(dim))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+
+    return index.groupBy("iblock", "qblock").cogroup(queries.groupBy("iblock", "qblock")).applyInPandas(search, FOUND)
+
+
+def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, factor: float = FACTOR, minimum: int = 0) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows found for each row that ``is_query`` selects (a Column over ``vec_id``).
+
+    ``factor * sqrt(k * rows)`` candidates, or ``minimum`` if that is more, are compared for a query.
+    """
     spark = df.sparkSession
     vectors = materialised(valid_vectors(df, id_col, vec_col), "vectors")
     sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("queries")).orderBy(F.desc("n"), "dim").first()
     if sizes is None or not sizes["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes["dim"], sizes["n"]
-    blocks, query_blocks = -(-n // INDEX_BLOCK), -(-sizes["queries"] // QUERY_BLOCK)
-    part = (minimum + share * n) / n
     usable = vectors.where(F.size("v") == dim)
-
-    def dealt(rows: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(own)), F.lit(count)).cast("int").alias(own)
-        return rows.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
-
-    index = dealt(usable, "iblock", blocks, "qblock", query_blocks)
-    queries = dealt(usable.where(is_query), "qblock", query_blocks, "iblock", blocks)
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        rows, asked = rows.sort_values("vec_id", kind="stable"), asked.sort_values("vec_id", kind="stable")
-        found = search_block(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), k, part, planes(dim + 1))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
-
-    found = index.groupBy("iblock", "qblock").cogroup(queries.groupBy("iblock", "qblock")).applyInPandas(search, FOUND)
+    forests = materialised(build_forests(usable, dim, n, k), "forests")
+    found = search_forests(forests, usable.where(is_query), dim, n, sizes["queries"], k, max(minimum, factor * math.sqrt(k * n)))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

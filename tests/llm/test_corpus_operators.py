@@ -1,5 +1,6 @@
 """Jaccard join, nearest neighbours, quality, HTML, packing, pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -167,6 +168,52 @@ def test_forest_yields_what_is_asked_for():
         assert 100 <= len(rows) <= 500
 
 
+@pytest.mark.parametrize("size, share", [("sf0.01", 0.2), ("sf0.1", 0.1)])
+def test_recall_of_the_registered_query(spark, size, share):
+    """With a tenth (a fifth) of the rows compared: recall of at least 0.9, exact scores, ranks by score and then id."""
+    where = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+    assert ann.FACTOR * math.sqrt(ann.K * len(ids)) / len(ids) <= share
+    at, got = {int(i): j for j, i in enumerate(ids)}, ann.op6_nearest(spark, where).toPandas().sort_values(["query_id", "rank"])
+    recalls = []
+    assert sorted(got["query_id"].unique()) == [i for i in ids if i % 20 == 0]
+    for q, g in got.groupby("query_id"):
+        scores = x @ x[at[q]]
+        assert g["rank"].tolist() == list(range(1, 21)) and q not in set(g["vec_id"])
+        assert np.allclose(g["score"], scores[[at[i] for i in g["vec_id"]]], rtol=0, atol=1e-12)
+        assert g[["score", "vec_id"]].values.tolist() == sorted(g[["score", "vec_id"]].values.tolist(), key=lambda r: (-r[0], r[1]))
+        scores[at[q]] = -np.inf
+        recalls.append((g["score"] >= np.sort(scores)[-20] - 1e-12).mean())
+    assert np.mean(recalls) >= 0.9
+
+
+def test_equal_vectors_are_found_by_their_least_ids(spark):
+    """A third of all rows are one vector: its neighbours are the least ids, those of others are not crowded out."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16))
+    x[::3] = x[0]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(3000), "embedding": x.tolist()}))
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).toPandas().sort_values(["query_id", "rank"])
+    assert got[got["query_id"] == 0]["vec_id"].tolist() == [3 * i for i in range(1, 21)]
+    assert got[got["query_id"] == 300]["vec_id"].tolist() == [3 * i for i in range(20)]
+    recalls = []
+    for q, g in got[got["query_id"] % 3 > 0].groupby("query_id"):
+        want = sorted(range(3000), key=lambda j: (-round(float(x[j] @ x[q]), 12), j))
+        recalls.append(len(set(g["vec_id"]) & set([j for j in want if j != q][:20])) / 20)
+    assert len(recalls) == 20 and np.mean(recalls) >= 0.9
+
+
+def test_every_query_block_meets_every_forest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 50)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(9)
+    x, ids = rng.standard_normal((400, 8)), np.arange(400)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, minimum=400).toPandas().sort_values(["query_id", "rank"])
+    assert {q: g["vec_id"].tolist() for q, g in got.groupby("query_id")} == brute_nearest(ids, x)
+
+
 # -- quality ------------------------------------------------------------------------------------------------
 
 
