@@ -1,18 +1,20 @@
 """Operator 8: main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its root-to-leaf tag path.  Text length and punctuation are aggregated
-per path, divided by the number of the path's blocks, smoothed along the page and fused (with the share of
-text outside links) into one ratio per path; paths above a threshold that the page itself sets are content.  The article is the
-article or main element with most of the content paths' text, or else the deepest element with all of it and the headline; its
-headings, paragraphs and content-path blocks make up the text, without paths and lists that are mostly links.
-Elements whose tag, role or style says that they are something else (menus, footers, hidden parts ...) never count.  Names
-(advert, sidebar, comments ...) and forms only lower the ratio of the paths below them, and not where the element is the
-article itself, or holds most of the content paths' text while no other article or main has text.
+A page is read into blocks of text, each with its root-to-leaf tag path.  Text length and punctuation are aggregated per path
+and divided by the number of the path's blocks; both are fused with the share of text outside links into one ratio per path,
+which is smoothed along the page between blocks of the same part of the tree.  What the path's tags, roles and names say
+(menu, footer, advert, comments, hidden ..., or lying outside the page's article) is one more factor of the ratio.  Paths whose
+ratio reaches the threshold that the page itself sets are content, and their blocks are the text.
+
+The article is the smallest element around the content paths' text (and the headline).  What else lies in it without being named
+as something else belongs to the article even if it is short: table cells, captions, single words.  Lists and repeated paths
+that are mostly links do not.  An element that holds most of a page's text is the article whatever its name.
 
 Inside a block white space becomes one space; blocks are joined in page order by one line feed.
 
 Defined cases: null, empty or tag-free html gives the text that is there (an empty string for none); unclosed tags,
-comments, quotes and cut-off pages are read as far as they go; repeated rows each get a row; an empty table gives an empty
+comments, quotes and cut-off pages are read as far as they go; very long and deep pages are read whole in time linear in their
+length; equal ratios fall on the same side of the threshold; repeated rows each get a row; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -28,18 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: A content path's ratio is at least this share of the page's mean ratio per character.
-SHARE = 0.2
+#: A content path's ratio is at least this share of the page's mean ratio per character,
+SHARE = 0.3
+#: and at least this: one character in one block without punctuation.
+LEAST = 1.0
 #: An article or main element with more than this share of the text on content paths is the article.
 HOLDS = 0.6
 #: An element with more than this share of the text on content paths is no advert or sidebar, whatever its name.
 MOST = 0.5
 #: Unless article and main elements elsewhere hold more than this share of all text.
 RIVAL = 0.1
-#: Factor of the ratios below an element that is named as something else.
-NAMED = 0.001
-#: Weights of the smoothing along the page.
+#: Factor of the ratios below an element that its tag, role or name marks as something else,
+MARKED = 0.001
+#: and of those outside the page's article or main element.
+OUTSIDE = 0.1
+#: Weights of the smoothing along the page, and between blocks whose parts of the tree differ.
 KERNEL = (1.0, 2.0, 4.0, 2.0, 1.0)
+APART = 0.25
 #: A list, or a path of several blocks, with more of its text inside links than this is a menu or a list of links.
 LINKS = 0.6
 
@@ -56,12 +63,23 @@ PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、！？；：-]")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
-DROPPED = frozenset("head nav footer aside menu dialog button select option fieldset object video audio canvas map".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr label".split())
+#: Elements whose markup is all part of one line of text.
+PHRASES = frozenset("math svg".split())
+#: No text of the page: titles, form controls, what stands in for media.
+DROPPED = frozenset("head button select option object video audio canvas map desc metadata".split())
+#: Tags of menus, footers and the like; a header is one outside articles.
+TOLD = frozenset("nav footer aside menu dialog".split())
+#: Tags that say so less surely, like names: a form may wrap the page.
+HINTS = frozenset("form fieldset".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl".split())
+#: Elements that belong to the part of the page around them.
+WITHIN_PARTS = TEXT_BLOCKS | LISTS | frozenset("table thead tbody tfoot tr caption colgroup figure hgroup".split())
+#: Elements that hold the page.
+WHOLE = frozenset(("", "html", "body"))
 MAIN = frozenset(("article", "main"))
 RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 #: What a start tag closes when it meets it open, up to the elements in the second set.
@@ -79,6 +97,8 @@ NOT_ARTICLE = frozenset(
     comment comments commentlist disqus reply replies respond reviews pagination pager toolbar widget widgets search login copyright legal
     disclaimer hidden skip""".split()
 )
+#: Of these the ones that say nothing about a paragraph or item inside an article.
+OF_ELEMENTS = frozenset("legal copyright disclaimer login search skip reviews reply replies respond related social sharing share toolbar".split())
 
 
 @dataclass
@@ -86,15 +106,26 @@ class Element:
     tag: str
     path: int
     parent: "Element | None"
-    dropped: bool
-    main: bool
-    named: bool = False
+    dropped: bool = False  # no text of the page
+    main: bool = False  # an article or main element, or inside one
+    told: bool = False  # its tag, role or style says that it is something else than the article
+    named: bool = False  # its name or a form says so
+    inline: bool = False
+    phrase: bool = False
     weight: float = 0.0
     plain: float = 0.0  # text outside named elements, and the part of it in article and main elements
     exposed: float = 0.0
     inside: bool = False
     children: list["Element"] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        """``part`` is the part of the page that the element belongs to."""
+        self.part = self.parent.part if self.parent is not None and (self.inline or self.tag in WITHIN_PARTS) else self
+
+    @property
+    def marked(self) -> bool:
+        return self.told or self.named
+
 
 @dataclass
 class Block:
@@ -105,32 +136,33 @@ class Block:
     path: int
 
 
-def excluded(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, str]:
-    """(whether the element is something other than the article, whether only its name or a form says so, its first class)."""
-    if tag in DROPPED or tag == "header" and not in_main:
-        return True, False, ""
-    named = tag == "form"
+def signs(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, str]:
+    """(whether tag, role or style tell that the element is not the article, whether its name or a form hints at it, its first class)."""
+    told, named, first = tag in TOLD or tag == "header" and not in_main, tag in HINTS, ""
     if not attrs.strip(" /\n\t"):
-        return False, named, ""
-    first = ""
+        return told, named, first
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            parts = {p.lower() for p in NAME_PARTS.findall(value)}
+            parts = {p.lower() for p in NAME_PARTS.findall(value)} & NOT_ARTICLE
+            if in_main and tag in TEXT_BLOCKS:
+                parts -= OF_ELEMENTS
             if name == "class" and value.split():
                 first = value.split()[0]
-            named = named or tag not in ("html", "body") and bool(parts & NOT_ARTICLE)
+            named = named or bool(parts)
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, False, first
+            told = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, first
-    return False, named and tag not in MAIN and not re.search(MAIN_ROLE, attrs), first
+            told = True
+    if tag in WHOLE:
+        return False, False, first
+    return told, named and tag not in MAIN and not re.search(MAIN_ROLE, attrs), first
 
 
 def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     """The elements, parents first, and the page's blocks in order."""
-    root = Element("", 0, None, False, False)
-    paths: dict[tuple[int, str, str, bool], int] = {}  # (path of the parent, tag, first class, named) -> path; long paths as strings would grow with the square of the depth
+    root = Element("", 0, None)
+    paths: dict[tuple[int, str, str, bool], int] = {}  # (path of the parent, tag, first class, marked) -> path; long paths as strings would grow with the square of the depth
     here, blocks, everything = root, [], [root]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
@@ -142,7 +174,7 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
             text = " ".join("".join(parts).split())
             if text:
                 owner = here
-                while owner.tag in INLINE and owner.parent is not None:
+                while owner.inline and owner.parent is not None:
                     owner = owner.parent
                 blocks.append(Block(owner, text, linked, owner.tag, owner.path))
             parts.clear()
@@ -159,7 +191,7 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     def close(to: Element) -> None:
         """Leave all elements up to and with ``to``."""
         nonlocal here, links
-        if any(e.tag not in INLINE for e in chain(here, to)):
+        if any(not e.inline for e in chain(here, to)):
             flush()
         for e in chain(here, to):
             links -= e.tag == "a"
@@ -196,7 +228,7 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                 flush()
             continue
         if tag in VOID:
-            if tag in INLINE:
+            if tag in INLINE or here.phrase:
                 parts.append(" " if tag == "br" else "")
             else:
                 flush()
@@ -205,10 +237,11 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
             stop = RAW_ENDS[tag].search(page, end)
             at = stop.end() if stop else size
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE or here.phrase
+        if not inline:
             flush()
             e = here
-            while e.parent is not None and e.tag in INLINE:
+            while e.parent is not None and e.inline:
                 e = e.parent
             if e.tag == "p":  # a block ends an open paragraph
                 close(e)
@@ -220,14 +253,16 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                         close(e)
                         break
                     e = e.parent
-        out, named, first = excluded(tag, attrs, here.main)
-        child = Element(tag, here.path if tag in INLINE else paths.setdefault((here.path, tag, first, named), len(paths) + 1), here, here.dropped or out, here.main or tag in MAIN or 'role="main"' in attrs, named)
-        if tag not in INLINE:
+        told, named, first = signs(tag, attrs, here.main)
+        path = here.path if inline else paths.setdefault((here.path, tag, first, told or named), len(paths) + 1)
+        main = here.main or tag in MAIN or bool(re.search(MAIN_ROLE, attrs))
+        child = Element(tag, path, here, here.dropped or tag in DROPPED, main, told, named, inline, here.phrase or tag in PHRASES)
+        if not inline:
             here.children.append(child)
-        elif out or named:
+        elif told or named or child.dropped:
             flush()
         everything.append(child)
-        if attrs.rstrip().endswith("/") and tag not in INLINE:
+        if attrs.rstrip().endswith("/") and (tag not in INLINE or here.phrase):
             continue
         links += tag == "a"
         open_tags[tag] += 1
@@ -237,8 +272,15 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     return everything, blocks
 
 
-def path_ratios(blocks: list[Block]) -> dict[int, float]:
-    """Fused, smoothed ratio of each tag path."""
+def path_ratios(blocks: list[Block], factor: dict[int, float]) -> dict[int, float]:
+    """Ratio of each tag path: text, punctuation and links fused, smoothed among blocks of one factor, times that factor."""
+    groups: dict[float, list[Block]] = {}
+    for b in blocks:
+        groups.setdefault(factor[b.path], []).append(b)
+    return {p: r * f for f, group in groups.items() for p, r in smoothed(group).items()}
+
+
+def smoothed(blocks: list[Block]) -> dict[int, float]:
     totals: dict[int, list[float]] = {}
     for b in blocks:
         t = totals.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -247,21 +289,23 @@ def path_ratios(blocks: list[Block]) -> dict[int, float]:
         t[2] += b.linked
         t[3] += 1
     fused = {p: chars / n * (1.0 + marks / n) * (1.0 - min(1.0, linked / chars)) for p, (chars, marks, linked, n) in totals.items()}
-    row = [fused[b.path] for b in blocks]
+    row, parts = [fused[b.path] for b in blocks], [b.element.part for b in blocks]
     half = len(KERNEL) // 2
     sums: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
-        near = [(row[j], KERNEL[j - i + half]) for j in range(max(0, i - half), min(len(row), i + half + 1))]
+        near = [(row[j], KERNEL[j - i + half] * (1.0 if parts[j] is parts[i] else APART)) for j in range(max(0, i - half), min(len(row), i + half + 1))]
         s = sums.setdefault(b.path, [0.0, 0.0])
         s[0] += sum(v * w for v, w in near) / sum(w for _, w in near)
         s[1] += 1
     return {p: (a / n + fused[p]) / 2 for p, (a, n) in sums.items()}
 
 
-def content_paths(blocks: list[Block], ratio: dict[int, float]) -> set[int]:
-    chars = sum(len(b.text) for b in blocks)
-    mean = sum(ratio[b.path] * len(b.text) for b in blocks) / chars
-    return {p for p, r in ratio.items() if r >= SHARE * mean and r > 0}
+def content_paths(blocks: list[Block], factor: dict[int, float]) -> set[int]:
+    """The paths whose ratio reaches the threshold; paths of small factors count little in the mean that sets it."""
+    ratio = path_ratios(blocks, factor)
+    weight = sum(len(b.text) * factor[b.path] for b in blocks)
+    mean = sum(ratio[b.path] * len(b.text) * factor[b.path] for b in blocks) / weight
+    return {p for p, r in ratio.items() if r >= max(LEAST, SHARE * mean)}
 
 
 def weigh(everything: list[Element], blocks: list[Block]) -> float:
@@ -275,16 +319,29 @@ def weigh(everything: list[Element], blocks: list[Block]) -> float:
     return everything[0].weight
 
 
-def inherit_names(everything: list[Element], blocks: list[Block]) -> None:
-    """``named`` goes to all that lies in a named element.
+def inherit_marks(everything: list[Element], blocks: list[Block]) -> None:
+    """``told`` and ``named`` go to all that lies in such an element.
 
-    An element that holds most of the content paths' text loses it first, and all do if they leave next to nothing.
+    What tags, roles and styles tell holds unless it leaves next to nothing of a page without article and main elements.  An
+    element that holds most of the content paths' text loses its name first, and all do if they leave next to nothing.
     """
-    content = content_paths(blocks, path_ratios(blocks))
-    total = weigh(everything, [b for b in blocks if b.path in content] or blocks)
     chars = sum(len(b.text) for b in blocks)
+    own = [e.told for e in everything]
+    for e in everything[1:]:
+        e.told = e.told or e.parent.told
+    has_main = any(e.main and not e.told for e in everything)
+    if not has_main and sum(len(b.text) for b in blocks if not b.element.told) <= RIVAL * chars:
+        for e, was in zip(everything, own, strict=True):
+            e.told, e.named = False, e.named or was
+    blocks = [b for b in blocks if not b.element.told]
+    if not blocks:
+        return
+    chars = sum(len(b.text) for b in blocks)
+    content = content_paths(blocks, dict.fromkeys((b.path for b in blocks), 1.0))
+    total = weigh(everything, [b for b in blocks if b.path in content] or blocks)
     for b in blocks:
         b.element.plain += len(b.text)
+    whole = {id(e): e.weight for e in everything if e.tag in MAIN}
     for e in reversed(everything[1:]):
         if e.main:
             e.exposed = e.plain
@@ -292,13 +349,15 @@ def inherit_names(everything: list[Element], blocks: list[Block]) -> None:
             e.parent.plain += e.plain
             e.parent.exposed += e.exposed
     rival = everything[0].exposed  # text of article and main elements outside named ones
+    if any(e.tag in MAIN and not e.told and whole[id(e)] == 0 for e in everything):  # the article is there, and empty
+        rival = max(rival, RIVAL * chars + 1)
     for e in everything[1:]:
         if e.parent.named:
             e.named = True
-        elif e.named and e.weight > MOST * total and rival <= RIVAL * chars:
+        elif e.named and e.weight > MOST * total and (e.main or rival <= RIVAL * chars):
             e.named = False
             rival += e.exposed
-    if sum(len(b.text) for b in blocks if not b.element.named) <= RIVAL * chars:  # names that leave next to nothing say nothing
+    if rival <= RIVAL * chars and sum(len(b.text) for b in blocks if not b.element.named) <= RIVAL * chars:  # names that leave next to nothing say nothing
         for e in everything:
             e.named = False
 
@@ -307,9 +366,9 @@ def article_of(everything: list[Element], blocks: list[Block]) -> Element:
     """The article by the weights of the elements."""
     root = everything[0]
     for e in everything:
-        if e.tag in MAIN and not e.dropped and not e.named and e.weight > HOLDS * root.weight:
+        if e.tag in MAIN and not e.dropped and not e.marked and e.weight > HOLDS * root.weight:
             return e
-    headline = next((b.element for b in blocks if b.tag == "h1" and not b.element.named), None)
+    headline = next((b.element for b in blocks if b.tag == "h1" and not b.element.marked), None)
     above = set()
     while headline is not None:
         above.add(id(headline))
@@ -361,19 +420,26 @@ def main_text(page: str | None) -> str:
     blocks = [b for b in blocks if not b.element.dropped]
     if not blocks:
         return ""
-    inherit_names(everything, blocks)
+    inherit_marks(everything, blocks)
     for b in blocks:
-        if b.element.named:
+        if b.element.marked:
             b.path = -b.path
-    ratio = path_ratios([b for b in blocks if b.path >= 0]) | {p: r * NAMED for p, r in path_ratios([b for b in blocks if b.path < 0]).items()}
-    content = content_paths(blocks, ratio)
-    weigh(everything, [b for b in blocks if b.path in content] or blocks)
-    holder = article_of(everything, blocks)
+    factor = {b.path: MARKED if b.path < 0 else 1.0 for b in blocks}
+    content = content_paths(blocks, factor)
+    weigh(everything, [b for b in blocks if b.path in content])
+    article = article_of(everything, blocks)
     for e in everything:
-        e.inside = e is holder or e.parent is not None and e.parent.inside
-    blocks = [b for b in blocks if b.element.inside]
-    menus = link_lists(blocks)
-    return "\n".join(b.text for b in blocks if (b.path in content or b.tag in TEXT_BLOCKS and not b.element.named) and id(b) not in menus)
+        e.inside = e is article or e.parent is not None and e.parent.inside
+    if article.tag in MAIN:
+        outer = {b.path for b in blocks if not b.element.inside} - {b.path for b in blocks if b.element.inside}
+        content = content_paths(blocks, {p: f * OUTSIDE if p in outer else f for p, f in factor.items()})
+    menus = link_lists([b for b in blocks if b.path in content or b.element.inside])
+    return "\n".join(b.text for b in blocks if (b.path in content or belongs(b, article)) and id(b) not in menus)
+
+
+def belongs(b: Block, article: Element) -> bool:
+    """Whether a block is a short part of the article."""
+    return b.element.inside and not b.element.marked and (b.tag in TEXT_BLOCKS or article.tag not in WHOLE) and bool(article.weight)
 
 
 def extract(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -325,6 +327,101 @@ def test_links_count_by_paths_and_lists():
     assert html_text.main_text(page) == "\n".join(["The headline", *SENTENCES, "A linked item", "An item of plain words, a good deal longer", "Source"])
 
 
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="layout has-sidebar"><article>{BODY}</article></div></body>', SENTENCES),
+    (f'<body><main class="no-comments">{BODY}</main></body>', SENTENCES),
+    (f'<body><article>{BODY}<p class="legal">This is the law, as it stands.</p></article></body>', [*SENTENCES, "This is the law, as it stands."]),
+    (f'<body><article>{BODY}<p><a href=1>A paragraph that is nearly all a link</a>, see there.</p></article></body>', [*SENTENCES, "A paragraph that is nearly all a link, see there."]),
+    (f'<body><article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article></body>', [*SENTENCES, "So x=2 holds."]),
+    (f'<body><article>{BODY}<table><tr><td>1<td>2</table><div>A caption</div></article><div>A line that is not</div></body>', [*SENTENCES, "1", "2", "A caption"]),
+    (f'<body><aside>{BODY}</aside><footer>(c) me</footer></body>', SENTENCES),
+    ('<body><nav><a href=1>One</a></nav><article></article><footer>All rights kept, and more of it.</footer></body>', []),
+])
+def test_whole_articles_stay(page, want):
+    assert html_text.main_text(page).split("\n") == (want or [""])
+
+
+class PlainTree(HTMLParser):
+    """Blocks of a page as (path of (tag, class) pairs, text, length inside links); for pages of a few tags."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.blocks, self.text, self.linked = [], [], "", ""
+        self.feed(page)
+        self.close()
+        self.end_block()
+
+    def end_block(self):
+        path = tuple(p for p in self.path if p[0] not in ("a", "b"))
+        if self.text.split() and not {"script", "style", "head"} & {t for t, _ in path}:
+            self.blocks.append((path, " ".join(self.text.split()), len(self.linked)))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        elif tag not in ("meta", "link"):
+            if tag not in ("a", "b"):
+                self.end_block()
+                if "p" in [t for t, _ in self.path]:
+                    self.handle_endtag("p")
+            self.path.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.path]:
+            if tag not in ("a", "b"):
+                self.end_block()
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.text += data
+        if "a" in [t for t, _ in self.path]:
+            self.linked += " ".join(data.split())
+
+
+def plain_main_text(page):
+    """The operator's rules on short pages without frames, lists of links apart from menus, or names but "ad"."""
+    blocks = [(p, t, n, 0.001 if {"nav", "footer"} & {x for x, _ in p} or "ad" in [c for _, c in p] else 1.0) for p, t, n in PlainTree(page).blocks]
+    part = lambda path: tuple(x for x in path if x[0] not in ("p", "h1", "li", "ul"))
+    own, ratio = {}, {}
+    for p, _, _, f in blocks:
+        same = [(len(t), sum(c in ".,;:!?¡¿…。，、！？；：-" for c in t), n) for q, t, n, _ in blocks if q == p]
+        chars, marks, linked = (sum(x) for x in zip(*same))
+        own[p] = chars / len(same) * (1 + marks / len(same)) * (1 - min(1, linked / chars))
+    for p, _, _, f in blocks:
+        near = []
+        row = [q for q, _, _, g in blocks if g == f]
+        for i, q in enumerate(row):
+            if q == p:
+                around = [(own[row[j]], (4, 2, 1)[abs(i - j)] * (1 if part(row[j]) == part(q) else 0.25)) for j in range(len(row)) if abs(i - j) < 3]
+                near.append(sum(v * w for v, w in around) / sum(w for _, w in around))
+        ratio[p] = (sum(near) / len(near) + own[p]) / 2 * f
+    mean = sum(ratio[p] * len(t) * f for p, t, _, f in blocks) / sum(len(t) * f for _, t, _, f in blocks)
+    content = {p for p in ratio if ratio[p] >= max(1, 0.3 * mean)}
+    return "\n".join(t for p, t, _, f in blocks if p in content or "article" in [x for x, _ in p] and f == 1)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_given_pages_against_a_plain_version(spark, size):
+    got = html_text.op8_html_extraction(spark, f"/root/testdata/{size}").collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"/root/testdata/{size}/pages.parquet").collect()}
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        page = pages[r["page_id"]]
+        assert (r["url"], r["text"], r["n_chars"]) == (page["url"], plain_main_text(page["html"]), len(r["text"])), r["page_id"]
+
+
+def test_the_ratios_choose(spark, monkeypatch):
+    """With one constant ratio for every path every page changes; text and punctuation alone, without tags and names, get most pages right."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(nav|footer|article)\b", r"<\1div", p).replace(' class="ad"', "") for p in pages]
+    right = [html_text.main_text(p) for p in pages]
+    assert sum(html_text.main_text(b) == t for b, t in zip(bare, right, strict=True)) > 0.5 * len(pages)
+    monkeypatch.setattr(html_text, "path_ratios", lambda blocks, factor: {b.path: 1.0 for b in blocks})
+    assert not any(html_text.main_text(p) == t for p, t in zip(pages, right, strict=True))
+
+
 def test_deep_pages_stay_linear():
     assert html_text.main_text("<div>x. " * 20_000).count("x.") > 10_000
 
