@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import percentiles
+
 
 def count_events(df: DataFrame, cell: Sequence[str], value: str, threshold: float, day: str = "day") -> DataFrame:
     """(cell, n_hours, n_days, largest) of values at or above a threshold."""
@@ -18,7 +20,8 @@ def stats_by_group(df: DataFrame, variables: Sequence[str], groups: dict[str, Co
     member = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in groups.items()]))
     parts = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables])
     long = df.select(F.explode(member).alias("group"), parts.alias("p")).select("group", F.explode("p").alias("p")).select("group", "p.*")
-    return long.groupBy("variable", "group").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", list(quantiles)).alias("q"))
+    moments = long.groupBy("variable", "group").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return moments.join(percentiles(long, "value", quantiles, ["variable", "group"]), ["variable", "group"], "left")
 
 
 def additive_climatology(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFrame:
@@ -97,7 +100,9 @@ def known_fractions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def binned_median(df: DataFrame, value: str, by: str, width: float) -> DataFrame:
-    return df.groupBy(F.floor(F.col(by) / width).alias("bin")).agg(F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
+    binned = df.select(F.floor(F.col(by) / width).alias("bin"), F.col(value).alias("_x")).where("bin IS NOT NULL")
+    medians = percentiles(binned, "_x", [0.5], ["bin"]).select("bin", F.col("q")[0].alias("median"))
+    return binned.groupBy("bin").agg(F.count("_x").alias("n")).join(medians, "bin", "left").select("bin", "median", "n")
 
 
 def histogram2d(df: DataFrame, x: str, y: str, dx: float, dy: float, over: Column, min_count: int) -> DataFrame:

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import equal_count_bins
+from .rank import equal_count_bins, running_totals, value_groups
 
 RESULT = "n long, n_events long, gini double, ci_lo double, ci_hi double, p double, se_naive double, se_block double, inflation double, n_days int"
 
@@ -78,11 +78,11 @@ def bootstrap(matrix: DataFrame, keys: Sequence[str], key_schema: str, day: str
 
 
 def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05, out: str = "fdr_significant") -> DataFrame:
-    """Benjamini-Hochberg over the rows of a results table (as few as the tests); a null p is never significant."""
-    w = Window.partitionBy(F.col(p).isNull())
-    rank, m = F.rank().over(w.orderBy(p)) + F.count(F.lit(1)).over(w.partitionBy(F.col(p).isNull(), p)) - 1, F.count(p).over(w)
-    passed = df.withColumn("_ok", F.when(F.col(p) <= alpha * rank / m, F.col(p)))
-    return passed.withColumn(out, F.coalesce(F.col(p) <= F.max("_ok").over(Window.partitionBy()), F.lit(False))).drop("_ok")
+    """Benjamini-Hochberg over the rows of a results table; a null p is never significant."""
+    ranks = running_totals(value_groups(df.where(~F.isnan(F.col(p))), [], p, {"n": F.count(F.lit(1))}), [], p, ["n"])
+    passed = F.col(p) <= alpha * (F.col("before_n") + F.col("n")) / F.col("all_n")
+    cut = ranks.agg(F.max(F.when(passed, F.col(p))).alias("_cut"))  # one number
+    return df.crossJoin(F.broadcast(cut)).withColumn(out, F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -120,8 +120,6 @@ def counts_bootstrap(counts: DataFrame, keys: Sequence[str], day: str, columns:
 
 def permuted(df: DataFrame, column: str, key: str, seed: int, salts: Sequence[str] = ()) -> DataFrame:
     """One column permuted over all rows (or inside groups): ranks by a seeded hash are matched to ranks by key."""
-    from .rank import running_totals, value_groups
-
     h = F.xxhash64(F.lit(seed), F.col(key))
     a = running_totals(value_groups(df.select(*salts, key), salts, key, {"n": F.count(F.lit(1))}), salts, key, ["n"]).select(*salts, key, F.col("before_n").alias("_r"))
     hashed = df.select(*salts, F.col(column), h.alias("_h"))

@@ -9,6 +9,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .rank import percentiles
+
 #: A value that holds at least this share of the training rows gets an indicator of its own.
 ATOM_SHARE = 0.05
 
@@ -43,13 +46,15 @@ def quadratic_logistic(train: DataFrame, score: DataFrame, x: str, flag: str) ->
 
 def binned_rates(train: DataFrame, score: DataFrame, x: str, flag: str, bins: int = 20) -> DataFrame:
     """Adds ``index``: event rates of quantile bins, linear between the bins' medians, constant beyond them."""
-    edges = sorted(set(train.agg(F.percentile(x, [i / bins for i in range(bins + 1)]).alias("e")).first()["e"] or []))
+    edges = sorted(set(e for e in percentiles(train, x, [i / bins for i in range(bins + 1)]).first()["q"] if e is not None))
     if len(edges) < 3:
         r = train.agg(F.avg(F.col(flag).cast("int"))).first()[0]
         return score.withColumn("index", F.lit(r))
     inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
     which = F.size(F.filter(inner, lambda e: e <= F.col(x)))
-    per_bin = train.groupBy(which.alias("b")).agg(F.percentile(x, 0.5).alias("c"), F.avg(F.col(flag).cast("int")).alias("r")).orderBy("c").collect()
+    binned = train.withColumn("b", which)
+    medians = percentiles(binned, x, [0.5], ["b"]).select("b", F.col("q")[0].alias("c"))
+    per_bin = binned.groupBy("b").agg(F.avg(F.col(flag).cast("int")).alias("r")).join(medians, "b").orderBy("c").collect()  # one row a bin
     c, r = [p["c"] for p in per_bin], [p["r"] for p in per_bin]
     v = F.col(x)
     index: Column = F.lit(r[-1])
@@ -65,7 +70,7 @@ def crossfit(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int
     """Adds ``index`` and ``fold``: every row scored by a fit on the other folds; rows without x get none."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
-    cut = contiguous_folds(df, day, folds).persist()
+    cut = written(contiguous_folds(df, day, folds), "folds")
     known = F.col(x).isNotNull() & F.col(flag).isNotNull()
     parts = []
     for k in range(folds):

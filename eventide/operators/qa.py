@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .grid import dilate
 from .inference import partial_correlation
-from .rank import average_rank
+from .rank import average_rank, percentiles
 
 RESULT = ("check", "status", "value", "n")
 
@@ -25,7 +25,7 @@ def interior_closure(surface: DataFrame, value: str, reach: int, at_least: float
     """Median over cells with no missing cell within reach lies between the bound and 1."""
     near = dilate(surface.where(F.col(value).isNull()), [], reach)
     inside = surface.where(F.col(value).isNotNull()).join(near, ["lat", "lon"], "left_anti")
-    m = inside.agg(F.percentile(value, 0.5).alias("m"), F.count(F.lit(1)).alias("n"))
+    m = inside.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(percentiles(inside, value, [0.5]))).withColumn("m", F.col("q")[0])
     return verdict(m, "closure", F.col("m"), F.col("n"), (F.col("m") >= at_least) & (F.col("m") <= 1 + 1e-9))
 
 
@@ -33,7 +33,8 @@ def upwind_alignment(df: DataFrame, dx: str, dy: str, u: str, v: str, at_least:
     """Displacements point against the wind: median cosine with the reversed wind, few on the wrong side."""
     length = F.sqrt(F.col(dx) ** 2 + F.col(dy) ** 2) * F.sqrt(F.col(u) ** 2 + F.col(v) ** 2)
     c = -(F.col(dx) * F.col(u) + F.col(dy) * F.col(v)) / F.nullif(length, F.lit(0.0))
-    m = df.select(c.alias("c")).where("c IS NOT NULL").agg(F.percentile("c", 0.5).alias("m"), F.avg((F.col("c") < 0).cast("int")).alias("w"), F.count(F.lit(1)).alias("n"))
+    known = df.select(c.alias("c")).where("c IS NOT NULL")
+    m = known.agg(F.avg((F.col("c") < 0).cast("int")).alias("w"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(percentiles(known, "c", [0.5]))).withColumn("m", F.col("q")[0])
     return verdict(m, "alignment", F.col("m"), F.col("n"), (F.col("m") >= at_least) & (F.col("w") <= most_wrong))
 
 
@@ -46,7 +47,7 @@ def lag_profile(df: DataFrame, group: str, lag: str, weight: str, most_early: fl
 
 def magnitude(df: DataFrame, group: str, value: str, low: float, high: float, top: float) -> DataFrame:
     """Medians of all groups within a range and the 99th percentile below a bound."""
-    g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.percentile(value, 0.5).alias("m"), F.percentile(value, 0.99).alias("p"))
+    g = percentiles(df, value, [0.5, 0.99], [group]).select(F.col("q")[0].alias("m"), F.col("q")[1].alias("p"))
     m = g.agg(F.max("p").alias("p"), F.min("m").alias("a"), F.max("m").alias("b"), F.count(F.lit(1)).alias("n"))
     return verdict(m, "magnitude", F.col("p"), F.col("n"), (F.col("a") >= low) & (F.col("b") <= high) & (F.col("p") <= top))
 

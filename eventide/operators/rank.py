@@ -13,8 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Ranges per key are as many as shuffle partitions, and at least so many.
 RANGES = 64
+#: One over the error of the approximate quantiles that bracket exact ones.
+ACCURACY = 20_000
+#: Equal values up to this number are put in order by one task each, more by running totals.
+SORTED = 200_000
 
 
 def value_groups(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
@@ -22,6 +28,18 @@ def value_groups(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
 
 
+def count_below(df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str, column: str, step: int, out: str) -> DataFrame:
+    """Joins ``edges`` (keys, a sorted array of bounded length) and adds the number of its numbers below the value.
+
+    They are counted first among every step-th number, then among the step numbers that follow.
+    """
+    edges = edges.withColumn("_coarse", F.filter(column, lambda _, i: i % step == step - 1))
+    df = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
+    df = df.withColumn("_first", below("_coarse") * step)
+    return df.withColumn(out, F.col("_first") + below(F.slice(column, F.col("_first") + 1, step))).drop("_coarse", "_first")
+
+
 def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Adds ``before_<s>`` (sum over smaller values) and ``all_<s>`` (sum over all) for each column in ``sums``."""
     ranges = ranges or max(RANGES, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -29,15 +47,7 @@ def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Seq
     # The condition always holds; naming all sums keeps this branch's shuffle the same as the other's, so it runs once.
     named = F.when(sum((F.col(s).cast("double") for s in sums), F.lit(0.0)) > -1e308, F.col(value))
     edges = groups.groupBy(*keys).agg(F.percentile_approx(named, cuts, 20 * ranges).alias("_edges"))
-    edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % step == step - 1))
-    if keys:
-        cut = groups.join(edges, list(keys))
-    else:  # one row of at most ``ranges`` numbers
-        cut = groups.crossJoin(F.broadcast(edges))
-    # The number of edges below the value: first among every step-th edge, then among the step edges that follow.
-    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
-    cut = cut.withColumn("_first", below("_coarse") * step)
-    cut = cut.withColumn("_range", F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, step))).drop("_edges", "_coarse", "_first")
+    cut = count_below(groups, edges, keys, value, "_edges", step, "_range").drop("_edges")
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -56,11 +66,80 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
     return df.join(ranked, [*keys, value], "left")
 
 
+def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """(keys, out): the exact, linearly interpolated quantiles as one array, without a buffer of all values.
+
+    Approximate quantiles bracket each one; then the rows below a bracket are counted, and only the few distinct values inside it
+    are ranked.  Nulls do not count; without keys there is always a row, with null for quantiles of nothing.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    wide = 3 / ACCURACY  # three times the error of the approximate quantiles
+    probes = [x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))]
+    brackets = v.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", probes, ACCURACY).alias("_b"))
+    rows = v.join(brackets, list(keys)) if keys else v.crossJoin(F.broadcast(brackets))
+    side = lambda i: F.when(F.col("_v").isNull(), None).when(F.col("_v") < F.col("_b")[2 * i], -1).when(F.col("_v") > F.col("_b")[2 * i + 1], 1).otherwise(0)
+    rows = rows.select(*keys, "_n", "_v", F.posexplode(F.array(*[side(i) for i in range(len(fractions))])).alias("_i", "_side")).where("_side IS NOT NULL")
+    inside = F.when(F.col("_side") == 0, F.col("_v"))
+    groups = rows.groupBy(*keys, "_n", "_i", "_side", inside.alias("_in")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    order = Window.partitionBy(*keys, "_i").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.coalesce(F.sum("_m").over(order), F.lit(0)))
+    at = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_i"))
+
+    def of_rank(k):
+        """The value at rank k: any inside a bracket, the largest below it, the least above."""
+        last = F.col("_before") + F.col("_m") - 1
+        known = F.when(F.col("_side") == 0, F.col("_v0")).when((F.col("_side") < 0) & (k == last), F.col("_hi")).when((F.col("_side") > 0) & (k == F.col("_before")), F.col("_lo"))
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        return F.max(F.when((k >= F.col("_before")) & (k <= last), F.coalesce(known, missed)))
+
+    found = groups.withColumn("_v0", F.col("_lo")).groupBy(*keys, "_i").agg(F.first(at - F.floor(at)).alias("_part"), of_rank(F.floor(at)).alias("_a"), of_rank(F.ceil(at)).alias("_z"))
+    mixed = F.when(F.col("_part") == 0, F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_z"))
+    by_place = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", mixed.alias("_q")))).alias("_q"))
+    return by_place.select(*keys, F.array(*[F.element_at("_q", F.lit(i)) if keys else F.try_element_at("_q", F.lit(i)) for i in range(len(fractions))]).alias(out))
+
+
+def bin_markers(groups: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+    """(keys, _values, _marks): per key the values at which a bin starts, at most ``bins`` of them, in order.
+
+    ``groups`` has before_n, n and all_n.  A mark tells the bins of the value's first and last row and its rank.
+    """
+    first = F.floor(F.col("before_n") * bins / F.col("all_n"))
+    last = F.floor((F.col("before_n") + F.col("n") - 1) * bins / F.col("all_n"))
+    starts = (last > first) | (F.col("before_n") == 0) | (F.floor((F.col("before_n") - 1) * bins / F.col("all_n")) < first)
+    mark = F.struct(F.col(value).alias("v"), first.alias("first"), last.alias("last"), "before_n", "n", "all_n")
+    marks = groups.where(starts).groupBy(*keys).agg(F.sort_array(F.collect_list(mark)).alias("_marks"))
+    return marks.select(*keys, F.col("_marks.v").alias("_values"), "_marks")
+
+
 def equal_count_bins(df: DataFrame, keys: Sequence[str], value: str, tie: str, bins: int, out: str = "bin") -> DataFrame:
-    """Adds ``floor(rank0 * bins / n)`` by value, ties by the ``tie`` column; bins differ by at most one row.
+    """Adds ``floor(rank0 * bins / n)`` by value, equal values by the ``tie`` column (a number, date or time).
 
-    The ranks inside a group of equal values come from a window over that value only; the ranks of the values are distributed.
+    Values whose rows all fall into one bin need no order among them.  The others are at most ``bins`` a key: where one has more
+    than ``SORTED`` rows, they are ranked by running totals over ``tie``, so that no task sorts a common value.  Where ``tie`` tells all rows apart, bins differ by
+    at most one row; rows equal in both fall into one bin, rows without a ``tie`` first of their value; rows without a value go.
     """
-    groups = running_totals(value_groups(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, ["n"]).select(*keys, value, "before_n", "all_n")
-    near = Window.partitionBy(*keys, value).orderBy(tie)
-    return df.join(groups, [*keys, value]).withColumn(out, F.floor((F.col("before_n") + F.row_number().over(near) - 1) * bins / F.col("all_n")).cast("int")).drop("before_n", "all_n")
+    groups = running_totals(value_groups(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, ["n"])
+    marks = written(bin_markers(groups, keys, value, bins), "bin-markers")
+    rows = count_below(df.where(F.col(value).isNotNull()), marks, keys, value, "_values", max(1, math.isqrt(bins)), "_below")
+    rows = rows.withColumns({"_own": F.get("_marks", F.col("_below")), "_last": F.get("_marks", F.col("_below") - 1)["last"]}).drop("_marks", "_values", "_below")
+    own = F.coalesce(F.col("_own.v") == F.col(value), F.lit(False))
+    mixed = own & (F.col("_own.last") > F.col("_own.first"))
+    plain = rows.where(~mixed).withColumn(out, F.when(own, F.col("_own.first")).otherwise(F.col("_last")).cast("int"))
+    most = marks.select(F.explode("_marks").alias("m")).where("m.last > m.first").agg(F.max("m.n")).first()[0]  # rows of the most common such value
+    if most is None:
+        return plain.drop("_own", "_last")
+    ranked = within_ties(rows.where(mixed), [*keys, value], tie, most)
+    rank = F.col("_own.before_n") + F.col("_rank")
+    ranked = ranked.withColumn(out, F.floor(rank * bins / F.col("_own.all_n")).cast("int")).select(*plain.columns)
+    return plain.unionByName(ranked).drop("_own", "_last")
+
+
+def within_ties(tied: DataFrame, group: Sequence[str], tie: str, most: int) -> DataFrame:
+    """Adds ``_rank``: how many rows of the group come before, rows without a ``tie`` first."""
+    if most <= SORTED:
+        return tied.withColumn("_rank", F.rank().over(Window.partitionBy(*group).orderBy(F.col(tie).asc_nulls_first())) - 1)
+    ranks = running_totals(value_groups(tied, group, tie, {"n": F.count(F.lit(1))}), group, tie, ["n"]).select(*group, tie, F.col("before_n").alias("_place"))
+    unknown = tied.where(F.col(tie).isNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_unknown"))
+    ranked = tied.join(ranks, [*group, tie], "left").join(unknown, list(group), "left")
+    place = F.when(F.col("_place").isNull(), 0).otherwise(F.col("_place") + F.coalesce("_unknown", F.lit(0)))
+    return ranked.withColumn("_rank", place).drop("_place", "_unknown")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import equal_count_bins, running_totals, value_groups
+from .rank import equal_count_bins, percentiles, running_totals, value_groups
 
 
 def gini_of_groups(groups: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -91,7 +91,8 @@ def pooled_gini(per_bin: DataFrame) -> DataFrame:
 def event_rate_curve(df: DataFrame, value: str, flag: str, tie: str, bins: int = 20) -> DataFrame:
     """(bin, n, median, rate, se) over equal-count bins of the value."""
     rows = equal_count_bins(df.where(f"`{value}` IS NOT NULL AND `{flag}` IS NOT NULL"), [], value, tie, bins)
-    out = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("median"), F.avg(F.col(flag).cast("int")).alias("rate"))
+    rates = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("int")).alias("rate"))
+    out = rates.join(percentiles(rows, value, [0.5], ["bin"], "m"), "bin").select("bin", "n", F.col("m")[0].alias("median"), "rate")
     return out.withColumn("se", F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")))
 
 
@@ -105,7 +106,7 @@ def auc(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataF
 
 def tail_capture(df: DataFrame, value: str, flag: str, percentile: float = 90) -> DataFrame:
     """(threshold, n_events, captured): share of the events at or above a percentile of the value."""
-    cut = df.agg(F.percentile(value, percentile / 100).alias("threshold"))
+    cut = percentiles(df, value, [percentile / 100]).select(F.col("q")[0].alias("threshold"))
     return df.crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.count_if(F.col(flag)).alias("n_events"), (F.count_if(F.col(flag) & (F.col(value) >= F.col("threshold"))) / F.nullif(F.count_if(F.col(flag)), F.lit(0))).alias("captured"))
 
 

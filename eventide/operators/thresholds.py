@@ -7,22 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import percentiles as quantiles
+
 
 def percentile_thresholds(df: DataFrame, column: str, percentiles: Sequence[float]) -> list[float]:
-    """Exact, linearly interpolated, null-ignoring percentiles (0-100) in one pass."""
-    row = df.agg(F.percentile(column, [p / 100 for p in percentiles]).alias("t")).first()
-    return list(row["t"] or [None] * len(percentiles))
+    """Exact, linearly interpolated, null-ignoring percentiles (0-100), as few numbers."""
+    return list(quantiles(df, column, [p / 100 for p in percentiles]).first()["q"])
 
 
 def threshold_table(df: DataFrame, column: str, percentiles: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, pct, threshold) as rows."""
-    found = df.groupBy(*keys).agg(F.percentile(column, [p / 100 for p in percentiles]).alias("_t"))
+    found = quantiles(df, column, [p / 100 for p in percentiles], keys, "_t")
     return found.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percentiles]).alias("pct"), F.col("_t").alias("threshold"))).alias("_z")).select(*keys, "_z.pct", "_z.threshold")
 
 
 def conditional_percentile(df: DataFrame, column: str, condition: Column, percentile: float) -> DataFrame:
     """(threshold): a percentile among the rows that meet a condition."""
-    return df.agg(F.percentile(F.when(condition, F.col(column)), percentile / 100).alias("threshold"))
+    return quantiles(df.where(condition), column, [percentile / 100]).select(F.col("q")[0].alias("threshold"))
 
 
 def exceeds(column: str | Column, threshold: float | Column) -> Column:

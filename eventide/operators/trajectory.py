@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import running_totals, value_groups
+
 
 def apply_kernel(kernel: DataFrame, surface: DataFrame, receptor: Sequence[str], source: Sequence[str], weight: str, value: str, min_coverage: float = 0.0) -> DataFrame:
     """(receptor, value, coverage): weighted mean of a gappy surface, renormalised by the weight on known cells; null below the coverage."""
@@ -52,7 +54,7 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
 
     p = p.withColumn("_c", F.transform(F.flatten(around), lambda c: F.struct(c["ilat"].alias("ilat"), c["ilon"].alias("ilon"), weight(c).alias("w"))))
     p = p.withColumn("_t", F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["w"]))
-    flat = p.select(*receptor, "_m", "_t", F.explode("_c").alias("c")).where("c.w > 0")
+    flat = p.select(*receptor, "_m", "_t", F.explode(F.filter("_c", lambda c: c["w"] > 0)).alias("c"))
     return flat.groupBy(*receptor, "c.ilat", "c.ilon").agg(F.sum(F.col("_m") * F.col("c.w") / F.col("_t")).alias("mass"))
 
 
@@ -60,9 +62,11 @@ def containment(members: DataFrame, group: Sequence[str], x: str, y: str, share:
     """(group, cx, cy, radius): the circle around the mean position that holds a share of the members; groups below ``fewest`` stay open (null radius)."""
     centre = members.groupBy(*group).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count(F.lit(1)).alias("_n"))
     d = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
-    ranked = members.join(centre, list(group)).withColumn("_d", d).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("_d")))
-    radius = F.when(F.first("_n") >= fewest, F.min(F.when(F.col("_k") >= F.ceil(share * F.col("_n")), F.col("_d"))))
-    return ranked.groupBy(*group, "cx", "cy").agg(radius.alias("radius"))
+    away = members.join(centre, list(group)).select(*group, d.alias("_d"))
+    ranks = running_totals(value_groups(away, group, "_d", {"_m": F.count(F.lit(1))}), group, "_d", ["_m"])
+    # The member of rank ceil(share * n) is the largest one with fewer than so many nearer ones.
+    radius = ranks.groupBy(*group).agg(F.max(F.when(F.col("before__m") < F.ceil(share * F.col("all__m")), F.col("_d"))).alias("_r"))
+    return centre.join(radius, list(group), "left").select(*group, "cx", "cy", F.when(F.col("_n") >= fewest, F.col("_r")).alias("radius"))
 
 
 def normalise_per_lag(kernel: DataFrame, receptor: Sequence[str], lag: str, raw: str, masked: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import percentiles
+
 DAY0 = "1970-01-01"
 
 
@@ -76,7 +78,7 @@ def terciles(rank: Column, labels: Sequence[str] = ("low", "mid", "high")) -> Co
 
 def quantile_bins(df: DataFrame, value: str, quantiles: Sequence[float], out: str) -> DataFrame:
     """Number of quantile edges below the value (bins closed on the right)."""
-    edges = df.agg(F.percentile(value, list(quantiles)).alias("_e"))
+    edges = percentiles(df, value, quantiles, out="_e")
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(value))))).drop("_e")
 
 
