@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+def also(name: str, earlier: str) -> None:
+    """Keep an earlier name of a query that is still asked for."""
+    QUERIES[earlier] = QUERIES[name]
+    if name in SQL:
+        SQL[earlier] = SQL[name]

@@ -113,8 +113,7 @@ def pooled_legs(df: DataFrame, name: str, pattern: str, keys: Sequence[str], val
 
 def require_same(manifest: DataFrame, now: dict[str, str]) -> None:
     """An error if a written manifest (name, value) disagrees with the current settings."""
-    old = {r["name"]: r["value"] for r in manifest.limit(1000).collect()}
-    wrong = {k: (old[k], v) for k, v in now.items() if k in old and old[k] != v}
+    wrong = [r for k, v in now.items() for r in manifest.where((F.col("name") == k) & ~F.col("value").eqNullSafe(F.lit(v))).limit(1).collect()]
     if wrong:
         raise ValueError(f"results were made under other settings: {wrong}")
 

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_POINTS = 1500
+#: Up to so many known points one dense system is solved; more are solved by conjugate gradients from blocks of distances.
+DENSE_POINTS = 3000
+BLOCK = 1000
 
 
-def kriged(lat: np.ndarray, lon: np.ndarray, v: np.ndarray, seed: int, nugget: float = 1e-6) -> np.ndarray:
-    """Ordinary kriging with a linear variogram: gaps from up to ``MOST_POINTS`` known points; the mean from fewer than ten, nothing from none."""
+def kriged(lat: np.ndarray, lon: np.ndarray, v: np.ndarray, nugget: float = 1e-6) -> np.ndarray:
+    """Ordinary kriging with a linear variogram from all known points; the mean from fewer than ten, nothing from none."""
     known = np.flatnonzero(~np.isnan(v))
     gaps = np.flatnonzero(np.isnan(v))
     out = v.copy()
@@ -22,19 +24,44 @@ def kriged(lat: np.ndarray, lon: np.ndarray, v: np.ndarray, seed: int, nugget: f
     if len(known) < 10:
         out[gaps] = v[known].mean()
         return out
-    if len(known) > MOST_POINTS:
-        known = np.sort(np.random.default_rng(seed).choice(known, MOST_POINTS, replace=False))
     xy = np.column_stack([lat, lon]).astype(float)
-    distance = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    away = lambda rows: np.sqrt(((xy[rows][:, None] - xy[known][None]) ** 2).sum(axis=2)) + nugget
+    # Dual form: c and m with A c + m = v and sum(c) = 0 serve all gaps at once.
+    c, m = (dense_weights if len(known) <= DENSE_POINTS else gradient_weights)(away, known, v[known], nugget)
+    for part in np.array_split(gaps, -(-len(gaps) // BLOCK)):
+        out[part] = away(part) @ c + m
+    return out
+
+
+def dense_weights(away, known: np.ndarray, v: np.ndarray, nugget: float) -> tuple[np.ndarray, float]:
     n = len(known)
     a = np.ones((n + 1, n + 1))
-    a[:n, :n] = distance(xy[known], xy[known]) + nugget * (1 - np.eye(n))
+    a[:n, :n] = away(known) - nugget * np.eye(n)
     a[n, n] = 0
-    for part in np.array_split(gaps, max(1, len(gaps) // 1000)):
-        b = np.ones((n + 1, len(part)))
-        b[:n] = distance(xy[known], xy[part]) + nugget
-        out[part] = np.linalg.lstsq(a, b, rcond=None)[0][:n].T @ v[known]
-    return out
+    x = np.linalg.lstsq(a, np.append(v, 0.0), rcond=None)[0]
+    return x[:n], x[n]
+
+
+def gradient_weights(away, known: np.ndarray, v: np.ndarray, nugget: float, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """The same weights without the matrix: minus the distances are positive definite among weights that sum to nothing."""
+    parts = np.array_split(np.arange(len(known)), -(-len(known) // BLOCK))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([away(known[p]) @ x for p in parts]) - nugget * x
+
+    centred = lambda x: x - x.mean()
+    c, rest = np.zeros(len(v)), -centred(v)
+    step, size = rest.copy(), rest @ rest
+    least = tolerance**2 * max(size, 1e-300)
+    for _ in range(10 * len(v)):
+        if size <= least:
+            break
+        image = -centred(product(step))
+        length = size / (step @ image)
+        c, rest = c + length * step, rest - length * image
+        size, before = rest @ rest, size
+        step = rest + size / before * step
+    return c, float((v - product(c)).mean())
 
 
 def nearest(lat: np.ndarray, lon: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -58,9 +85,7 @@ def fill(df: DataFrame, keys: Sequence[str], key_schema: str, value: str, method
         pdf = pdf.sort_values(["lat", "lon"], ignore_index=True)
         v = pdf[value].to_numpy(float)
         lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
-        # The seed follows the field's key, not the partitioning.
-        seed = int(pd.util.hash_pandas_object(pdf[list(keys)].iloc[:1].astype(str), index=False).iloc[0] % (1 << 32)) if method == "krige" and keys else 0
-        filled = kriged(lat, lon, v, seed) if method == "krige" else nearest(lat, lon, v)
+        filled = kriged(lat, lon, v) if method == "krige" else nearest(lat, lon, v)
         kind = np.where(~np.isnan(v), 0, np.where(np.isnan(filled), -1, 1)).astype(np.int8)
         return pdf[[*keys, "lat", "lon", value]].assign(filled=filled, gap_type=kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..operators import aggregates as agg
 from ..operators import rank, windows
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
@@ -158,19 +158,16 @@ def data_audit(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("n_days"), hours.alias("hours"), F.round(F.avg(F.when(F.col("target").isNotNull(), F.col("predictor"))), 6).alias("mean"))
 
 
-@query("agg_matrix", f"WITH {DAILY} SELECT lat, {', '.join(f'round(max(v) FILTER (WHERE lon = {k}), 6) AS c{k}' for k in range(4))} FROM daily WHERE day = DATE '2024-01-10' GROUP BY lat")
+@query("agg_matrix", f"WITH {DAILY} SELECT day, lat, {', '.join(f'round(max(v) FILTER (WHERE lon = {k}), 6) AS c{k}' for k in range(12))} FROM daily GROUP BY day, lat")
 def matrix(spark, sf_dir):
-    out = agg.matrix(daily(spark, sf_dir).where("day = date'2024-01-10'"), "lat", "lon", range(4), "v")
-    return out.select("lat", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(4)])
-
-
-@query("agg_matrix_whole", f"WITH {DAILY} SELECT day, lat, {', '.join(f'round(max(v) FILTER (WHERE lon = {k}), 6) AS c{k}' for k in range(12))} FROM daily GROUP BY day, lat")
-def matrix_whole(spark, sf_dir):
     """The matrix of every day over all columns."""
     out = agg.matrix(daily(spark, sf_dir), ["day", "lat"], "lon", range(12), "v")
     return out.select("day", "lat", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(12)])
 
 
+also("agg_matrix", "agg_matrix_whole")
+
+
 @query("set_union_by_name", "SELECT doc_id AS id, 'labels' AS part, quality, NULL AS lang FROM labels UNION ALL SELECT doc_id, 'documents', NULL, lang FROM documents")
 def union_by_name(spark, sf_dir):
     a = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("labels").alias("part"), "quality")
@@ -215,22 +212,12 @@ def first_per_group(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("user_id").agg(F.min_by("event_id", "event_id").alias("event_id"))
 
 
-COVERING_HEAD = f"""WITH {ROWS}, s AS (SELECT user_id, sum(CAST(round(target * 100) AS BIGINT)) AS c FROM rows GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY c DESC, user_id) - c AS before, sum(c) OVER () AS total, row_number() OVER (ORDER BY c DESC, user_id) AS k FROM s)
-SELECT user_id, CAST(c AS BIGINT) AS c FROM r WHERE before < 0.3 * total AND k <= 50"""
+COVERING_HEAD = f"""WITH {ROWS}, s AS (SELECT user_id, sum(CAST(round(target * 100) AS BIGINT)) AS c FROM rows GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY c DESC, user_id) - c AS before, sum(c) OVER () AS total FROM s)
+SELECT user_id, CAST(c AS BIGINT) AS c FROM r WHERE before < 0.3 * total"""
 
 
 @query("top_covering_head", COVERING_HEAD)
 def covering_head(spark, sf_dir):
-    """The smallest head of a ranking that covers a share of the total, at most 50 rows: only the head is ever sorted in one place."""
-    s = rows(spark, sf_dir).groupBy("user_id").agg(F.sum(F.round(F.col("target") * 100).cast("long")).alias("c"))
-    total = s.agg(F.sum("c").alias("total"))
-    head = s.orderBy(F.desc("c"), "user_id").limit(50)
-    w = Window.orderBy(F.desc("c"), "user_id").rowsBetween(Window.unboundedPreceding, -1)
-    return head.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).crossJoin(F.broadcast(total)).where(F.col("before") < 0.3 * F.col("total")).select("user_id", "c")
-
-
-@query("top_covering_head_whole", COVERING_HEAD.replace(" AND k <= 50", ""))
-def covering_head_whole(spark, sf_dir):
     """The smallest head that covers the share, however long: running sums over ranges of totals, then among users of equal totals."""
     s = rows(spark, sf_dir).groupBy("user_id").agg(F.sum(F.round(F.col("target") * 100).cast("long")).alias("c")).withColumn("down", -F.col("c"))
     sums = rank.running_totals(rank.value_groups(s, [], "down", {"t": F.sum("c")}), [], "down", ["t"])
@@ -239,6 +226,9 @@ def covering_head_whole(spark, sf_dir):
     return head.withColumn("ties", F.coalesce(F.sum("c").over(w), F.lit(0))).where(F.col("before_t") + F.col("ties") < 0.3 * F.col("all_t")).select("user_id", "c")
 
 
+also("top_covering_head", "top_covering_head_whole")
+
+
 @query("top_evenly_spaced", f"WITH {ROWS}, d AS (SELECT DISTINCT day FROM rows), n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM d) SELECT day FROM n WHERE i % greatest(1, n // 10) = 0")
 def evenly_spaced(spark, sf_dir):
     """About ten steps over the days, whose number does not grow with the rows."""

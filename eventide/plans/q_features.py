@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..operators import features, ml, screens, skill, thresholds, trajectory, windows
+from ..sources.scratch import written
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
 from .q_inference import KERNEL, kernel
 from .q_skill import FLAGGED, flagged, gini_sql
@@ -35,22 +36,21 @@ def complete_samples(spark, sf_dir):
     return features.complete_samples(df, ["p", "n"]).select("o_orderkey", "n")
 
 
-LEVEL_MIXING = """WITH e AS (SELECT vec_id, i, CASE WHEN i % 7 <> 0 THEN CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, (SELECT UNNEST(range(1, 9)) AS i)), w AS (SELECT a.vec_id, a.i, sum(CASE WHEN b.i = a.i THEN 2.0 ELSE 1.0 END * b.v) / sum(CASE WHEN b.v IS NOT NULL THEN CASE WHEN b.i = a.i THEN 2.0 ELSE 1.0 END END) AS m FROM e a JOIN e b ON a.vec_id = b.vec_id AND abs(a.i - b.i) <= 1 GROUP BY ALL)
+LEVEL_MIXING = """WITH e AS (SELECT vec_id, i, CASE WHEN i % 7 <> 0 THEN CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, (SELECT UNNEST(range(1, 65)) AS i)), w AS (SELECT a.vec_id, a.i, sum(CASE WHEN b.i = a.i THEN 2.0 ELSE 1.0 END * b.v) / sum(CASE WHEN b.v IS NOT NULL THEN CASE WHEN b.i = a.i THEN 2.0 ELSE 1.0 END END) AS m FROM e a JOIN e b ON a.vec_id = b.vec_id AND abs(a.i - b.i) <= 1 GROUP BY ALL)
 SELECT vec_id, i - 1 AS level, round(m, 6) AS mixed FROM w"""
 
 
 @query("grd_level_mixing", LEVEL_MIXING)
-def level_mixing(spark, sf_dir, levels=8):
+def level_mixing(spark, sf_dir):
+    """All 64 levels of each profile."""
+    levels = 64
     weights = [[(j, 2.0 if j == i else 1.0) for j in range(max(0, i - 1), min(levels, i + 2))] for i in range(levels)]
-    df = load(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, levels), lambda v, i: F.when((i + 1) % 7 != 0, v.cast("double"))).alias("p"))
+    df = load(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding"), lambda v, i: F.when((i + 1) % 7 != 0, v.cast("double"))).alias("p"))
     mixed = features.mix_levels(df, "p", weights, "m").select("vec_id", F.posexplode("m").alias("level", "mixed"))
     return mixed.select("vec_id", F.col("level").cast("long").alias("level"), F.round("mixed", 6).alias("mixed"))
 
 
-@query("grd_level_mixing_whole", LEVEL_MIXING.replace("range(1, 9)", "range(1, 65)"))
-def level_mixing_whole(spark, sf_dir):
-    """All 64 levels of each profile."""
-    return level_mixing(spark, sf_dir, 64)
+also("grd_level_mixing", "grd_level_mixing_whole")
 
 
 @query("trj_influence", f"""WITH {ROWS}, f AS (SELECT lat, lon, lag, sum(predictor) AS mass, max(control * 20) AS depth, count(*) AS n FROM (SELECT *, slot AS lag FROM rows) GROUP BY ALL), p AS (SELECT lat, lon, sum(mass * 3600) / max(n) AS phi, 1.1 * max(depth) AS m_star FROM f GROUP BY lat, lon)
@@ -160,9 +160,10 @@ def hourly_significance(spark, sf_dir):
 @query("ml_hour_matched")
 def hour_matched(spark, sf_dir):
     """One forest per slot, each scored on its own held-out rows."""
-    df = rows(spark, sf_dir).select("event_id", "slot", "predictor", "control", "target").persist()
+    df = rows(spark, sf_dir).select("event_id", "slot", "predictor", "control", "target")
+    df = written(df, "slots")
     out = None
-    for s in range(3):
+    for s in range(6):
         own = df.where(F.col("slot") == s)
         model = ml.forest_fit(own.where("event_id % 4 <> 0"), ["predictor", "control"], "target", 8, 5)
         r = skill.r_squared(model.transform(ml.assemble(own.where("event_id % 4 = 0"), ["predictor", "control"])), "target", "predicted", ["slot"])

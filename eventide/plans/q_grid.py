@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..operators import grid, verify
 from .frames import CELLS, DAILY, ROWS, cells, daily, rows
 
@@ -68,18 +68,15 @@ def thermal_front(spark, sf_dir):
     return grid.thermal_front(climate(spark, sf_dir), [], "v", 1.0).withColumn("tfp", F.round("tfp", 5))
 
 
-LINES = ROWS + ", s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, predictor / 10 AS x, control / 10 AS y FROM rows), pts AS (SELECT * FROM s WHERE seq <= 5)"
+LINES = ROWS + ", s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, predictor / 10 AS x, control / 10 AS y FROM rows), pts AS (SELECT * FROM s)"
 
 
-def lines(spark, sf_dir, most=None):
-    """The events of each user as a polyline, all of them or the first ``most``."""
+def lines(spark, sf_dir):
+    """The events of each user as a polyline."""
     from pyspark.sql import Window
 
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    p = rows(spark, sf_dir).withColumn("seq", seq)
-    if most is not None:
-        p = p.where(F.col("seq") <= most)
-    return p.select("user_id", "seq", (F.col("predictor") / 10).alias("x"), (F.col("control") / 10).alias("y"))
+    return rows(spark, sf_dir).select("user_id", seq.alias("seq"), (F.col("predictor") / 10).alias("x"), (F.col("control") / 10).alias("y"))
 
 
 @query("grd_rasterise", f"""WITH {LINES}, g AS (SELECT user_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
@@ -87,13 +84,10 @@ c AS (SELECT *, i.i AS ilat, j.j AS ilon FROM g, (SELECT UNNEST(range(-1, 12)) A
 d AS (SELECT *, CASE WHEN pow(x1 - x0, 2) + pow(y1 - y0, 2) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((ilon - x0) * (x1 - x0) + (ilat - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) END AS u FROM c)
 SELECT DISTINCT user_id, ilat, ilon FROM d WHERE sqrt(pow(ilon - (x0 + u * (x1 - x0)), 2) + pow(ilat - (y0 + u * (y1 - y0)), 2)) <= 0.5 + 1e-9""")
 def rasterise(spark, sf_dir):
-    return grid.rasterise(lines(spark, sf_dir, 5), ["user_id"], "seq", "x", "y", 1.0)
+    return grid.rasterise(lines(spark, sf_dir), ["user_id"], "seq", "x", "y", 1.0)
 
 
-@query("grd_rasterise_whole")
-def rasterise_whole(spark, sf_dir):
-    """No SQL: every segment against every grid point is too slow; a test compares with brute force."""
-    return grid.rasterise(lines(spark, sf_dir), ["user_id"], "seq", "x", "y", 1.0)
+also("grd_rasterise", "grd_rasterise_whole")
 
 
 @query("grd_class_grid", f"""WITH {ROWS}, m AS (SELECT day, lat, lon, event_type, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 END AS p FROM rows WHERE predictor > 30)

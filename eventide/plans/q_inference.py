@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..functions import physics as phys
 from ..operators import climatology as clim
 from ..operators import gapfill, inference, trajectory, windows
 from .frames import CELLS, DAILY, ROWS, cells, daily, rows
-from .q_screens import PATH, paths, whole
+from .q_screens import PATH, paths
 from .q_skill import FLAGGED, flagged
 
 
@@ -185,19 +185,13 @@ def resample(spark, sf_dir):
 
 @query("trj_deposit")
 def deposit(spark, sf_dir):
-    """The spread grows with the step, so only short paths have a bounded one."""
-    return deposited(paths(spark, sf_dir, 7), 0.3 + F.col("step") / 5)
-
-
-@query("trj_deposit_whole")
-def deposit_whole(spark, sf_dir):
-    """All points of all paths; the spread follows the control."""
-    return deposited(paths(spark, sf_dir), 0.5 + F.col("py") / 100)
+    """All points of all paths; the spread follows the control, which bounds it."""
+    spread = 0.5 + F.col("py") / 100
+    p = paths(spark, sf_dir).select("user_id", (F.col("px") / 20).alias("y"), (F.col("py") / 10).alias("x"), spread.alias("s"), F.lit(1.0).alias("m"))
+    return trajectory.deposit(p, ["user_id"], "y", "x", "s", "m").withColumn("mass", F.round("mass", 8))
 
 
-def deposited(points, spread):
-    p = points.select("user_id", (F.col("px") / 20).alias("y"), (F.col("py") / 10).alias("x"), spread.alias("s"), F.lit(1.0).alias("m"))
-    return trajectory.deposit(p, ["user_id"], "y", "x", "s", "m").withColumn("mass", F.round("mass", 8))
+also("trj_deposit", "trj_deposit_whole")
 
 
 @query("trj_containment", f"""WITH {ROWS}, c AS (SELECT event_type, slot, avg(predictor) AS cx, avg(control) AS cy, count(*) AS n FROM rows GROUP BY ALL), d AS (SELECT r.event_type, r.slot, cx, cy, n, sqrt(pow(predictor - cx, 2) + pow(control - cy, 2)) AS d FROM rows r JOIN c USING (event_type, slot)), k AS (SELECT *, row_number() OVER (PARTITION BY event_type, slot ORDER BY d) AS k FROM d)
@@ -229,20 +223,18 @@ def kernel_shape(spark, sf_dir):
 
 
 FOOTPRINT_TOTALS = f"""WITH {PATH}, h AS (SELECT *, epoch_us(ts) / 3600000000 AS h FROM p), r AS (SELECT *, (coalesce(h - lag(h) OVER w, 0) + coalesce(lead(h) OVER w - h, 0)) / 2 AS res, last_value(h) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - h AS back FROM h WINDOW w AS (PARTITION BY user_id ORDER BY step))
-SELECT user_id, CAST(round_even(back / 24, 0) AS INT) AS lag, round(sum(res * CASE WHEN px * 20 <= py * 15 THEN 1.0 WHEN px * 20 >= py * 15 * 1.2 THEN 0.0 ELSE 1 - (px * 20 - py * 15) / (py * 15 * 0.2) END), 5) AS mass FROM r GROUP BY ALL""".replace("py * 15 THEN 1.0", "py * 15 THEN 1.0")
+SELECT user_id, CAST(round_even(back / 24, 0) AS INT) AS lag, round(sum(res * CASE WHEN px * 20 <= py * 15 THEN 1.0 WHEN px * 20 >= py * 15 * 1.2 THEN 0.0 ELSE 1 - (px * 20 - py * 15) / (py * 15 * 0.2) END), 5) AS mass FROM r GROUP BY ALL"""
 
 
 @query("trj_footprint_totals", FOOTPRINT_TOTALS)
-def footprint_totals(spark, sf_dir, most=7):
+def footprint_totals(spark, sf_dir):
     """Contact-weighted residence hours per path and day back from its end."""
     from pyspark.sql import Window
 
-    df = paths(spark, sf_dir, most).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0)
+    df = paths(spark, sf_dir).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0)
     df = windows.residence_hours(df, ["user_id"], "step", "h", "res").withColumn("back", F.max("h").over(Window.partitionBy("user_id")) - F.col("h"))
     mass = F.sum(F.col("res") * phys.contact_weight(F.col("px") * 20, F.col("py") * 15))
     return df.groupBy("user_id", F.rint(F.col("back") / 24).cast("int").alias("lag")).agg(F.round(mass, 5).alias("mass"))
 
 
-@query("trj_footprint_totals_whole", whole(FOOTPRINT_TOTALS))
-def footprint_totals_whole(spark, sf_dir):
-    return footprint_totals(spark, sf_dir, None)
+also("trj_footprint_totals", "trj_footprint_totals_whole")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..operators import asof
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
 
@@ -85,20 +85,10 @@ def last_before(spark, sf_dir):
     return asof.last_before(t.where("event_type = 'click'"), right, ["user_id"], "s", "rs", ["rp"]).select("event_id", "rs_before", "rp")
 
 
-@query("jn_last_at_or_before", """WITH o AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS p FROM orders GROUP BY ALL), l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate FROM lineitem WHERE l_linenumber = 1),
-k AS (SELECT l_orderkey, l_linenumber, l_shipdate, min(o_custkey) AS o_custkey FROM l JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT k.l_orderkey, k.l_shipdate, o.p FROM k ASOF LEFT JOIN o ON k.o_custkey = o.o_custkey AND k.l_shipdate >= o.o_orderdate""")
-def last_at_or_before(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders")
-    right = orders.groupBy("o_custkey", "o_orderdate").agg(F.max("o_totalprice").alias("p"))
-    left = load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_shipdate").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy("l_orderkey", "l_shipdate").agg(F.min("o_custkey").alias("o_custkey"))
-    return asof.last_before(left, right, ["o_custkey"], "l_shipdate", "o_orderdate", ["p"], strictly=False).select("l_orderkey", "l_shipdate", "p")
-
-
-@query("jn_last_at_or_before_whole", """WITH o AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS p FROM orders GROUP BY ALL), c AS (SELECT o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY 1),
+@query("jn_last_at_or_before", """WITH o AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS p FROM orders GROUP BY ALL), c AS (SELECT o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY 1),
 k AS (SELECT l_orderkey, l_linenumber, l_shipdate, o_custkey FROM lineitem LEFT JOIN c ON l_orderkey = o_orderkey)
 SELECT k.l_orderkey, k.l_linenumber, k.l_shipdate, o.p FROM k ASOF LEFT JOIN o ON k.o_custkey = o.o_custkey AND k.l_shipdate >= o.o_orderdate""")
-def last_at_or_before_whole(spark, sf_dir):
+def last_at_or_before(spark, sf_dir):
     """Every lineitem row with its customer's last order; a row without one stays, with null."""
     orders = load(spark, sf_dir, "orders")
     right = orders.where("o_custkey IS NOT NULL").groupBy("o_custkey", "o_orderdate").agg(F.max("o_totalprice").alias("p"))
@@ -107,6 +97,9 @@ def last_at_or_before_whole(spark, sf_dir):
     return asof.last_before(left, right, ["o_custkey"], "l_shipdate", "o_orderdate", ["p"], strictly=False).select("l_orderkey", "l_linenumber", "l_shipdate", "p")
 
 
+also("jn_last_at_or_before", "jn_last_at_or_before_whole")
+
+
 @query("jn_bracketed", f"""WITH {T_ROWS}, r AS (SELECT user_id, s, max(predictor) AS v FROM t WHERE event_type = 'view' GROUP BY ALL), q AS (SELECT event_id, user_id, s FROM t WHERE event_type = 'click'),
 a AS (SELECT q.*, r.s AS s0, r.v AS v0 FROM q ASOF LEFT JOIN r ON q.user_id = r.user_id AND q.s >= r.s), b AS (SELECT q.event_id, r.s AS s1, r.v AS v1 FROM q ASOF LEFT JOIN r ON q.user_id = r.user_id AND q.s <= r.s)
 SELECT event_id, round(CASE WHEN s0 = s1 THEN v0 WHEN s1 - s0 <= 172800 THEN v0 + (v1 - v0) * (s - s0) / (s1 - s0) END, 5) AS v FROM a JOIN b USING (event_id)""")

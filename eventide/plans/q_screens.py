@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..functions import clean
 from ..operators import rank, screens, windows
 from .frames import CELLS, DAILY, ROWS, cells, daily, rows
@@ -129,39 +129,28 @@ def smooth3(spark, sf_dir):
     return windows.smooth3(daily(spark, sf_dir), ["lat", "lon"], "day", "v", "smooth").select("day", "lat", "lon", F.round("smooth", 6).alias("smooth"))
 
 
-#: Paths of seven events; ``whole`` lifts the cap.
-PATH = ROWS + ", s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM rows), p AS (SELECT user_id, step, event_id, ts, predictor AS px, control AS py FROM s WHERE step <= 7)"
+PATH = ROWS + ", p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_id, ts, predictor AS px, control AS py FROM rows)"
 
 
-def whole(sql: str) -> str:
-    """SQL over the first events of each user, made to take all of them."""
-    return sql.replace(" WHERE step <= 7", "").replace(" WHERE seq <= 6", "")
-
-
-def paths(spark, sf_dir, most=None):
-    """The events of each user as a trajectory, all of them or the first ``most``."""
+def paths(spark, sf_dir):
+    """The events of each user as a trajectory."""
     from pyspark.sql import Window
 
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    p = rows(spark, sf_dir).withColumn("step", step)
-    if most is not None:
-        p = p.where(F.col("step") <= most)
-    return p.select("user_id", "step", "event_id", "ts", F.col("predictor").alias("px"), F.col("control").alias("py"))
+    return rows(spark, sf_dir).select("user_id", step.alias("step"), "event_id", "ts", F.col("predictor").alias("px"), F.col("control").alias("py"))
 
 
 PATH_LENGTH = f"""WITH {PATH}, q AS (SELECT *, coalesce(sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2)), 0) AS piece FROM p WINDOW w AS (PARTITION BY user_id ORDER BY step))
 SELECT user_id, step, round(sum(piece) OVER (PARTITION BY user_id ORDER BY step), 5) AS travelled, round(sum(piece) OVER (PARTITION BY user_id) - sum(piece) OVER (PARTITION BY user_id ORDER BY step), 5) AS remaining FROM q"""
 
 
-@query("win_path_length", PATH_LENGTH)
-def path_length(spark, sf_dir, most=7):
-    out = windows.path_length(paths(spark, sf_dir, most), ["user_id"], "step", "px", "py")
+@query("win_path_length", f"SELECT user_id, step, travelled, remaining + 0.0 AS remaining FROM ({PATH_LENGTH})")
+def path_length(spark, sf_dir):
+    out = windows.path_length(paths(spark, sf_dir), ["user_id"], "step", "px", "py")
     return out.select("user_id", "step", F.round("travelled", 5).alias("travelled"), (F.round("remaining", 5) + 0.0).alias("remaining"))
 
 
-@query("win_path_length_whole", f"SELECT user_id, step, travelled, remaining + 0.0 AS remaining FROM ({whole(PATH_LENGTH)})")
-def path_length_whole(spark, sf_dir):
-    return path_length(spark, sf_dir, None)
+also("win_path_length", "win_path_length_whole")
 
 
 RESIDENCE = f"""WITH {PATH}, h AS (SELECT *, epoch_us(ts) / 3600000000 AS h FROM p)
@@ -169,14 +158,12 @@ SELECT user_id, step, round((coalesce(h - lag(h) OVER w, 0) + coalesce(lead(h) O
 
 
 @query("win_residence", RESIDENCE)
-def residence(spark, sf_dir, most=7):
-    df = paths(spark, sf_dir, most).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0)
+def residence(spark, sf_dir):
+    df = paths(spark, sf_dir).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0)
     return windows.residence_hours(df, ["user_id"], "step", "h", "hours").select("user_id", "step", F.round("hours", 5).alias("hours"))
 
 
-@query("win_residence_whole", whole(RESIDENCE))
-def residence_whole(spark, sf_dir):
-    return residence(spark, sf_dir, None)
+also("win_residence", "win_residence_whole")
 
 
 @query("win_percentage_rank", f"""WITH {ROWS}, g AS (SELECT predictor, count(*) AS n FROM rows GROUP BY 1), r AS (SELECT predictor, (sum(n) OVER (ORDER BY predictor) - n + (n + 1) / 2) / sum(n) OVER () AS p FROM g)

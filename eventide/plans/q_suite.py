@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import also, query
 from ..operators import inversion, ml, qa, skill
 from ..sources import bulletins, tables
 from . import suite
 from .config import Hypothesis, RunConfig
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
-from .q_screens import whole
 from .q_skill import flagged
 
 REGISTRY = (
@@ -202,23 +201,18 @@ def bulletin_points(spark, sf_dir):
     return points.groupBy("kind").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-UNWRAPPED = f"""WITH {ROWS}, s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, predictor % 90 AS lat, (control * 37) % 361 - 180 AS lon FROM rows), p AS (SELECT * FROM s WHERE seq <= 6),
-r AS (SELECT *, coalesce(((lon - lag(lon) OVER w + 180) % 360 + 360) % 360 - 180, 0) AS st FROM p WINDOW w AS (PARTITION BY user_id ORDER BY seq)), u AS (SELECT *, first_value(lon) OVER w + sum(st) OVER w AS u FROM r WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+UNWRAPPED = f"""WITH {ROWS}, s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, predictor % 90 AS lat, (control * 37) % 361 - 180 AS lon FROM rows),
+r AS (SELECT *, coalesce(((lon - lag(lon) OVER w + 180) % 360 + 360) % 360 - 180, 0) AS st FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq)), u AS (SELECT *, first_value(lon) OVER w + sum(st) OVER w AS u FROM r WINDOW w AS (PARTITION BY user_id ORDER BY seq))
 SELECT user_id, seq, round(u - 360 * round_even((avg(u) OVER (PARTITION BY user_id) + 101) / 360, 0), 6) AS lon FROM u"""
 
 
 @query("src_unwrapped_lines", UNWRAPPED)
-def unwrapped(spark, sf_dir, most=6):
+def unwrapped(spark, sf_dir):
     from pyspark.sql import Window
 
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    p = rows(spark, sf_dir).withColumn("seq", seq)
-    if most is not None:
-        p = p.where(F.col("seq") <= most)
-    p = p.select("user_id", "seq", (F.col("predictor") % 90).alias("lat"), ((F.col("control") * 37) % 361 - 180).alias("lon"))
+    p = rows(spark, sf_dir).select("user_id", seq.alias("seq"), (F.col("predictor") % 90).alias("lat"), ((F.col("control") * 37) % 361 - 180).alias("lon"))
     return bulletins.split_and_unwrap(p, ["user_id"], -101.0).select("user_id", "seq", F.round("lon", 6).alias("lon"))
 
 
-@query("src_unwrapped_lines_whole", whole(UNWRAPPED))
-def unwrapped_whole(spark, sf_dir):
-    return unwrapped(spark, sf_dir, None)
+also("src_unwrapped_lines", "src_unwrapped_lines_whole")

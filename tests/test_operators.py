@@ -290,3 +290,13 @@ def test_suite_finds_signal_and_not_noise(spark):
     assert got[("signal", "overall")] == got[("signal", "ctrl:c")] == got[("signal", "phase=late")] == "supported"
     assert got[("noise", "overall")] == "null"
     assert len(got) == 5
+
+
+def test_kriging_of_many_points_matches_one_dense_system(monkeypatch):
+    rng = np.random.default_rng(4)
+    lat, lon = (a.ravel() for a in np.mgrid[0:24, 0:20].astype(float))
+    v = np.where(rng.random(480) < 0.3, np.nan, np.sin(lat / 4) + lon / 9 + rng.normal(0, 0.1, 480))
+    want = gapfill.kriged(lat, lon, v)
+    monkeypatch.setattr(gapfill, "DENSE_POINTS", 10)
+    monkeypatch.setattr(gapfill, "BLOCK", 64)
+    assert np.allclose(gapfill.kriged(lat, lon, v), want, atol=1e-6) and not np.isnan(want).any()
