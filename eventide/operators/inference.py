@@ -120,7 +120,7 @@ def counts_bootstrap(counts: DataFrame, keys: Sequence[str], day: str, columns:
 
 def permuted(df: DataFrame, column: str, key: str, seed: int, salts: Sequence[str] = ()) -> DataFrame:
     """One column permuted over all rows (or inside groups): ranks by a seeded hash are matched to ranks by key."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     a = running_totals(value_groups(df.select(*salts, key), salts, key, {"n": F.count(F.lit(1))}), salts, key, ["n"]).select(*salts, key, F.col("before_n").alias("_r"))
     hashed = df.select(*salts, F.col(column), h.alias("_h"))
     b = running_totals(hashed.groupBy(*salts, "_h").agg(F.first(column).alias(column), F.count(F.lit(1)).alias("n")), salts, "_h", ["n"]).select(*salts, F.col(column).alias(f"_{column}"), F.col("before_n").alias("_r"))

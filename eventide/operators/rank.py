@@ -93,7 +93,7 @@ def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seq
         return F.max(F.when((k >= F.col("_before")) & (k <= last), F.coalesce(known, missed)))
 
     found = groups.withColumn("_v0", F.col("_lo")).groupBy(*keys, "_i").agg(F.first(at - F.floor(at)).alias("_part"), of_rank(F.floor(at)).alias("_a"), of_rank(F.ceil(at)).alias("_z"))
-    mixed = F.when(F.col("_part") == 0, F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_z"))
+    mixed = F.when(F.col("_part") == 0, F.col("_a")).otherwise(F.col("_a") + F.col("_part") * (F.col("_z") - F.col("_a")))
     by_place = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", mixed.alias("_q")))).alias("_q"))
     return by_place.select(*keys, F.array(*[F.element_at("_q", F.lit(i)) if keys else F.try_element_at("_q", F.lit(i)) for i in range(len(fractions))]).alias(out))
 

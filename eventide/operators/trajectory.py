@@ -23,7 +23,7 @@ def resample(points: DataFrame, path: Sequence[str], time: str, values: Sequence
 
     Only the leading run of complete points counts.  Values mix linearly between neighbouring points.
     """
-    w = Window.partitionBy(*path).orderBy(time)
+    w = Window.partitionBy(*path).orderBy(time, *values)  # the values order points of one time
     good = F.lit(True)
     for v in values:
         good = good & F.col(v).isNotNull()

@@ -95,7 +95,10 @@ def skeleton(spark, sf_dir):
     return features.on_skeleton(d.select("day", "lat", "lon", "n"), [d.select("lat", "lon").distinct(), d.select("day").distinct()], ["day", "lat", "lon"]).select("day", "lat", "lon", "n")
 
 
-@query("grd_hull")
+@query("grd_hull", f"""WITH {DAILY}, p AS (SELECT day, lat, lon FROM daily WHERE v > 120), x AS (SELECT day, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM p GROUP BY day),
+e AS (SELECT a.day, a.lat AS ai, a.lon AS aj, b.lat AS bi, b.lon AS bj FROM p a JOIN p b ON a.day = b.day AND (a.lat <> b.lat OR a.lon <> b.lon) JOIN p c ON c.day = a.day GROUP BY ALL HAVING min((b.lat - a.lat) * (c.lon - a.lon) - (b.lon - a.lon) * (c.lat - a.lat)) >= 0),
+i AS (SELECT day, o0, o1, UNNEST(range(a0, a1 + 1)) AS lat FROM x), c AS (SELECT day, lat, UNNEST(range(o0, o1 + 1)) AS lon FROM i)
+SELECT day, CAST(lat AS INT) AS lat, CAST(lon AS INT) AS lon FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.day = c.day AND (bi - ai) * (c.lon - aj) - (bj - aj) * (c.lat - ai) < 0)""")
 def hull(spark, sf_dir):
     return features.hull_cells(daily(spark, sf_dir).where("v > 120"), ["day"], "day date")
 

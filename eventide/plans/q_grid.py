@@ -108,7 +108,13 @@ def shift(spark, sf_dir):
     return grid.shifted(d, ["day"], (F.col("lon") - 6) * 0.3, F.lit(2.0), (0, 11, 0, 11))
 
 
-@query("grd_objects")
+@query("grd_objects", f"""WITH RECURSIVE {DAILY}, wet AS (SELECT day, lat, lon, v, row_number() OVER (PARTITION BY day ORDER BY lat, lon) AS k FROM daily WHERE v > 40),
+near AS (SELECT a.day, a.lat, a.lon, b.lat AS blat, b.lon AS blon FROM wet a JOIN wet b ON a.day = b.day AND abs(a.lat - b.lat) <= 1 AND abs(a.lon - b.lon) <= 1),
+reach AS (SELECT day, k, lat, lon FROM wet UNION SELECT n.day, r.k, n.blat, n.blon FROM reach r JOIN near n ON n.day = r.day AND n.lat = r.lat AND n.lon = r.lon),
+o AS (SELECT day, lat, lon, max(k) AS object FROM reach GROUP BY ALL), s0 AS (SELECT day, lat, lon FROM wet WHERE v > 120),
+s1 AS (SELECT DISTINCT n.day, n.blat AS lat, n.blon AS lon FROM near n JOIN s0 USING (day, lat, lon)), s2 AS (SELECT DISTINCT n.day, n.blat AS lat, n.blon AS lon FROM near n JOIN s1 USING (day, lat, lon)),
+t AS (SELECT day, object, count(*) AS cells, count(*) FILTER (WHERE v > 120) AS seeds FROM o JOIN wet USING (day, lat, lon) GROUP BY ALL)
+SELECT d.day, d.lat, d.lon, coalesce(o.object, 0) AS object, coalesce(t.seeds, 0) AS seeds, coalesce(t.cells, 0) AS cells, s2.day IS NOT NULL AS storm FROM daily d LEFT JOIN o USING (day, lat, lon) LEFT JOIN t ON t.day = d.day AND t.object = o.object LEFT JOIN s2 ON s2.day = d.day AND s2.lat = d.lat AND s2.lon = d.lon""")
 def objects(spark, sf_dir):
     return grid.objects(daily(spark, sf_dir), ["day"], "v", 40, 120, 2, "day date")
 

@@ -58,7 +58,14 @@ def counts_bootstrap(spark, sf_dir):
     return inference.counts_bootstrap(counts(spark, sf_dir), ["dilation"], "day", ["pred_hit", "pred_miss", "truth_hit", "truth_miss"], csi)
 
 
-@query("inf_permutation_importance")
+def permuted_gini(name: str, predictor: str, control: str) -> str:
+    return f"""(WITH g AS (SELECT {predictor} * (1 + {control} / 50) AS s, count(*) AS n, sum(flag) AS e FROM m GROUP BY 1), r AS (SELECT *, sum(e) OVER (ORDER BY s) - e AS b FROM g)
+SELECT '{name}' AS permuted, CAST(sum(n) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS n_events, round(1 - 2 * CAST(sum(n * (b + CAST(e AS DOUBLE) / 2)) AS DOUBLE) / (CAST(sum(n) AS DOUBLE) * sum(e)), 6) AS gini FROM r)"""
+
+
+@query("inf_permutation_importance", f"""WITH {FLAGGED}, k AS (SELECT event_id, predictor, control, flag, row_number() OVER (ORDER BY event_id) AS i, row_number() OVER (ORDER BY CAST('0x' || substr(md5('11:' || event_id), 1, 15) AS BIGINT)) AS j FROM flagged),
+m AS (SELECT a.flag, a.predictor, a.control, b.predictor AS other_predictor, b.control AS other_control FROM k a JOIN k b ON a.i = b.j)
+{permuted_gini("none", "predictor", "control")} UNION ALL {permuted_gini("predictor", "other_predictor", "control")} UNION ALL {permuted_gini("control", "predictor", "other_control")}""")
 def permutation(spark, sf_dir):
     """Loss of Gini when a column is permuted over the rows."""
     from ..operators import skill
@@ -176,14 +183,20 @@ def solar(spark, sf_dir):
     return rows(spark, sf_dir).select("event_id", F.round(mu, 6).alias("mu"), F.round(phys.clear_sky_flux(mu), 4).alias("flux"))
 
 
-@query("trj_resample")
+@query("trj_resample", f"""WITH {PATH}, q AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, px, py FROM p),
+s AS (SELECT user_id, t AS a, lead(t) OVER w AS b, px, lead(px) OVER w AS px1, py, lead(py) OVER w AS py1, min(t) OVER (PARTITION BY user_id) AS t0 FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t, px, py)),
+g AS (SELECT *, UNNEST(range(t0 + CAST(ceil((a - t0) / 3600) AS BIGINT) * 3600, b, 3600)) AS t FROM s WHERE b > a)
+SELECT user_id, t, round(px + (px1 - px) * ((t - a) / (b - a)), 5) AS px, round(py + (py1 - py) * ((t - a) / (b - a)), 5) AS py FROM g UNION ALL SELECT user_id, a, round(px, 5), round(py, 5) FROM s WHERE b IS NULL""")
 def resample(spark, sf_dir):
     p = paths(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "px", "py")
     out = trajectory.resample(p, ["user_id"], "t", ["px", "py"], 3600)
     return out.select("user_id", "t", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
 
 
-@query("trj_deposit")
+@query("trj_deposit", f"""WITH {PATH}, q AS (SELECT event_id, user_id, px / 20 AS y, py / 10 AS x, 0.5 + py / 100 AS s FROM p), r AS (SELECT *, CAST(CASE WHEN s < 0.5 THEN 0 ELSE ceil(s * 4) END AS BIGINT) AS r FROM q),
+i AS (SELECT *, CAST(round_even(y, 0) AS BIGINT) + UNNEST(range(-r, r + 1)) AS ilat FROM r), c AS (SELECT *, CAST(round_even(x, 0) AS BIGINT) + UNNEST(range(-r, r + 1)) AS ilon FROM i),
+w AS (SELECT *, CASE WHEN r = 0 THEN 1.0 WHEN pow(ilat - y, 2) + pow(ilon - x, 2) <= pow(s * 4, 2) THEN exp(-(pow(ilat - y, 2) + pow(ilon - x, 2)) / (2 * s * s)) ELSE 0.0 END AS w FROM c), t AS (SELECT *, sum(w) OVER (PARTITION BY event_id) AS t FROM w)
+SELECT user_id, CAST(ilat AS INT) AS ilat, CAST(ilon AS INT) AS ilon, round(sum(w / t), 8) AS mass FROM t WHERE w > 0 GROUP BY ALL""")
 def deposit(spark, sf_dir):
     """All points of all paths; the spread follows the control, which bounds it."""
     spread = 0.5 + F.col("py") / 100

@@ -10,7 +10,7 @@ from ..sources import bulletins, tables
 from . import suite
 from .config import Hypothesis, RunConfig
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
-from .q_skill import flagged
+from .q_skill import FLAGGED, flagged, gini_sql
 
 REGISTRY = (
     Hypothesis("value", "predictor", "flag", "+", controls=("control",), strata=("slot_phase", "event_type"), topline=True, title="The value ranks large targets"),
@@ -59,7 +59,15 @@ def crossfit_quadratic(spark, sf_dir):
     return df.select("event_id", "fold", F.round("index", 4).alias("index"))
 
 
-@query("skill_crossfit_binned_gini")
+#: Distance from 60 scored on each of three folds of days by event rates that the other two give to its twentieths.
+CROSSFIT = FLAGGED + f""", f AS (SELECT day, CAST((row_number() OVER (ORDER BY day) - 1) * 3 // count(*) OVER () AS INT) AS fold FROM (SELECT DISTINCT day FROM rows)), s AS (SELECT event_id, fold, abs(value - 60) AS x, flag FROM flagged JOIN f USING (day)),
+a AS (SELECT k, x, flag FROM s JOIN (VALUES (0), (1), (2)) t(k) ON fold <> k), q AS (SELECT k, list_sort(list_distinct(quantile_cont(x, {[i / 20 for i in range(21)]}))) AS e FROM a GROUP BY k),
+b AS (SELECT k, len([z FOR z IN e[2:len(e) - 1] IF z <= x]) AS b, x, flag FROM a JOIN q USING (k)), m AS (SELECT k, b, quantile_cont(x, 0.5) AS c, avg(flag) AS r FROM b GROUP BY ALL),
+segments AS (SELECT k, c, r, lead(c) OVER w AS c1, lead(r) OVER w AS r1, row_number() OVER w AS i FROM m WINDOW w AS (PARTITION BY k ORDER BY c)),
+x AS (SELECT fold, event_id, flag, CASE WHEN i = 1 AND x <= c THEN r WHEN c1 IS NULL THEN r ELSE r + (r1 - r) * (x - c) / (c1 - c) END AS value FROM s JOIN segments ON k = fold AND (x > c OR i = 1) AND (x <= c1 OR c1 IS NULL))"""
+
+
+@query("skill_crossfit_binned_gini", f"WITH {CROSSFIT}, {gini_sql('fold', 'x').replace('END, 6)', 'END, 5)')} SELECT * FROM gini")
 def crossfit_binned(spark, sf_dir):
     df = inversion.crossfit(sample(spark, sf_dir).select("event_id", "day", "distance", "flag"), "distance", "flag", "day", "binned", 3)
     return skill.gini(df, "index", "flag", ["fold"]).withColumn("gini", F.round("gini", 5))
@@ -133,7 +141,11 @@ def leakage(spark, sf_dir):
     return qa.size_leakage(rows(spark, sf_dir), "predictor", "target", "control", 0.3).withColumn("value", F.round("value", 6))
 
 
-@query("qa_monotonicity")
+@query("qa_monotonicity", f"""WITH {FLAGGED}, g AS (SELECT -value AS v, count(*) AS n, sum(flag) AS e FROM flagged GROUP BY 1), r AS (SELECT *, (sum(n) OVER (ORDER BY v) - n + (n + 1) / 2) / sum(n) OVER () AS p FROM g),
+d AS (SELECT least(9, floor(p * 10)) AS d, sum(e) / sum(n) AS rate FROM r GROUP BY 1), q AS (SELECT d, (rank() OVER (ORDER BY rate) + (count(*) OVER (PARTITION BY rate) - 1) / 2) AS q FROM d), s AS (SELECT corr(d, q) AS m, count(*) AS n FROM q),
+k AS (SELECT slot, quantile_cont(predictor, 0.5) AS m, quantile_cont(predictor, 0.99) AS p FROM rows GROUP BY slot)
+SELECT 'monotonicity' AS "check", CASE WHEN m < -0.5 THEN 'PASS' WHEN m < 0 THEN 'WARN' ELSE 'FAIL' END AS status, round(m, 5) AS value, n FROM s
+UNION ALL SELECT 'magnitude', CASE WHEN min(m) >= 10 AND max(m) <= 80 AND max(p) <= 400 THEN 'PASS' ELSE 'FAIL' END, round(max(p), 5), count(*) FROM k""")
 def monotonicity(spark, sf_dir):
     df = flagged(spark, sf_dir).withColumn("v", -F.col("predictor"))
     return qa.battery([qa.monotonicity(df, "v", "flag"), qa.magnitude(df, "slot", "predictor", 10, 80, 400)]).withColumn("value", F.round("value", 5))

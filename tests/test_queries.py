@@ -48,4 +48,10 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_other_queries_run(spark, duck, name):
-    assert catalog.QUERIES[name](spark, DATA).limit(1).count() >= 0
+    """Queries without SQL give rows, every column with values, the same rows in a second run."""
+    first = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert len(first) and first.notna().any().all()
+    order = list(first.columns)
+    again = catalog.QUERIES[name](spark, DATA).toPandas()
+    a, b = (sorted((tuple(plain(v) for v in r) for r in x[order].itertuples(index=False)), key=str) for x in (first, again))
+    assert len(a) == len(b) and all(all(same(x, y) for x, y in zip(i, j, strict=True)) for i, j in zip(a, b, strict=True))
