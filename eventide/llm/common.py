@@ -20,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local master (tests); on a cluster that is an error.
+    """
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventide-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="eventide-")
     spark.sparkContext.setCheckpointDir(at)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -87,7 +94,8 @@ def sub_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 class RecentCache:
     """A bounded cache in two generations: what was not used while the newer one filled up goes.
 
-    ``new`` is a plain dict for fast lookups; call :meth:`turn` between texts.
+    ``new`` is a plain dict for fast lookups; call :meth:`turn` between texts.  Within one text :meth:`keep` stops at the bound,
+    so that a very long text of distinct words does not outgrow it.
     """
 
     def __init__(self, entries: int) -> None:
@@ -101,5 +109,9 @@ class RecentCache:
         """The value from the older generation, brought over; None if there is none."""
         value = self.old.get(key)
         if value is not None:
-            self.new[key] = value
+            self.keep(key, value)
         return value
+
+    def keep(self, key, value) -> None:
+        if len(self.new) < self.entries:
+            self.new[key] = value

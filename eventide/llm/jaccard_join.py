@@ -79,7 +79,7 @@ class WordHashes:
         if h is None:
             h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
             if len(word) <= 64:
-                self.cache.new[word] = h
+                self.cache.keep(word, h)
         return h
 
     def __call__(self, words: list[str]) -> np.ndarray:

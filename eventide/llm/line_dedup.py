@@ -7,7 +7,7 @@ ranges.  The first occurrence of a key in each document streams out of the sorte
 range meet as one row per key and range.  What comes back per document is not text but a sparse bitmap: the
 64-bit words, by word number, in which at least one line goes.
 
-Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` always stay;
+Defined cases: very long texts are split whole, whatever the number of lines; a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` always stay;
 repeated rows (same id and text) count as one document and each get the result; rows with one id but different
 texts count as different documents; an empty table gives an empty result; other columns are carried untouched
 by :func:`drop_lines` and ignored by :func:`keep_bitmaps`.
@@ -85,19 +85,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT r, doc_id, version, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+  FROM (SELECT r, doc_id, md5(text) AS version, string_split(text, chr(10)) AS l FROM docs)
 ), keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, version, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines
 ), frequent AS (
-  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT struct_pack(i := doc_id, v := version)) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
-GROUP BY doc_id
+GROUP BY r, doc_id
 """

@@ -7,9 +7,9 @@ covariance is shrunk towards the pooled one and towards a multiple of the identi
 score is the posterior of class 1 from the difference of the two Mahalanobis log densities.  Labels, language,
 source and id are never inputs of a score.
 
-Defined cases: null and empty texts have the statistics of an empty text and get a score like any other; rows
+Defined cases: very long texts are read whole; null and empty texts have the statistics of an empty text and get a score like any other; rows
 without a label, or with a null one, are scored but not learnt from; several labels of one id each count; repeated rows each get a
-row; without labelled rows of both classes every score is 0.5; an empty table gives an empty result; other columns are ignored.
+row; equal texts get equal scores, and a score equal to the threshold is accepted; without labelled rows of both classes every score is 0.5; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ an empty result; further columns, also ones named ``slot`` or ``shard``, stay in
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def assign(df: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS
 
 def write_shards(df: DataFrame, keys: list[str], shards: list[str], path: str | None = None, slots: int = SLOTS) -> str:
     """Write the rows as Parquet partitioned by shard; every task writes to each shard's folder, so no shard is one task."""
-    path = path or f"{shared_dir(df.sparkSession)}/shards"
+    path = path or f"{shared_dir(df.sparkSession)}/shards-{uuid.uuid4().hex}"
     assign(df, keys, shards, slots).select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
     return path
 

@@ -138,7 +138,8 @@ class PrefixCounter:
             ends = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
             counts = [counts[e - 1] for e in ends] + counts[-1:]
         if len(piece) <= 32:
-            counts = self.words.new[piece] = bytes(counts)
+            counts = bytes(counts)
+            self.words.keep(piece, counts)
         return counts
 
     def chunk_counts(self, chunk: str) -> list[int] | bytes:
@@ -160,7 +161,7 @@ class PrefixCounter:
         counts = self.chunk_counts(chunk)
         packed = counts if type(counts) is bytes else bytes(counts) if max(counts) < 256 else np.array(counts, np.int64)
         if len(chunk) <= 64:
-            self.chunks.new[chunk] = packed
+            self.chunks.keep(chunk, packed)
         return packed
 
     def ordinary(self, text: str) -> np.ndarray:

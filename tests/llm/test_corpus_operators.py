@@ -95,6 +95,16 @@ def test_classes_of_odd_rows(spark, odd_docs, no_docs):
     assert jaccard_join.jaccard_classes(no_docs).count() == 0
 
 
+def test_registered_join_and_packing(spark, odd_docs, no_docs, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    no_docs.write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    at, empty = str(tmp_path), str(tmp_path / "empty")
+    assert Counter(tuple(r) for r in jaccard_join.op1_jaccard_join(spark, at).select("doc_id", "class_id", "n_links", "n_copies").collect()) == jaccard_reference(rows)
+    check_packing(packing.op10_packing(spark, at).collect(), rows, packing.WINDOW)
+    assert jaccard_join.op1_jaccard_join(spark, empty).count() == packing.op10_packing(spark, empty).count() == 0
+
+
 def test_posterior_keeps_pairs_at_the_threshold():
     least = jaccard_join.least_matches()
     rng = np.random.default_rng(0)
@@ -254,6 +264,31 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert quality.statistics_of(no_docs, ["doc_id"]).count() == 0
 
 
+def test_fit_matches_plain_numpy(spark):
+    """Sums over the labelled rows outside the fold, means, shrinkage, factors and scores, step by step."""
+    rows = [(i, t) for i, (t, _) in enumerate(graded(60, 8))] + [(3, "A second text of one id."), (None, "no id")]
+    marks = [(i, y) for i, (_, y) in enumerate(graded(60, 8))] + [(1, 0), (2, None), (None, 1)]
+    stats = quality.statistics_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"])
+    model = quality.train(stats, spark.createDataFrame(marks, "doc_id long, quality int"))
+    x, y = [], []
+    for i, t in rows:
+        for j, q in marks:
+            if i is not None and i == j and q is not None and zlib.crc32(str(i).encode()) % 5:
+                x.append(quality.statistics(t))
+                y.append(q)
+    x, y = np.array(x), np.array(y)
+    parts = [x[y == c] for c in (0, 1)]
+    cov = [np.cov(p, rowvar=False, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, cov, strict=True)) / len(x)
+    for c in (0, 1):
+        s = (1 - quality.TO_POOLED) * cov[c] + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_SPHERE) * s + (quality.TO_SPHERE * np.trace(s) / len(s) + 1e-9) * np.eye(len(s))
+        assert np.allclose(model.means[c], parts[c].mean(axis=0))
+        assert np.allclose(model.inverse[c] @ s @ model.inverse[c].T, np.eye(len(s)), atol=1e-5)
+        assert model.log_det[c] == pytest.approx(np.linalg.slogdet(s)[1], abs=1e-5)
+        assert model.log_prior[c] == pytest.approx(math.log(len(parts[c]) / len(x)))
+
+
 def test_discriminant_matches_densities():
     rng = np.random.default_rng(0)
     d = len(quality.FEATURES)
@@ -512,3 +547,25 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert one.columns == docs.columns
     final = corpus_pipeline.run(spark, d).collect()
     check_packing(final, [(r["doc_id"], r["text"]) for r in one.collect()], packing.WINDOW)
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Null ids, an id with two texts, repeated rows, nulls in every column, extra columns; and an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(14)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    stages, d = dict(corpus_pipeline.STAGES), str(tmp_path / "odd")
+    one = stages["ngram_jaccard_join"](spark, odd_docs, d)
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    leads = {i for i, c, _, _ in jaccard_reference(rows) if i is not None and i == c}
+    assert one.columns == odd_docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == Counter({(i, t) for i, t in rows if i in leads}) + Counter((i, t) for i, t in rows if i is None)
+    kept = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, d)
+        assert kept.columns == odd_docs.columns
+    check_packing(corpus_pipeline.run(spark, d).collect(), [(r["doc_id"], r["text"]) for r in kept.collect()], packing.WINDOW)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -14,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from eventide.llm import bpe, line_dedup, matroska, sharding, token_counts
+from eventide.llm import bpe, common, line_dedup, matroska, sharding, token_counts
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'s", "'re", "'r", "'ll", "é", "日本", "1", "23", "!", "<|endoftext|>", "<|endo", " ", "　", "don't", "😀", "the", "\t", "\x1c", "\x85", "²"]
 mixed = st.lists(st.sampled_from(ALPHABET), max_size=14).map("".join)
@@ -56,6 +58,18 @@ def test_lines_many_positions_and_min_chars(spark):
         assert dropped(docs, min_docs=10, min_chars=m) == line_reference(list(enumerate(texts)), 10, m)
 
 
+def test_registered_lines_match_sql_on_repeated_and_null_ids(spark, tmp_path):
+    """An id with different texts, null ids and repeated rows: the query and its SQL give the same rows."""
+    rows = [(i % 4 if i % 3 else None, f"own {i}\nShared by all \n\nshared BY all") for i in range(14)] + [(1, "Rare"), (1, "Rare")] * 8 + [(5, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(map(tuple, line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(c.execute(line_dedup.OP9_SQL).fetchall())
+    want = Counter((i, n, d, hashlib.sha256(k.encode()).hexdigest()) for i, n, d, k in line_reference(rows, 10).elements())
+    assert got == want and any(d for _, _, d, _ in got)
+
+
 def test_lines_empty_table(no_docs):
     assert line_dedup.drop_lines(no_docs).count() == 0
 
@@ -242,3 +256,80 @@ def test_queries_agree_with_each_other(spark, tmp_path, odd_docs):
         assert m["tail_crc32"] == zlib.crc32(pay[-64:]) or raw in (b"", b" ")
     ids = bpe.op3_bpe_codec(spark, str(tmp_path)).collect()
     assert Counter(r["decoded_sha256"] for r in ids) == Counter(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in odd_docs.collect())
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, odd_docs, tmp_path_factory):
+    at = tmp_path_factory.mktemp("odd")
+    odd_docs.write.parquet(str(at / "documents.parquet"))
+    odd_docs.limit(0).write.parquet(str(at / "empty" / "documents.parquet"))
+    return str(at), [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+
+
+def test_registered_token_counts(spark, odd_tables):
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in odd_tables[1]:
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        want[i, len((t or "").encode()), n, n > 512] += 1
+    at = odd_tables[0]
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.op2_token_counts(spark, at).collect()) == want
+    assert token_counts.op2_token_counts(spark, f"{at}/empty").count() == 0
+
+
+def test_registered_codec(spark, odd_tables):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t in odd_tables[1]:
+        ids = lib.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    at = odd_tables[0]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op3_bpe_codec(spark, at).collect()) == want
+    assert bpe.op3_bpe_codec(spark, f"{at}/empty").count() == 0
+
+
+def test_registered_media(spark, odd_tables):
+    """Every column of every row, nulls, empty and blank texts included; features by their definition."""
+    want = Counter()
+    for i, t in odd_tables[1]:
+        raw = (t or "").encode()
+        pay = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        stored, x = matroska.mux(pay), [float(b) for b in pay]
+        mean = sum(x) / len(x)
+        across = sum((a >= mean) != (b >= mean) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+        steps = sum((b - a) ** 2 for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+        feature = f"{mean:.6f},{math.sqrt(sum((a - mean) ** 2 for a in x) / len(x)):.6f},{across:.6f},{steps:.6f}"
+        want[i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature] += 1
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    at = odd_tables[0]
+    assert Counter(tuple(r[n] for n in names) for r in matroska.op4_media_columns(spark, at).collect()) == want
+    assert matroska.op4_media_columns(spark, f"{at}/empty").count() == 0
+
+
+def test_registered_sharding(spark, odd_tables):
+    owner, names = sharding.lookup_table(sharding.shard_names()), sharding.shard_names()
+    want = Counter()
+    for i, _ in odd_tables[1]:
+        slot = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % sharding.SLOTS
+        want[i, slot, names[owner[slot]]] += 1
+    at = odd_tables[0]
+    assert Counter((r["doc_id"], r["slot"], r["shard"]) for r in sharding.op5_sharding(spark, at).collect()) == want
+    assert sharding.op5_sharding(spark, f"{at}/empty").count() == 0
+
+
+def test_write_shards_twice_and_nothing(spark, no_docs):
+    names = sharding.shard_names(3)
+    docs = spark.range(50).withColumnRenamed("id", "doc_id")
+    first, second = (sharding.write_shards(docs, ["doc_id"], names) for _ in range(2))
+    assert first != second and spark.read.parquet(second).count() == 50
+    sharding.write_shards(no_docs, ["doc_id"], names)
+
+
+def test_caches_stay_bounded_within_one_text():
+    cache = common.RecentCache(10)
+    for i in range(100):
+        cache.keep(i, i)
+    assert len(cache.new) == 10
+    cache.turn()
+    assert (cache.new, cache.older(3), cache.new) == ({3: 3}, 3, {3: 3})
