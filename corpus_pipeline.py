@@ -4,7 +4,8 @@ Stages: quality classifier (rejected documents go), line dedup (frequent lines g
 document of each class stays), packing.  Counted as part of ``eventide.llm``.
 
 Defined cases: null texts count as empty; null ids are scored and deduplicated like others, never joined, and packed;
-of repeated rows the join keeps one; an empty table gives an empty result; further columns of the documents are carried to the
+of repeated rows the join keeps one, and of one id with several texts all or none; blank texts are classes of their own and stay;
+very long texts are taken whole; ties: a score at the threshold stays, of equal documents the least id; an empty table gives an empty result; further columns of the documents are carried to the
 last stage.
 """
 
@@ -37,10 +38,13 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id; documents without an id stay."""
+    """Of each class of near-duplicates the document with the least id; documents without an id stay.
+
+    Rows of one id are one document: they all stay if one of their texts leads a class, equal ones once.
+    """
     firsts = jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = docs.join(firsts, "doc_id", "left_semi").withColumns({"_hash_a": F.xxhash64("text"), "_hash_b": F.xxhash64(F.lit("#"), "text")})
+    return kept.dropDuplicates(["doc_id", "_hash_a", "_hash_b"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
