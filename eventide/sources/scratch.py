@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame as Parquet below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it back.
+    """Write a frame as Parquet below ``spark.checkpoint.dir`` and read it back.
 
-    Cuts the lineage: later plans neither analyse nor recompute what led here, and lost executors cost nothing.
+    Cuts the lineage: later plans neither analyse nor recompute what led here, and lost executors cost nothing.  Where the
+    folder is unset, a temporary one serves a local master; on a cluster that is an error.
     """
     spark = df.sparkSession
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventide-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventide-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     at = f"{known.get()}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
