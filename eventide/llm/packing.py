@@ -6,8 +6,7 @@ What is open when a partition ends is merged by rounds: leftovers of 16 partitio
 bounded by 16 times the number of open windows, until one group is left.  Only piece records travel, never token ids.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed once each; a text of any length is
-cut into whole windows and a rest; of windows that a piece fills equally well one of the least number takes it; of equally full
-windows any one goes first (which is fixed by the order of the rows); other columns, also ones named like results, are ignored; an empty table gives an empty result; other columns are ignored.
+cut into whole windows and a rest; of windows with equal room the one opened first takes a piece, or goes first; other columns, also ones named like results, are ignored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
