@@ -55,6 +55,25 @@ def contact_weight(alt: Column, depth: Column, fraction: float = 1.0, taper: flo
     return F.when(alt.isNull() | depth.isNull() | (depth <= 0) | (alt < 0), 0.0).when(alt <= top, 1.0).when(alt >= top * (1 + taper), 0.0).otherwise(ramp)
 
 
+def diurnal_shape(hour: Column, rise: float = 7.0, peak: float = 15.0, fall: float = 19.0) -> Column:
+    """0 at night and at both ends of the day, 1 at the peak, along half cosines."""
+    rising = 0.5 * (1 - F.cos(F.pi() * (hour - rise) / (peak - rise)))
+    falling = 0.5 * (1 + F.cos(F.pi() * (hour - peak) / (fall - peak)))
+    return F.when((hour > rise) & (hour <= peak), rising).when((hour > peak) & (hour < fall), falling).when(hour.isNotNull(), 0.0)
+
+
+def layer_depth(lon: Column, utc_hour: Column, night: float = 200.0, day: float = 1800.0, west_per_degree: float = 50.0, reference_lon: float = -65.0) -> Column:
+    """Climatological depth of the mixed layer in metres: a nightly floor, a daily maximum that deepens westward."""
+    top = F.greatest(day + west_per_degree * (reference_lon - lon), F.lit(night))
+    return night + (top - night) * diurnal_shape(local_solar_hour(lon, utc_hour))
+
+
+def specific_humidity(mixing_g_kg: Column) -> Column:
+    """kg/kg from a mixing ratio in g/kg; a zero reading is missing."""
+    r = F.nullif(mixing_g_kg, F.lit(0.0)) / 1000
+    return r / (1 + r)
+
+
 def spread_km(travelled: Column, base: float = 20.0, growth: float = 0.1, factor: float = 1.0) -> Column:
     return base + factor * growth * travelled
 

@@ -144,3 +144,11 @@ def zero_fraction(df: DataFrame, value: Column, by: Column) -> DataFrame:
 def matrix(df: DataFrame, row: str | Sequence[str], column: str, columns: Sequence[int], value: str) -> DataFrame:
     """A pivot of fixed geometry: one column ``c<k>`` per listed key, missing cells null."""
     return df.groupBy(*([row] if isinstance(row, str) else row)).agg(*[F.max(F.when(F.col(column) == k, F.col(value))).alias(f"c{k}") for k in columns])
+
+
+def spread_factor(df: DataFrame, u: str, v: str, u_sd: str, v_sd: str, members: str, pressure: str, least_pressure: float = 850.0, fewest: int = 5) -> DataFrame:
+    """(n, factor): mean spread of the winds over their mean speed, of low boxes with enough members; null without any."""
+    ok = (F.col(pressure) >= least_pressure) & (F.col(members) >= fewest)
+    boxes = df.where(ok).dropna(subset=[u, v, u_sd, v_sd])
+    length = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    return boxes.agg(F.count(F.lit(1)).alias("n"), (F.avg(length(u_sd, v_sd)) / F.nullif(F.avg(length(u, v)), F.lit(0.0))).alias("factor"))

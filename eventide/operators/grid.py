@@ -186,3 +186,81 @@ def distance_to_known(df: DataFrame, keys: Sequence[str], value: str, schema_key
 
     out = df.select(*keys, "lat", "lon", value).groupBy(*keys).applyInPandas(near, f"{schema_keys}, lat int, lon int, distance double")
     return out.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+
+
+def envelope(observed: DataFrame, keys: Sequence[str], schema_keys: str, flag: str, rounds: int = 1) -> DataFrame:
+    """(keys, lat, lon, inside): the area that scattered observations cover on a full grid per key.
+
+    Closing by ``rounds`` of the 3 x 3 element, then holes that do not reach the border are filled.  Beyond the border nothing is
+    observed.  One task call per key, whose grid is bounded.
+    """
+
+    def grown(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, 1)
+        return np.any([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
+
+    def worn(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, 1)
+        return np.all([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
+
+    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["lat"].to_numpy() - pdf["lat"].min(), pdf["lon"].to_numpy() - pdf["lon"].min()
+        closed = np.zeros((i.max() + 1, j.max() + 1), bool)
+        closed[i, j] = pdf[flag].fillna(False).to_numpy(bool)
+        for step in (grown, worn):
+            for _ in range(rounds):
+                closed = step(closed)
+        outside = np.pad(~closed, 1, constant_values=True)
+        reached = np.zeros_like(outside)
+        reached[0, 0] = True
+        while True:
+            more = reached.copy()
+            more[1:] |= reached[:-1]
+            more[:-1] |= reached[1:]
+            more[:, 1:] |= reached[:, :-1]
+            more[:, :-1] |= reached[:, 1:]
+            more &= outside
+            if np.array_equal(more, reached):
+                break
+            reached = more
+        return pdf[[*keys, "lat", "lon"]].assign(inside=~reached[1:-1, 1:-1][i, j])
+
+    return observed.select(*keys, "lat", "lon", flag).groupBy(*keys).applyInPandas(cover, f"{schema_keys}, lat int, lon int, inside boolean")
+
+
+def gap_class(observed: Column, inside: Column, domain: Column | None = None) -> Column:
+    """observed, cloud (a gap inside the covered area), out_of_swath, or out_of_domain."""
+    kind = F.when(observed, "observed").when(inside, "cloud").otherwise("out_of_swath")
+    return kind if domain is None else F.when(F.coalesce(domain, F.lit(False)), kind).otherwise("out_of_domain")
+
+
+def bicubic(df: DataFrame, keys: Sequence[str], value: str, spacing: float, least: float = 0.5) -> DataFrame:
+    """(keys, ilat, ilon, value): a field on whole degrees at points ``spacing`` apart, by 4 x 4 cubic convolution.
+
+    Known cells share their weights anew; null where they carry no more than ``least`` of the weight.
+    """
+
+    def targets(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - 2) / spacing) + 1, F.ceil((F.col(c) + 2) / spacing) - 1)
+
+    def tap(distance: Column) -> Column:  # the cubic through its neighbours' mean slopes
+        d = F.abs(distance)
+        return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+
+    taps = df.where(F.col(value).isNotNull()).withColumn("ilat", F.explode(targets("lat"))).withColumn("ilon", F.explode(targets("lon")))
+    w = tap(F.col("lat") - F.col("ilat") * spacing) * tap(F.col("lon") - F.col("ilon") * spacing)
+    sums = taps.withColumn("_w", w).groupBy(*keys, "ilat", "ilon").agg(F.sum(F.col(value) * F.col("_w")).alias("_s"), F.sum("_w").alias("_w"))
+    return sums.select(*keys, "ilat", "ilon", F.when(F.col("_w") > least, F.col("_s") / F.col("_w")).alias(value))
+
+
+def lowest_level(df: DataFrame, keys: Sequence[str], level: str, temperature: str, altitude: str, ground: str, carry: Sequence[str] = (), lapse: float = 0.0065, most_above: float = 1500.0) -> DataFrame:
+    """(keys, temperature at the ground, carry, above): from each column's deepest level on which all is known.
+
+    Temperature goes down to the ground at a constant lapse rate, never up; the rest is taken as it is.  Columns whose
+    deepest level lies more than ``most_above`` over the ground are missing.
+    """
+    known = df.dropna(subset=[temperature, altitude, ground, *carry])
+    best = known.groupBy(*keys).agg(F.max_by(F.struct(temperature, altitude, ground, *carry), level).alias("b"))
+    above = F.col(f"b.{altitude}") - F.col(f"b.{ground}")
+    down = F.col(f"b.{temperature}") + lapse * F.greatest(above, F.lit(0.0))
+    return best.where(above <= most_above).select(*keys, down.alias(temperature), *[F.col(f"b.{c}").alias(c) for c in carry], above.alias("above"))

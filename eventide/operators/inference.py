@@ -77,6 +77,30 @@ def bootstrap(matrix: DataFrame, keys: Sequence[str], key_schema: str, day: str
     return matrix.groupBy(*keys).applyInPandas(one, f"{key_schema}, {RESULT}")
 
 
+def resampled_error(matrix: DataFrame, parts: int, reps: int = 500, seed: int = 0) -> DataFrame:
+    """(sigma): standard error of the Gini of a sample ``1 / parts`` the size, by resampling the bins of all rows.
+
+    ``matrix`` comes from :func:`bin_day_matrix` without keys; Spark sums it over days, so one task sees a row a bin.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, e = pdf.sort_values("bin")["n"].to_numpy(float), pdf.sort_values("bin")["e"].to_numpy(float)
+        drawn = binned_gini(*row_replicates(n, e, reps, np.random.default_rng(seed), int(n.sum() // parts)))
+        return pd.DataFrame({"sigma": [np.nanstd(drawn, ddof=1)]})
+
+    per_bin = matrix.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    return per_bin.groupBy(F.isnull("bin")).applyInPandas(one, "sigma double")  # one group: bins are never null
+
+
+def stratum_significance(df: DataFrame, value: str, flag: str, stratum: str, day: str, tie: str, parts: int, bins: int = 64) -> DataFrame:
+    """(stratum, n, n_events, gini, needed): Gini per stratum and the difference that two strata need to differ, 2 sqrt(2) sigma."""
+    from .skill import gini
+
+    sigma = resampled_error(bin_day_matrix(df, [], value, flag, day, tie, bins), parts)
+    needed = (2 * 2**0.5 * F.col("sigma")).alias("needed")
+    return gini(df, value, flag, [stratum]).crossJoin(F.broadcast(sigma)).select(stratum, "n", "n_events", "gini", needed)
+
+
 def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05, out: str = "fdr_significant") -> DataFrame:
     """Benjamini-Hochberg over the rows of a results table; a null p is never significant."""
     ranks = running_totals(value_groups(df.where(~F.isnan(F.col(p))), [], p, {"n": F.count(F.lit(1))}), [], p, ["n"])

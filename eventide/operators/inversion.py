@@ -80,3 +80,25 @@ def crossfit(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def fold_stability(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int = 5, points: int = 101) -> DataFrame:
+    """(n_pairs, stability): mean Spearman correlation between the folds' fits, each evaluated on one grid of quantiles.
+
+    A low value says that the fit follows noise.  The grid has ``points`` values whatever the rows.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
+    known = written(contiguous_folds(df.where(F.col(x).isNotNull() & F.col(flag).isNotNull()), day, folds), "folds")
+    at = [0.005 + 0.99 * i / (points - 1) for i in range(points)]
+    grid = percentiles(known, x, at).select(F.posexplode("q").alias("place", x)).where(F.col(x).isNotNull())
+    grid = written(grid, "grid")
+    curves = None
+    for k in range(folds):
+        own = METHODS[method](known.where(F.col("fold") != k), grid, x, flag).select("place", F.lit(k).alias("fold"), F.col("index").cast("double").alias("index"))
+        curves = own if curves is None else curves.unionByName(own)
+    by_fold = Window.partitionBy("fold")
+    ranked = written(curves, "curves").withColumn("r", F.rank().over(by_fold.orderBy("index")) + (F.count(F.lit(1)).over(Window.partitionBy("fold", "index")) - 1) / 2)
+    a, b = ranked.select("place", F.col("fold").alias("f"), F.col("r").alias("a")), ranked.select("place", F.col("fold").alias("g"), F.col("r").alias("b"))
+    pairs = a.join(b, "place").where("f < g").groupBy("f", "g").agg(F.corr("a", "b").alias("c"))
+    return pairs.agg(F.count("c").alias("n_pairs"), F.avg("c").alias("stability"))

@@ -88,11 +88,11 @@ def pooled_gini(per_bin: DataFrame) -> DataFrame:
     return per_bin.where("gini IS NOT NULL").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("n_events").alias("n_events"), (F.sum(F.col("gini") * F.col("n_events")) / F.sum("n_events")).alias("gini"))
 
 
-def event_rate_curve(df: DataFrame, value: str, flag: str, tie: str, bins: int = 20) -> DataFrame:
-    """(bin, n, median, rate, se) over equal-count bins of the value."""
-    rows = equal_count_bins(df.where(f"`{value}` IS NOT NULL AND `{flag}` IS NOT NULL"), [], value, tie, bins)
-    rates = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("int")).alias("rate"))
-    out = rates.join(percentiles(rows, value, [0.5], ["bin"], "m"), "bin").select("bin", "n", F.col("m")[0].alias("median"), "rate")
+def event_rate_curve(df: DataFrame, value: str, flag: str, tie: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, bin, n, median, rate, se) over equal-count bins of the value."""
+    rows = equal_count_bins(df.where(f"`{value}` IS NOT NULL AND `{flag}` IS NOT NULL"), keys, value, tie, bins)
+    rates = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("int")).alias("rate"))
+    out = rates.join(percentiles(rows, value, [0.5], [*keys, "bin"], "m"), [*keys, "bin"]).select(*keys, "bin", "n", F.col("m")[0].alias("median"), "rate")
     return out.withColumn("se", F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")))
 
 

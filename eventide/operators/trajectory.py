@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rank import running_totals, value_groups
+from .windows import path_length, residence_hours
 
 
 def apply_kernel(kernel: DataFrame, surface: DataFrame, receptor: Sequence[str], source: Sequence[str], weight: str, value: str, min_coverage: float = 0.0) -> DataFrame:
@@ -90,3 +91,19 @@ def mass_region(kernel: DataFrame, receptor: Sequence[str], weight: str, distanc
     upto = F.sum(weight).over(w.orderBy(distance).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     before = upto - F.sum(weight).over(Window.partitionBy(*receptor, distance))
     return kernel.withColumn("_b", before).withColumn("_t", F.sum(weight).over(w)).where(F.col("_b") < share * F.col("_t")).drop("_b", "_t")
+
+
+def footprint(points: DataFrame, receptor: Sequence[str], path: Sequence[str], hours: str, lat: str, lon: str, *, contact: Column, sigma: Column, land: Column | None = None, energy: Column | None = None, discount: Column | None = None, most_lag: int = 72, lag_hours: int = 1) -> DataFrame:
+    """(receptor, lag, ilat, ilon, mass): where the air of each receptor touched the ground, and how long before.
+
+    The mass of a point is its contact, times its residence time, times the shares of land and retained moisture and the energy
+    where given; it is spread by a Gaussian.  ``sigma`` may use the columns ``back`` (distance along the path to its end, in the units of
+    lat and lon) and ``lag_h`` (hours to its end).  The lag is that time to the nearest ``lag_hours``, up to ``most_lag`` hours.
+    """
+    df = path_length(residence_hours(points, path, hours, hours, "_res"), path, hours, lat, lon)
+    df = df.withColumns({"back": F.col("remaining"), "lag_h": F.max(hours).over(Window.partitionBy(*path)) - F.col(hours)})
+    mass = F.col("_res") * contact
+    for factor in (land, energy, discount):
+        mass = mass if factor is None else mass * factor
+    df = df.withColumns({"_mass": mass, "_sigma": sigma, "lag": F.rint(F.col("lag_h") / lag_hours).cast("int")})
+    return deposit(df.where((F.col("_mass") > 0) & (F.col("lag_h") <= most_lag)), [*receptor, "lag"], lat, lon, "_sigma", "_mass")

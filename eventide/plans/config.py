@@ -42,6 +42,8 @@ class RunConfig:
     hypotheses: str | tuple[str, ...] = "all"
     run_controls: bool = True
     strata: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    valid: tuple[str, ...] = ()  # products that a row must have
+    complete_days: bool = False
 
     def __post_init__(self) -> None:
         if self.inference not in ("block", "iid"):
@@ -61,6 +63,26 @@ class RunConfig:
     def from_json(cls, text: str) -> "RunConfig":
         return cls.from_dict(json.loads(text))
 
+    @classmethod
+    def preset(cls, name: str, products: Sequence[str], **more) -> "RunConfig":
+        """``all``: every product known; ``complete``: and every slot of the day; ``first_last``: only the first and last product."""
+        sets = {"all": {"valid": tuple(products)}, "complete": {"valid": tuple(products), "complete_days": True}, "first_last": {"valid": (products[0], products[-1])}}
+        if name not in sets:
+            raise ValueError(f"unknown preset {name!r}; there are {sorted(sets)}")
+        return cls(**({"label": name} | sets[name] | more))
+
+    @classmethod
+    def from_files(cls, paths: Sequence[str]) -> "RunConfig":
+        """Settings from several JSON files; one setting in two of them is an error."""
+        merged: dict = {}
+        for p in paths:
+            with open(p) as f:
+                own = json.load(f)
+            if twice := sorted(set(own) & set(merged)):
+                raise ValueError(f"settings {twice} stand in more than one file")
+            merged |= own
+        return cls.from_dict(merged)
+
     def key(self, *names: str) -> str:
         """A digest of the named settings (all by default), for versioned paths."""
         values = dataclasses.asdict(self)
@@ -86,3 +108,16 @@ def experiment_grid(factors: Mapping[str, Sequence]) -> list[dict]:
     for name, levels in factors.items():
         grid = [{**g, name: v} for g in grid for v in levels]
     return grid
+
+
+def block_experiments(core: Mapping[str, Sequence[str]], swaps: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """Name -> columns: all core blocks with each alternative of a swap block, each core block left out, none of the swap, and each block alone.
+
+    The first alternative goes with the reduced sets; two alternatives never stand in one experiment.
+    """
+    columns = lambda *names: [c for n in names for c in (core | swaps)[n]]
+    main = next(iter(swaps))
+    out = {f"full-{s}": columns(*core, s) for s in swaps}
+    out |= {f"drop-{b}": columns(*(x for x in core if x != b), main) for b in core}
+    out["drop-swap"] = columns(*core)
+    return out | {f"solo-{b}": columns(b) for b in [*core, *swaps]}

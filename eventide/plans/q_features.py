@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import also, query
-from ..operators import features, ml, screens, skill, thresholds, trajectory, windows
+from ..operators import features, inference, ml, screens, skill, thresholds, trajectory, windows
 from ..sources.scratch import written
 from .frames import CELLS, DAILY, ROWS, cells, daily, load, rows
 from .q_inference import KERNEL, kernel
@@ -142,22 +142,8 @@ def base_table(spark, sf_dir):
 @query("inf_hourly_significance")
 def hourly_significance(spark, sf_dir):
     """Gini per slot and the difference that two slots need to differ (resampled to the size of one slot)."""
-    import numpy as np
-    import pandas as pd
-
-    from ..operators.inference import bin_day_matrix, binned_gini, row_replicates
-
-    df = flagged(spark, sf_dir).withColumn("all", F.lit(1))
-    m = bin_day_matrix(df, ["all"], "predictor", "flag", "day", "event_id", 64)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.groupby("bin")[["n", "e"]].sum()
-        boot = binned_gini(*row_replicates(g["n"].to_numpy(float), g["e"].to_numpy(float), 500, np.random.default_rng(0), int(g["n"].sum() // 6)))
-        return pd.DataFrame({"sigma": [np.nanstd(boot, ddof=1)]})
-
-    sigma = m.groupBy("all").applyInPandas(one, "sigma double")
-    per_slot = skill.gini(df, "predictor", "flag", ["slot"])
-    return per_slot.crossJoin(F.broadcast(sigma)).select("slot", "n", "n_events", F.round("gini", 6).alias("gini"), (2 * 2**0.5 * F.col("sigma")).alias("needed"))
+    out = inference.stratum_significance(flagged(spark, sf_dir), "predictor", "flag", "slot", "day", "event_id", 6)
+    return out.withColumn("gini", F.round("gini", 6))
 
 
 @query("ml_hour_matched")

@@ -11,12 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.inference import bin_day_matrix, binned_gini, day_weights, fdr, row_replicates
 from ..operators.inversion import crossfit
 from ..operators.rank import equal_count_bins
+from ..operators.screens import all_slots_present
+from ..operators.skill import event_rate_curve
 from ..sources.scratch import written
 from .config import Hypothesis, RunConfig, select
 
@@ -122,3 +124,26 @@ def report_lines(results: DataFrame) -> DataFrame:
 
 
 STRATIFIERS: dict[str, Callable[[], Column]] = {"slot_phase": lambda: F.when(F.col("slot") >= 3, "late").otherwise("early"), "event_type": lambda: F.col("event_type")}
+
+
+def curves(df: DataFrame, tests: Sequence[Hypothesis], key: str, bins: int = 20) -> DataFrame:
+    """(id, bin, n, median, rate, se): the event-rate curve of every test, from one stacked ranking."""
+    parts = [F.struct(F.lit(h.id).alias("id"), F.col(h.predictor).cast("double").alias("x"), F.col(h.flag).alias("flag")) for h in tests]
+    stacked = df.select(key, F.explode(F.array(*parts)).alias("t")).select(key, "t.*")
+    return event_rate_curve(stacked, "x", "flag", key, bins, ["id"])
+
+
+def write_curves(found: DataFrame, path: str, run: str) -> None:
+    """Curves of one run; a run of the same name is replaced, others stay."""
+    found.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "id").parquet(path)
+
+
+def load_curves(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The curves that :func:`write_curves` stored for a run."""
+    return spark.read.parquet(path).where(F.col("run") == run).drop("run").select("id", "bin", "n", "median", "rate", "se")
+
+
+def admitted(df: DataFrame, cfg: RunConfig, cell_day: Sequence[str], slots: int) -> DataFrame:
+    """The sample of a configuration: rows on which all its products are known and, if asked for, only days with every slot."""
+    known = df.dropna(subset=list(cfg.valid)) if cfg.valid else df
+    return all_slots_present(known, cell_day, slots) if cfg.complete_days else known

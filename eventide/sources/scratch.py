@@ -5,16 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame as Parquet below ``spark.checkpoint.dir`` and read it back.
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
-    Cuts the lineage: later plans neither analyse nor recompute what led here, and lost executors cost nothing.  Where the
-    folder is unset, a temporary one serves a local master; on a cluster that is an error.
+    Where that is unset, a temporary folder serves a local master (tests); on a cluster that is an error.
     """
-    spark = df.sparkSession
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +20,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventide-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    at = f"{known.get()}/{what}-{uuid.uuid4().hex}"
+    return f"{known.get()}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write a frame as Parquet to a fresh path and read it back.
+
+    Cuts the lineage: later plans neither analyse nor recompute what led here, and lost executors cost nothing.
+    """
+    at = fresh_path(df.sparkSession, what)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -80,3 +80,13 @@ def append_columns(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> Data
     """Add or overwrite columns by key without touching the others."""
     fresh = [c for c in extra.columns if c not in keys]
     return df.drop(*fresh).join(extra, list(keys), "left")
+
+
+def count_samples(labels: DataFrame, sources: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
+    """(part, n): how many labelled steps have a source step, without reading the sources' values."""
+    return labels.join(sources.select(*keys).distinct(), list(keys), "left_semi").groupBy(by.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stale_parts(labels: DataFrame, by: Column, setting: str, now) -> DataFrame:
+    """(part): parts with labels made under another setting, or none; only these need new labels."""
+    return labels.where(~F.col(setting).eqNullSafe(F.lit(now))).select(by.alias("part")).distinct()
