@@ -59,9 +59,9 @@ def gap_classes(spark, sf_dir):
 
 @query("grd_bicubic", f"""WITH {DAILY}, i AS (SELECT *, UNNEST(range(CAST(floor((lat - 2) / 1.5) AS BIGINT) + 1, CAST(ceil((lat + 2) / 1.5) AS BIGINT))) AS ilat FROM daily), j AS (SELECT *, UNNEST(range(CAST(floor((lon - 2) / 1.5) AS BIGINT) + 1, CAST(ceil((lon + 2) / 1.5) AS BIGINT))) AS ilon FROM i),
 d AS (SELECT *, abs(lat - ilat * 1.5) AS a, abs(lon - ilon * 1.5) AS b FROM j), w AS (SELECT *, CASE WHEN a < 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 WHEN a < 2 THEN -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 ELSE 0 END * CASE WHEN b < 1 THEN 1.5 * b * b * b - 2.5 * b * b + 1 WHEN b < 2 THEN -0.5 * b * b * b + 2.5 * b * b - 4 * b + 2 ELSE 0 END AS w FROM d)
-SELECT day, ilat, ilon, round(CASE WHEN sum(w) > 0.5 THEN sum(v * w) / sum(w) END, 5) AS v FROM w GROUP BY ALL""")
+SELECT day, ilat, ilon, round(CASE WHEN sum(w) > 0.5 THEN sum(v * w) / sum(w) END, 10) AS v FROM w GROUP BY ALL""")
 def bicubic(spark, sf_dir):
-    return grid.bicubic(daily(spark, sf_dir), ["day"], "v", 1.5).withColumn("v", F.round("v", 5))
+    return grid.bicubic(daily(spark, sf_dir), ["day"], "v", 1.5).withColumn("v", F.round("v", 10))
 
 
 @query("grd_lowest_level", f"""WITH {ROWS}, l AS (SELECT day, lat, lon, event_id, CASE WHEN predictor > 15 THEN 270 + predictor / 10 END AS t, control * 30 AS alt, lat * 100.0 AS ground, slot AS u FROM rows),
