@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-TREES, BITS = 512, 24
+TREES, BITS = 512, 19
 FACTOR, VISITS = 1.0, 6
-#: Rows of a forest (their positions fit 16 bits) and queries sent to it at once.
+#: Rows of a forest (on average: they are dealt by hash) and queries sent to it at once.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 16_384
+#: An entry of a tree is one 32-bit number: the hash string, and below it the position of its row.
+ROW_BITS = 13
+ROW_MASK = np.uint32((1 << ROW_BITS) - 1)
 #: Queries whose ranges are looked up together.
 CHUNK = 256
 #: Standard deviations of the votes added before they are read as an angle: chance must not put a long vector last.
@@ -42,7 +45,7 @@ MARGIN = 2.0
 K = 20
 SEED = 20_240_501
 FOUND = "query_id long, vec_id long, score double"
-FORESTS = "iblock int, ids binary, vectors binary, order binary, strings binary"
+FORESTS = "iblock int, ids binary, vectors binary, entries binary"
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
@@ -63,24 +66,26 @@ def strings(x: np.ndarray, directions: np.ndarray, trees: int = TREES, bits: int
 class Forest:
     """Sorted hash strings of one block, with the rows they belong to."""
 
-    def __init__(self, x: np.ndarray, directions: np.ndarray | None = None, order: np.ndarray | None = None, sorted_: np.ndarray | None = None, bits: int = BITS) -> None:
+    def __init__(self, x: np.ndarray, directions: np.ndarray | None = None, entries: np.ndarray | None = None, bits: int = BITS) -> None:
         self.rows, self.bits, self.lengths = len(x), bits, np.linalg.norm(x, axis=1)
-        if order is None:
-            own = strings(x, directions, bits=bits)
-            order = np.argsort(own, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(own, order, axis=1)
-        self.order, self.sorted = order.astype(np.int64), sorted_
-        votes, shares = np.arange(len(order) + 1), np.linspace(0.0, 1.0, 513)  # shares of agreeing bits
-        upper = np.minimum(len(order), votes + MARGIN * np.sqrt(votes + 1))
-        self.cosines = [np.interp(upper, len(order) * shares**d, -np.cos(np.pi * shares)) for d in range(1, bits + 1)]
+        if self.rows > 1 << ROW_BITS:
+            raise ValueError(f"a forest holds at most {1 << ROW_BITS} rows")
+        if entries is None:
+            entries = np.sort(strings(x, directions, bits=bits) << np.uint32(ROW_BITS) | np.arange(self.rows, dtype=np.uint32), axis=1)
+        self.entries, self.order = entries, (entries & ROW_MASK).astype(np.int64)
+        trees = len(entries)
+        votes, shares = np.arange(trees + 1), np.linspace(0.0, 1.0, 513)  # shares of agreeing bits
+        upper = np.minimum(trees, votes + MARGIN * np.sqrt(votes + 1))
+        self.cosines = [np.interp(upper, trees * shares**d, -np.cos(np.pi * shares)) for d in range(1, bits + 1)]
 
     def ranges(self, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries, trees) first and last-but-one positions of the rows that share ``depth`` bits with each query."""
         rest = (self.bits - depth).astype(np.uint32)
         first = queries >> rest << rest
         last = first | (np.uint32(1) << rest) - np.uint32(1)
+        first, last = first << np.uint32(ROW_BITS), last << np.uint32(ROW_BITS) | ROW_MASK
         low, high = np.empty(queries.T.shape, np.int64), np.empty(queries.T.shape, np.int64)
-        for t, own in enumerate(self.sorted):
+        for t, own in enumerate(self.entries):
             low[:, t] = np.searchsorted(own, first[t])
             high[:, t] = np.searchsorted(own, last[t], side="right")
         return low, high
@@ -153,7 +158,7 @@ def build_forests(vectors: DataFrame, dim: int, rows: int, k: int = K) -> DataFr
         rows = rows.sort_values("vec_id", kind="stable")
         x = np.stack(rows["v"].to_numpy())
         forest = Forest(x, planes(dim))
-        parts = (rows["vec_id"].to_numpy(np.int64), x, forest.order.astype(np.uint16), forest.sorted)
+        parts = (rows["vec_id"].to_numpy(np.int64), x, forest.entries)
         return pd.DataFrame([[int(rows["iblock"].iloc[0]), *(p.tobytes() for p in parts)]], columns=[f.split()[0] for f in FORESTS.split(", ")])
 
     return firsts.groupBy("iblock").applyInPandas(build, FORESTS)
@@ -171,8 +176,7 @@ def search_forests(forests: DataFrame, queries: DataFrame, dim: int, rows: int,
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         f, asked = index.iloc[0], asked.sort_values("vec_id", kind="stable")
         ids, x = np.frombuffer(f["ids"], np.int64), np.frombuffer(f["vectors"], np.float64).reshape(-1, dim)
-        shape = (-1, len(ids))
-        forest = Forest(x, order=np.frombuffer(f["order"], np.uint16).reshape(shape), sorted_=np.frombuffer(f["strings"], np.uint32).reshape(shape))
+        forest = Forest(x, entries=np.frombuffer(f["entries"], np.uint32).reshape(-1, len(ids)))
         own = max(k, math.ceil(wanted * len(ids) / rows))
         found = search_block(ids, x, forest, asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()), k, own, planes(dim))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
