@@ -80,6 +80,13 @@ def bracketed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return both.where("_l IS NOT NULL").select(*keys, "_l.*", mix.alias(out))
 
 
+def interpolated_or_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, max_gap: int, tolerance: int, left_id: str, out: str) -> DataFrame:
+    """A right series at the left times: between two samples at most ``max_gap`` apart, else the nearest one within ``tolerance``."""
+    between = bracketed(left, right, keys, left_time, right_time, value, max_gap, "_mix")
+    both = nearest_within(between, right.where(F.col(value).isNotNull()), keys, left_time, right_time, tolerance, left_id, [value])
+    return both.withColumn(out, F.coalesce("_mix", value)).drop("_mix", value, right_time)
+
+
 def fallback(df: DataFrame, sources: Sequence[tuple[str, DataFrame, Sequence[str], str]], out: str) -> DataFrame:
     """First known value of several lookups (name, frame, keys, value column), and the ``source`` it came from."""
     picks = []

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import interpolated_or_nearest
+
 YEAR = 365.25
 
 
@@ -93,3 +95,13 @@ def monthly_diurnal(df: DataFrame, clim: DataFrame, cell: Sequence[str], month:
     b = clim.select(*cell, F.col("month").alias("_m"), F.pmod(F.col("slot") - 1, F.lit(slots)).cast("int").alias("_s"), F.col(value).alias("_b"))
     both = base.join(a, [*cell, "_m", "_s"], "left").join(b, [*cell, "_m", "_s"], "left")
     return both.withColumn(out, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_u")).drop("_m", "_s", "_u", "_a", "_b")
+
+
+def cell_report(slots: DataFrame, samples: DataFrame, cell: Sequence[str], day: str, time: str, sample_time: str, value: str, slot_numbers: Sequence[int], max_gap: int = 10_800, tolerance: int = 5_400) -> DataFrame:
+    """(cell, day, <value>_<slot>...): one row per cell and day with the value at each slot's time (seconds), read from irregular samples.
+
+    Between two samples close enough it is interpolated, at the edges the nearest sample within the tolerance stands in.
+    """
+    marked = slots.withColumn("_id", F.concat_ws("|", *cell, day, "slot"))
+    found = interpolated_or_nearest(marked, samples, cell, time, sample_time, value, max_gap, tolerance, "_id", "_value")
+    return found.groupBy(*cell, day).agg(*[F.max(F.when(F.col("slot") == k, F.col("_value"))).alias(f"{value}_{k}") for k in slot_numbers])

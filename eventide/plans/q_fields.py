@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import physics as phys
-from ..operators import aggregates, grid, inversion, trajectory
+from ..operators import aggregates, climatology, grid, inversion, trajectory
 from ..sources import tables
 from ..sources.scratch import fresh_path
 from . import suite
@@ -57,11 +57,11 @@ def gap_classes(spark, sf_dir):
     return s.join(inside, ["day", "lat", "lon"]).select("day", "lat", "lon", grid.gap_class(F.col("seen"), F.col("inside"), F.col("lat") <= 10).alias("gap"))
 
 
-@query("grd_bicubic", f"""WITH {DAILY}, i AS (SELECT *, UNNEST(range(CAST(floor((lat - 2) / 1.5) AS BIGINT) + 1, CAST(ceil((lat + 2) / 1.5) AS BIGINT))) AS ilat FROM daily), j AS (SELECT *, UNNEST(range(CAST(floor((lon - 2) / 1.5) AS BIGINT) + 1, CAST(ceil((lon + 2) / 1.5) AS BIGINT))) AS ilon FROM i),
-d AS (SELECT *, abs(lat - ilat * 1.5) AS a, abs(lon - ilon * 1.5) AS b FROM j), w AS (SELECT *, CASE WHEN a < 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 WHEN a < 2 THEN -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 ELSE 0 END * CASE WHEN b < 1 THEN 1.5 * b * b * b - 2.5 * b * b + 1 WHEN b < 2 THEN -0.5 * b * b * b + 2.5 * b * b - 4 * b + 2 ELSE 0 END AS w FROM d)
-SELECT day, ilat, ilon, round(CASE WHEN sum(w) > 0.5 THEN sum(v * w) / sum(w) END, 10) AS v FROM w GROUP BY ALL""")
+@query("grd_bicubic", f"""WITH {DAILY}, i AS (SELECT *, UNNEST(range(CAST(floor((lat - 2) / 1.4e0) AS BIGINT) + 1, CAST(ceil((lat + 2) / 1.4e0) AS BIGINT))) AS ilat FROM daily), j AS (SELECT *, UNNEST(range(CAST(floor((lon - 2) / 1.4e0) AS BIGINT) + 1, CAST(ceil((lon + 2) / 1.4e0) AS BIGINT))) AS ilon FROM i),
+d AS (SELECT *, abs(lat - ilat * 1.4e0) AS a, abs(lon - ilon * 1.4e0) AS b FROM j), w AS (SELECT *, CASE WHEN a < 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 WHEN a < 2 THEN -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 ELSE 0 END * CASE WHEN b < 1 THEN 1.5 * b * b * b - 2.5 * b * b + 1 WHEN b < 2 THEN -0.5 * b * b * b + 2.5 * b * b - 4 * b + 2 ELSE 0 END AS w FROM d)
+SELECT day, ilat, ilon, round(CASE WHEN sum(w) > 0.5 THEN sum(v * w) / sum(w) END, 6) AS v FROM w GROUP BY ALL""")
 def bicubic(spark, sf_dir):
-    return grid.bicubic(daily(spark, sf_dir), ["day"], "v", 1.5).withColumn("v", F.round("v", 10))
+    return grid.bicubic(daily(spark, sf_dir), ["day"], "v", 1.4).withColumn("v", F.round("v", 6))
 
 
 @query("grd_lowest_level", f"""WITH {ROWS}, l AS (SELECT day, lat, lon, event_id, CASE WHEN predictor > 15 THEN 270 + predictor / 10 END AS t, control * 30 AS alt, lat * 100.0 AS ground, slot AS u FROM rows),
@@ -88,6 +88,20 @@ def footprint(spark, sf_dir):
     return out.withColumn("mass", F.round("mass", 6))
 
 
+@query("clm_cell_report", f"""WITH {ROWS}, v AS (SELECT lat, lon, epoch_us(ts) // 1000000 AS s, max(predictor) AS p FROM rows WHERE event_type = 'view' GROUP BY ALL), q AS (SELECT DISTINCT day, lat, lon, slot, CAST(epoch(day) AS BIGINT) + slot * 14400 AS s FROM rows),
+a AS (SELECT q.*, v.s AS s0, v.p AS v0 FROM q ASOF LEFT JOIN v ON q.lat = v.lat AND q.lon = v.lon AND q.s >= v.s), b AS (SELECT q.day, q.lat, q.lon, q.slot, v.s AS s1, v.p AS v1 FROM q ASOF LEFT JOIN v ON q.lat = v.lat AND q.lon = v.lon AND q.s <= v.s),
+n AS (SELECT *, s0 IS NOT NULL AND (s1 IS NULL OR s - s0 <= s1 - s) AS early FROM a JOIN b USING (day, lat, lon, slot)),
+x AS (SELECT *, CASE WHEN s0 = s1 THEN v0 WHEN s1 - s0 <= 43200 THEN v0 + (v1 - v0) * (s - s0) / (s1 - s0) WHEN early AND s - s0 <= 21600 THEN v0 WHEN NOT early AND s1 - s <= 21600 THEN v1 END AS p FROM n)
+SELECT lat, lon, day, {", ".join(f"round(max(p) FILTER (WHERE slot = {k}), 6) AS p_{k}" for k in range(6))} FROM x GROUP BY ALL""")
+def cell_report(spark, sf_dir):
+    """Every cell and day: the values at its slots' times from the irregular views."""
+    df = rows(spark, sf_dir)
+    slots = df.select("lat", "lon", "day", "slot").distinct().withColumn("s", F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("slot") * 14400)
+    views = df.where("event_type = 'view'").groupBy("lat", "lon", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("vs")).agg(F.max("predictor").alias("p"))
+    out = climatology.cell_report(slots, views, ["lat", "lon"], "day", "s", "vs", "p", range(6), 43_200, 21_600)
+    return out.select("lat", "lon", "day", *[F.round(f"p_{k}", 6).alias(f"p_{k}") for k in range(6)])
+
+
 @query("skill_fold_stability")
 def stability(spark, sf_dir):
     """How alike the folds' fits of the distance from the middle value are; no SQL, a test compares with plain NumPy."""

@@ -37,6 +37,16 @@ def cached(spark: SparkSession, root: str, key: str, build) -> DataFrame:
         return spark.read.parquet(path)
 
 
+def newest(spark: SparkSession, root: str, stem: str, version: int) -> DataFrame:
+    """The table ``<stem>-v<version>``, or else the newest older version of it; an error if there is none."""
+    for v in range(version, 0, -1):
+        try:
+            return spark.read.parquet(f"{root}/{stem}-v{v}")
+        except AnalysisException:
+            continue
+    raise FileNotFoundError(f"no version of {stem} up to {version} in {root}")
+
+
 def files_by_date(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, stamp): files below a folder whose names hold a stamp (first group of the pattern); contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")

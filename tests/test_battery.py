@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import features, grid, inference, inversion, trajectory
 from eventide.plans import config, suite
+from eventide.sources import tables
 
 
 def test_fold_stability_matches_numpy(spark):
@@ -94,3 +95,11 @@ def test_error_of_a_part_shrinks_with_its_size(spark):
     m = spark.createDataFrame([(b, d, 40, b) for b in range(20) for d in range(5)], "bin int, day int, n long, e long")
     whole, sixth = (inference.resampled_error(m, parts).first()["sigma"] for parts in (1, 6))
     assert sixth == pytest.approx(6**0.5 * whole, rel=0.2)
+
+
+def test_newest_version(spark, tmp_path):
+    for v in (1, 3):
+        spark.range(v).write.parquet(str(tmp_path / f"base-v{v}"))
+    assert [tables.newest(spark, str(tmp_path), "base", v).count() for v in (2, 3, 7)] == [1, 3, 3]
+    with pytest.raises(FileNotFoundError):
+        tables.newest(spark, str(tmp_path), "base", 0)
