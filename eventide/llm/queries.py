@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, jaccard_join, line_dedup, matroska, packing, quality, sharding, token_counts
+from . import ann, bpe, html_text, jaccard_join, line_dedup, lloyd, matroska, packing, part_codes, quality, sharding, token_counts, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -19,8 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_centroids": lloyd.op11_centroids,
+    "op12_part_codes": part_codes.op12_part_codes,
+    "op13_word_bpe": word_bpe.op13_word_bpe,
 }
 
 SQL: dict[str, str] = {
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_centroids": lloyd.OP11_SQL,
+    "op12_part_codes": part_codes.OP12_SQL,
 }
