@@ -7,6 +7,7 @@ earlier ranges (a few hundred numbers per key) are added.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -19,7 +20,9 @@ from ..sources.scratch import written
 RANGES = 64
 #: One over the error of the approximate quantiles that bracket exact ones.
 ACCURACY = 20_000
-#: Equal values up to this number are put in order by one task each, more by running totals.
+#: Even cuts of a part in later passes of a selection.
+EVEN = 256
+#: Equal values up to this number are put in order by one task each, more by running totals; so many values fit into one buffer.
 SORTED = 200_000
 
 
@@ -66,36 +69,87 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
     return df.join(ranked, [*keys, value], "left")
 
 
-def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q") -> DataFrame:
+def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q", most: int = SORTED) -> DataFrame:
     """(keys, out): the exact, linearly interpolated quantiles as one array, without a buffer of all values.
 
-    Approximate quantiles bracket each one; then the rows below a bracket are counted, and only the few distinct values inside it
-    are ranked.  Nulls do not count; without keys there is always a row, with null for quantiles of nothing.
+    Where no key has more than ``most`` values, each key's fit into one buffer.  Otherwise the two order statistics around each quantile
+    are found by distributed selection (:func:`selected`).  Nulls do not count, null keys are keys; keys without values are left
+    out, and without keys there is always a row, with null for quantiles of nothing.
     """
-    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fractions = [float(f) for f in fractions]
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        return v.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, fractions))).alias("_q")).select(*keys, F.transform(F.array(*map(F.lit, range(len(fractions)))), lambda i: F.get("_q", i)).alias(out))
+    at = lambda f: (F.col("_n") - 1) * F.lit(f)
+    asked = sizes.select(*keys, F.explode(F.array(*[x for f in fractions for x in (F.floor(at(f)), F.ceil(at(f)))])).alias("_rank")).distinct()
     wide = 3 / ACCURACY  # three times the error of the approximate quantiles
-    probes = [x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))]
-    brackets = v.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", probes, ACCURACY).alias("_b"))
-    rows = v.join(brackets, list(keys)) if keys else v.crossJoin(F.broadcast(brackets))
-    side = lambda i: F.when(F.col("_v").isNull(), None).when(F.col("_v") < F.col("_b")[2 * i], -1).when(F.col("_v") > F.col("_b")[2 * i + 1], 1).otherwise(0)
-    rows = rows.select(*keys, "_n", "_v", F.posexplode(F.array(*[side(i) for i in range(len(fractions))])).alias("_i", "_side")).where("_side IS NOT NULL")
-    inside = F.when(F.col("_side") == 0, F.col("_v"))
-    groups = rows.groupBy(*keys, "_n", "_i", "_side", inside.alias("_in")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    order = Window.partitionBy(*keys, "_i").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_m").over(order), F.lit(0)))
-    at = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(f)) for f in fractions]), F.col("_i"))
-
-    def of_rank(k):
-        """The value at rank k: any inside a bracket, the largest below it, the least above."""
-        last = F.col("_before") + F.col("_m") - 1
-        known = F.when(F.col("_side") == 0, F.col("_v0")).when((F.col("_side") < 0) & (k == last), F.col("_hi")).when((F.col("_side") > 0) & (k == F.col("_before")), F.col("_lo"))
-        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-        return F.max(F.when((k >= F.col("_before")) & (k <= last), F.coalesce(known, missed)))
-
-    found = groups.withColumn("_v0", F.col("_lo")).groupBy(*keys, "_i").agg(F.first(at - F.floor(at)).alias("_part"), of_rank(F.floor(at)).alias("_a"), of_rank(F.ceil(at)).alias("_z"))
-    mixed = F.when(F.col("_part") == 0, F.col("_a")).otherwise(F.col("_a") + F.col("_part") * (F.col("_z") - F.col("_a")))
-    by_place = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", mixed.alias("_q")))).alias("_q"))
-    return by_place.select(*keys, F.array(*[F.element_at("_q", F.lit(i)) if keys else F.try_element_at("_q", F.lit(i)) for i in range(len(fractions))]).alias(out))
+    near = sorted({x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))})
+    found = selected(v, asked, keys, near, most)
+    ranked = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    both = ranked.join(sizes, same_keys(ranked, sizes, keys)).select(*[ranked[k] for k in keys], "_at", "_n") if keys else ranked.crossJoin(F.broadcast(sizes))
+
+    def mixed(f):
+        low, high = F.element_at("_at", F.floor(at(f))), F.element_at("_at", F.ceil(at(f)))
+        part = at(f) - F.floor(at(f))
+        return F.when(part == 0, low).otherwise(low + part * (high - low))
+
+    return both.select(*keys, F.array(*map(mixed, fractions)).alias(out))
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    """The condition that two frames agree in the keys, nulls alike."""
+    return functools.reduce(lambda x, k: x & a[k].eqNullSafe(b[k]), keys, F.lit(True))
+
+
+def selected(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int) -> DataFrame:
+    """(keys, _rank, _v): the values ``_v`` of ``rows`` (keys, _v) at the 0-based ranks ``asked`` (keys, _rank) of each key.
+
+    A pass cuts the values of each part at approximate quantiles, counts what lies in each gap and on each cut, and goes on with the
+    gaps that hold an asked rank: in the first pass cuts lie close around the asked fractions (``near``), later ones are even.  A
+    rank on a cut, or at an end of a gap, is answered at once, so common values need no more passes.  It ends when no gap has
+    more than ``most`` rows; only these are sorted.
+    """
+    answers, rest, targets = narrowed(rows, asked, keys, near, most)
+    order = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
+    placed = rest.withColumn("_place", order).alias("a").join(targets.alias("b"), functools.reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), [*keys, "_part"], F.col("a._place") == F.col("b._place")))
+    return answers.unionByName(placed.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b._rank", "a._v"))
+
+
+def narrowed(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, rest, targets): ranks answered on the way, the rows of the last gaps (keys, _part, _v), and the ranks sought there.
+
+    No (keys, _part) of ``rest`` has more than ``most`` rows.
+    """
+    own = [*keys, "_part"]
+    on = lambda a, b, columns: functools.reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), columns, F.lit(True))
+    rows = rows.withColumn("_part", F.lit(0).cast("long"))
+    targets = asked.select(*keys, F.lit(0).cast("long").alias("_part"), "_rank", F.col("_rank").alias("_place"))
+    probes, accuracy, answers = list(near), ACCURACY, None
+    while True:
+        edges = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", probes, accuracy)).alias("_edges"))
+        cut = rows.alias("r").join(F.broadcast(edges).alias("e") if not keys and answers is None else edges.alias("e"), on("r", "e", own)).select(*[F.col(f"r.{k}").alias(k) for k in own], "_v", "_edges")
+        below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+        cut = cut.withColumn("_below", below).withColumn("_gap", 2 * F.col("_below") + F.coalesce(F.get("_edges", F.col("_below")) == F.col("_v"), F.lit(False)).cast("int")).drop("_edges", "_below")
+        gaps = cut.groupBy(*own, "_gap").agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*own).orderBy("_gap").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        gaps = gaps.withColumn("_before", before)  # a few gaps for each part
+        inside = on("t", "g", own) & (F.col("t._place") >= F.col("g._before")) & (F.col("t._place") < F.col("g._before") + F.col("g._m"))
+        hit = targets.alias("t").join(gaps.alias("g"), inside)
+        answer = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_place") == F.col("_before")), F.col("_lo")).when(F.col("_place") == F.col("_before") + F.col("_m") - 1, F.col("_hi"))
+        hit = written(hit.select(*[F.col(f"t.{k}").alias(k) for k in own], "_rank", (F.col("_place") - F.col("_before")).alias("_place"), "_gap", "_m", answer.alias("_v")), "ranks")
+        known = hit.where("_v IS NOT NULL").select(*keys, "_rank", "_v")
+        answers = known if answers is None else answers.unionByName(known)
+        open_ = hit.where("_v IS NULL")
+        wanted = open_.select(*own, "_gap").distinct()
+        largest = open_.agg(F.max("_m")).first()[0]
+        part = F.col("_part") * (2 * max(len(probes), EVEN) + 2) + F.col("_gap")
+        rest = cut.alias("c").join(wanted.alias("w"), on("c", "w", [*own, "_gap"]), "left_semi").select(*keys, part.alias("_part"), "_v")
+        targets = open_.select(*keys, part.alias("_part"), "_rank", "_place")
+        if largest is None or largest <= most:
+            return answers, rest, targets
+        rows = written(rest, "gaps")
+        probes, accuracy = [i / EVEN for i in range(1, EVEN)], 20 * EVEN
 
 
 def bin_markers(groups: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:

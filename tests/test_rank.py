@@ -89,3 +89,33 @@ def test_false_discovery_matches_the_step_up_rule(spark):
             cut = x
     assert {r["i"]: r["fdr_significant"] for r in inference.fdr(df).collect()} == {**{i: x <= cut for i, x in enumerate(p)}, len(p): False}
     assert [r["fdr_significant"] for r in inference.fdr(df.where("p IS NULL")).collect()] == [False]
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000, 1 << 30])
+def test_percentiles_by_narrowing(spark, most):
+    """Hot values, null keys and values, keys without values; the same numbers however few rows fit into one buffer."""
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random(6000) < 0.35, 7.0, np.round(rng.normal(0, 10, 6000), 2))
+    rows = [(None if i % 11 == 0 else i % 3, None if i % 13 == 0 else float(x)) for i, x in enumerate(v)] + [(9, None), (8, 2.5)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    at = [0, 0.001, 0.25, 0.3333, 0.5, 0.9, 0.999, 1]
+    got = {r["k"]: r["q"] for r in rank.percentiles(df, "v", at, ["k"], most=most).collect()}
+    assert set(got) == {0, 1, 2, 8, None}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile([x for a, x in rows if a == k and x is not None], at).tolist(), abs=1e-12)
+    whole = rank.percentiles(df, "v", at, most=most).collect()
+    assert len(whole) == 1 and whole[0]["q"] == pytest.approx(np.quantile([x for _, x in rows if x is not None], at).tolist(), abs=1e-12)
+    assert rank.percentiles(df.limit(0), "v", at, most=most).collect()[0]["q"] == [None] * len(at)
+
+
+@pytest.mark.parametrize(("rows", "most"), [(3000, 25), (30000, 25), (30000, 400)])
+def test_narrowing_leaves_bounded_windows(spark, rows, most):
+    """Ten times the rows, one value on a third of them: what is sorted at the end stays below the bound, and nothing is lost."""
+    df = spark.range(rows).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(5)).alias("_v"))
+    asked = spark.range(0, rows, rows // 37).select(F.col("id").alias("_rank"))
+    answers, rest, targets = rank.narrowed(df, asked, [], [0.5], most)
+    assert (rest.groupBy("_part").count().agg(F.max("count")).first()[0] or 0) <= most
+    assert answers.count() + targets.count() == asked.count()
+    want = np.sort([r[0] for r in df.collect()])
+    found = rank.selected(df, asked, [], [0.5], most).collect()
+    assert len(found) == asked.count() and all(r["_v"] == want[r["_rank"]] for r in found)
