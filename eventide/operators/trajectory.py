@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import running_totals, value_groups
+from .rank import SORTED, running_totals, value_groups
+from .segments import neighbours, segmented, totals
 from .windows import path_length, residence_hours
 
 
@@ -19,18 +20,21 @@ def apply_kernel(kernel: DataFrame, surface: DataFrame, receptor: Sequence[str],
     return out.select(*receptor, F.when(coverage >= min_coverage, F.col("_s") / F.nullif(F.col("_k"), F.lit(0))).alias("value"), coverage.alias("coverage"))
 
 
-def resample(points: DataFrame, path: Sequence[str], time: str, values: Sequence[str], step: int) -> DataFrame:
+def resample(points: DataFrame, path: Sequence[str], time: str, values: Sequence[str], step: int, most: int = SORTED) -> DataFrame:
     """(path, time, values) on a regular grid of ``step`` seconds from each path's first time, and its exact last point.
 
-    Only the leading run of complete points counts.  Values mix linearly between neighbouring points.
+    Only the leading run of complete points counts.  Values mix linearly between neighbouring points.  Paths of more than ``most`` points are
+    scanned in ranges of time.
     """
-    w = Window.partitionBy(*path).orderBy(time, *values)  # the values order points of one time
+    order = [time, *values]  # the values order points of one time
     good = F.lit(True)
     for v in values:
         good = good & F.col(v).isNotNull()
-    lead_run = points.withColumn("_ok", F.min(good.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_ok = 1")
-    t0 = F.min(time).over(Window.partitionBy(*path))
-    spans = lead_run.select(*path, F.col(time).alias("_a"), F.lead(time).over(w).alias("_b"), t0.alias("_t0"), *[x for v in values for x in (F.col(v).alias(f"_a_{v}"), F.lead(v).over(w).alias(f"_b_{v}"))])
+    rows, group = segmented(points.select(*path, time, *values), path, order, most)
+    rows = neighbours(rows, path, group, order, {}, {"_b": F.col(time), "_good": good} | {f"_b_{v}": F.col(v) for v in values})
+    rows = totals(rows, path, group, order, {"_bad": (~good).cast("int")}, least={"_t0": F.col(time)})
+    b = lambda c: F.when(F.col("_good"), F.col(c))  # noqa: E731  (the run ends before an incomplete point)
+    spans = rows.where("_bad = 0").select(*path, F.col(time).alias("_a"), b("_b").alias("_b"), "_t0", *[x for v in values for x in (F.col(v).alias(f"_a_{v}"), b(f"_b_{v}").alias(f"_b_{v}"))])
     first = F.col("_t0") + F.ceil((F.col("_a") - F.col("_t0")) / step) * step
     inner = spans.where((F.col("_b") > F.col("_a")) & (first < F.col("_b"))).withColumn(time, F.explode(F.sequence(first, F.col("_b") - 1, F.lit(step).cast("long"))))
     mix = (F.col(time) - F.col("_a")) / (F.col("_b") - F.col("_a"))
@@ -47,13 +51,19 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
     """
     reach = F.when(F.col(sigma) < cell / 2, 0).otherwise(F.ceil(F.col(sigma) * cut / cell)).cast("int")
     p = points.select(*receptor, lat, lon, F.col(sigma).alias("_s"), F.col(mass).alias("_m"), reach.alias("_r"), F.rint(F.col(lat) / cell).cast("int").alias("_i"), F.rint(F.col(lon) / cell).cast("int").alias("_j"))
-    around = F.transform(F.sequence(-F.col("_r"), F.col("_r")), lambda a: F.transform(F.sequence(-F.col("_r"), F.col("_r")), lambda b: F.struct((F.col("_i") + a).alias("ilat"), (F.col("_j") + b).alias("ilon"))))
-
-    def weight(c):
-        d2 = F.pow(c["ilat"] * cell - F.col(lat), 2) + F.pow(c["ilon"] * cell - F.col(lon), 2)
-        return F.when(F.col("_r") == 0, 1.0).when(d2 <= F.pow(F.col("_s") * cut, 2), F.exp(-d2 / (2 * F.col("_s") * F.col("_s")))).otherwise(0.0)
-
-    p = p.withColumn("_c", F.transform(F.flatten(around), lambda c: F.struct(c["ilat"].alias("ilat"), c["ilon"].alias("ilon"), weight(c).alias("w"))))
+    # Row by row of cells: only the span of columns that the circle covers is made, a little wider for rounding, then tested.
+    away = lambda i: i * cell - F.col(lat)
+    half = lambda i: F.sqrt(F.greatest(F.pow(F.col("_s") * cut, 2) - F.pow(away(i), 2), F.lit(0.0))) * (1 + 1e-9) / cell + 1e-9
+    columns = lambda i: F.when(F.col("_r") == 0, F.array(F.col("_j"))).otherwise(F.filter(F.sequence(F.ceil(F.col(lon) / cell - half(i)).cast("int"), F.floor(F.col(lon) / cell + half(i)).cast("int") + 1), lambda j: F.abs(j * cell - F.col(lon)) <= half(i) * cell + 1e-9))
+
+    def cells(i):
+        """Columns and weights of one row of cells."""
+        d2 = lambda j: F.pow(away(i), 2) + F.pow(j * cell - F.col(lon), 2)
+        weight = lambda j: F.when(F.col("_r") == 0, 1.0).when(d2(j) <= F.pow(F.col("_s") * cut, 2), F.exp(-d2(j) / (2 * F.col("_s") * F.col("_s")))).otherwise(0.0)
+        return F.transform(columns(i), lambda j: F.struct(i.alias("ilat"), j.alias("ilon"), weight(j).alias("w")))
+
+    rows = F.filter(F.sequence(F.col("_i") - F.col("_r"), F.col("_i") + F.col("_r")), lambda i: (F.col("_r") == 0) | (F.abs(away(i)) <= F.col("_s") * cut))
+    p = p.withColumn("_c", F.flatten(F.transform(rows, cells)))
     p = p.withColumn("_t", F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["w"]))
     flat = p.select(*receptor, "_m", "_t", F.explode(F.filter("_c", lambda c: c["w"] > 0)).alias("c"))
     return flat.groupBy(*receptor, "c.ilat", "c.ilon").agg(F.sum(F.col("_m") * F.col("c.w") / F.col("_t")).alias("mass"))
@@ -101,7 +111,9 @@ def footprint(points: DataFrame, receptor: Sequence[str], path: Sequence[str], h
     lat and lon) and ``lag_h`` (hours to its end).  The lag is that time to the nearest ``lag_hours``, up to ``most_lag`` hours.
     """
     df = path_length(residence_hours(points, path, hours, hours, "_res"), path, hours, lat, lon)
-    df = df.withColumns({"back": F.col("remaining"), "lag_h": F.max(hours).over(Window.partitionBy(*path)) - F.col(hours)})
+    rows, group = segmented(df, path, [hours])
+    df = totals(rows, path, group, [hours], most={"_end": F.col(hours)})
+    df = df.withColumns({"back": F.col("remaining"), "lag_h": F.col("_end") - F.col(hours)})
     mass = F.col("_res") * contact
     for factor in (land, energy, discount):
         mass = mass if factor is None else mass * factor

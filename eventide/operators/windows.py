@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import percentiles
+from .rank import SORTED, percentiles
+from .segments import neighbours, segmented, totals
 
 DAY0 = "1970-01-01"
 
@@ -55,20 +56,23 @@ def smooth3(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str
     return df.withColumn(out, F.when(before.isNull() | after.isNull(), F.col(value)).otherwise(0.25 * before + 0.5 * F.col(value) + 0.25 * after))
 
 
-def path_length(df: DataFrame, path: Sequence[str], order: str, x: str, y: str) -> DataFrame:
-    """Adds ``travelled`` (so far) and ``remaining`` (to the end) along straight pieces."""
-    w = Window.partitionBy(*path).orderBy(order)
-    dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
-    df = df.withColumn("_piece", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
-    df = df.withColumn("travelled", F.sum("_piece").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("remaining", F.sum("_piece").over(Window.partitionBy(*path)) - F.col("travelled")).drop("_piece")
+def path_length(df: DataFrame, path: Sequence[str], order: str, x: str, y: str, most: int = SORTED) -> DataFrame:
+    """Adds ``travelled`` (so far) and ``remaining`` (to the end) along straight pieces; paths of more than ``most`` rows are scanned in ranges."""
+    rows, group = segmented(df, path, [order], most)
+    rows = neighbours(rows, path, group, [order], {"_px": F.col(x), "_py": F.col(y)}, {})
+    dx, dy = F.col(x) - F.col("_px"), F.col(y) - F.col("_py")
+    rows = rows.withColumn("_piece", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
+    rows = totals(rows, path, group, [order], {"travelled": F.col("_piece")}, {"_all": F.col("_piece")})
+    return rows.select(*df.columns, "travelled", (F.col("_all") - F.col("travelled")).alias("remaining"))
 
 
-def residence_hours(df: DataFrame, path: Sequence[str], order: str, hours: str, out: str) -> DataFrame:
+def residence_hours(df: DataFrame, path: Sequence[str], order: str, hours: str, out: str, most: int = SORTED) -> DataFrame:
     """Trapezoidal residence time of each point: half the distance in time to its neighbours."""
-    w = Window.partitionBy(*path).orderBy(order)
+    rows, group = segmented(df, path, [order], most)
     t = F.col(hours)
-    return df.withColumn(out, (F.coalesce(t - F.lag(t).over(w), F.lit(0.0)) + F.coalesce(F.lead(t).over(w) - t, F.lit(0.0))) / 2)
+    rows = neighbours(rows, path, group, [order], {"_before": t}, {"_after": t})
+    held = (F.coalesce(t - F.col("_before"), F.lit(0.0)) + F.coalesce(F.col("_after") - t, F.lit(0.0))) / 2
+    return rows.select(*df.columns, held.alias(out))
 
 
 def terciles(rank: Column, labels: Sequence[str] = ("low", "mid", "high")) -> Column:
