@@ -1,20 +1,25 @@
 """Operator 8: main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each with its root-to-leaf tag path.  Text length and punctuation are aggregated per path
-and divided by the number of the path's blocks; both are fused with the share of text outside links into one ratio per path,
-which is smoothed along the page between blocks of the same part of the tree.  What the path's tags, roles and names say
-(menu, footer, advert, comments, hidden ..., or lying outside the page's article) is one more factor of the ratio.  Paths whose
-ratio reaches the threshold that the page itself sets are content, and their blocks are the text.
+and divided by the number of the path's blocks; both are fused with the number of blocks, the share of text outside links and the share in
+the same part of the page as the headline into one ratio per path, which is smoothed along the page, mostly between blocks of the same part of the tree.  Paths whose ratio reaches the threshold that the page itself
+sets are content, and their blocks are the text.
 
-The article is the smallest element around the content paths' text (and the headline).  What else lies in it without being named
-as something else belongs to the article even if it is short: table cells, captions, single words.  Lists and repeated paths
-that are mostly links do not.  An element that holds most of a page's text is the article whatever its name.
+What a path's tags, roles and names say is a bounded nudge of its ratio: menus, footers, adverts and what lies outside the page's
+article element need about three times the ratio, and what reads like an article but is none (comments, sidebars, lists of
+related pages, notices) about eight times.  So names decide between paths of much the same ratio; a higher ratio outvotes them, nothing
+is deleted by its name, and with equal ratios menus, footers and adverts would all stay.
+
+The article is the smallest element around the content paths' text (and the headline).  What else lies in it without being nudged
+further belongs to the article even if it is short: table cells, captions, single words, lists of linked titles.  Menus, that is lists
+and repeated paths of links of one or two words, do not.
 
 Inside a block white space becomes one space; blocks are joined in page order by one line feed.
 
 Defined cases: null, empty or tag-free html gives the text that is there (an empty string for none); unclosed tags,
 comments, quotes and cut-off pages are read as far as they go; very long and deep pages are read whole in time linear in their
-length; equal ratios fall on the same side of the threshold; repeated rows each get a row; an empty table gives an empty
+length; equal ratios fall on the same side of the threshold; comments or sidebars longer than the article stay out unless nothing else has
+text; an article without text gives an empty string though menus or footers have some; repeated rows each get a row; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -30,25 +35,29 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: A content path's ratio is at least this share of the page's mean ratio per character,
+#: A content path's ratio is at least this share of the page's mean ratio per character.
 SHARE = 0.3
-#: and at least this: one character in one block without punctuation.
-LEAST = 1.0
 #: An article or main element with more than this share of the text on content paths is the article.
 HOLDS = 0.6
-#: An element with more than this share of the text on content paths is no advert or sidebar, whatever its name.
-MOST = 0.5
-#: Unless article and main elements elsewhere hold more than this share of all text.
-RIVAL = 0.1
-#: Factor of the ratios below an element that its tag, role or name marks as something else,
-MARKED = 0.001
-#: and of those outside the page's article or main element.
-OUTSIDE = 0.1
+#: Nudges of the ratio: of paths below an element that its tag, role or name marks as menu, footer, advert or the like,
+MARKED = 0.45
+#: below one that is marked as prose that is no article,
+BESIDE = 0.12
+#: below one that is not shown,
+UNSEEN = 0.05
+#: and of paths outside the page's article or main element.
+OUTSIDE = 0.7
+#: An article of fewer characters has no ratios to speak of; where only nudged text lies beside it, its element decides.
+STUB = 100
+#: How much text in the same part of the page as a headline (h1) gains.
+HEADED = 12.0
 #: Weights of the smoothing along the page, and between blocks whose parts of the tree differ.
 KERNEL = (1.0, 2.0, 4.0, 2.0, 1.0)
 APART = 0.25
-#: A list, or a path of several blocks, with more of its text inside links than this is a menu or a list of links.
+#: A list, or a path of several blocks, with more of its text inside links than this is a list of links;
 LINKS = 0.6
+#: with fewer words than this to a block it is a menu.
+TITLE = 2.5
 
 MARKUP = re.compile(
     r"""<!--(?:.*?-->|.*)                                            # comment
@@ -59,7 +68,8 @@ MARKUP = re.compile(
     re.S | re.X,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、！？；：-]")
+#: Marks that end a phrase; dots inside addresses and numbers do not.
+PUNCTUATION = re.compile(r"""[.,;:!?…]+(?=[\s"'”’»)\]]|\Z)|[¡¿。，、！？；：]""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,9 +80,7 @@ PHRASES = frozenset("math svg".split())
 #: No text of the page: titles, form controls, what stands in for media.
 DROPPED = frozenset("head button select option object video audio canvas map desc metadata".split())
 #: Tags of menus, footers and the like; a header is one outside articles.
-TOLD = frozenset("nav footer aside menu dialog".split())
-#: Tags that say so less surely, like names: a form may wrap the page.
-HINTS = frozenset("form fieldset".split())
+TOLD = frozenset("nav footer menu dialog form fieldset".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dt dd figcaption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl".split())
@@ -89,16 +97,23 @@ CLOSES = {
 }
 MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Name parts of classes and ids that mark what is not the article.
+#: Name parts of classes and ids that mark what is not the article,
 NOT_ARTICLE = frozenset(
     """ad ads advert adverts advertisement advertising adsense adsbygoogle banner promo promos promotion promoted sponsor sponsored sponsors
-    sidebar aside nav navbar navigation menu submenu topbar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices
-    notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations
-    comment comments commentlist disqus reply replies respond reviews pagination pager toolbar widget widgets search login copyright legal
-    disclaimer hidden skip""".split()
+    nav navbar navigation menu submenu topbar breadcrumb breadcrumbs footer masthead share sharing social pagination pager toolbar widget widgets
+    search login copyright legal skip""".split()
+)
+#: and of these what reads like one.
+PROSE = frozenset(
+    """sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
+    related recommended recommendations comment comments commentlist disqus reply replies respond reviews disclaimer hidden""".split()
 )
-#: Of these the ones that say nothing about a paragraph or item inside an article.
+#: Of both, what says nothing about a paragraph or item inside an article.
 OF_ELEMENTS = frozenset("legal copyright disclaimer login search skip reviews reply replies respond related social sharing share toolbar".split())
+#: After one of these a name speaks of what the element has around or inside it.
+SPEAKS_OF = frozenset("no has with without show".split())
+#: A name that ends so is the part that holds the text.
+HOLDERS = frozenset("content body text main article post entry wrapper container page layout".split())
 
 
 @dataclass
@@ -108,13 +123,10 @@ class Element:
     parent: "Element | None"
     dropped: bool = False  # no text of the page
     main: bool = False  # an article or main element, or inside one
-    told: bool = False  # its tag, role or style says that it is something else than the article
-    named: bool = False  # its name or a form says so
+    nudge: float = 1.0  # what tags, roles and names on the way say
     inline: bool = False
     phrase: bool = False
     weight: float = 0.0
-    plain: float = 0.0  # text outside named elements, and the part of it in article and main elements
-    exposed: float = 0.0
     inside: bool = False
     children: list["Element"] = field(default_factory=list)
 
@@ -122,10 +134,6 @@ class Element:
         """``part`` is the part of the page that the element belongs to."""
         self.part = self.parent.part if self.parent is not None and (self.inline or self.tag in WITHIN_PARTS) else self
 
-    @property
-    def marked(self) -> bool:
-        return self.told or self.named
-
 
 @dataclass
 class Block:
@@ -136,33 +144,42 @@ class Block:
     path: int
 
 
-def signs(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, str]:
-    """(whether tag, role or style tell that the element is not the article, whether its name or a form hints at it, its first class)."""
-    told, named, first = tag in TOLD or tag == "header" and not in_main, tag in HINTS, ""
+def named(value: str, whole: bool, item: bool) -> float:
+    """The nudge of a class or id; of text blocks only whole names count, not their parts, and fewer of those that are an article's items."""
+    out = 1.0
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PARTS.findall(name)]
+        if not parts or parts[0] in SPEAKS_OF or parts[-1] in HOLDERS or whole and len(parts) > 1:
+            continue
+        out = min([out, *(BESIDE if p in PROSE else MARKED for p in parts if (p in PROSE or p in NOT_ARTICLE) and not (item and p in OF_ELEMENTS))])
+    return out
+
+
+def signs(tag: str, attrs: str, in_main: bool) -> tuple[float, str]:
+    """(the nudge that an element's tag, role, names and style give, its first class)."""
+    nudge, first = (BESIDE if tag == "aside" else MARKED if tag in TOLD or tag == "header" and not in_main else 1.0), ""
     if not attrs.strip(" /\n\t"):
-        return told, named, first
+        return nudge, first
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            parts = {p.lower() for p in NAME_PARTS.findall(value)} & NOT_ARTICLE
-            if in_main and tag in TEXT_BLOCKS:
-                parts -= OF_ELEMENTS
             if name == "class" and value.split():
                 first = value.split()[0]
-            named = named or bool(parts)
-        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            told = True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            told = True
-    if tag in WHOLE:
-        return False, False, first
-    return told, named and tag not in MAIN and not re.search(MAIN_ROLE, attrs), first
+            if tag not in MAIN:
+                nudge = min(nudge, named(value, tag in TEXT_BLOCKS, in_main and tag in TEXT_BLOCKS))
+        elif name == "role" and value.lower() in ROLES:
+            nudge = min(nudge, BESIDE if value.lower() == "complementary" else MARKED)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            nudge = min(nudge, UNSEEN)
+    if tag in WHOLE or re.search(MAIN_ROLE, attrs):
+        return 1.0, first
+    return nudge, first
 
 
 def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
     """The elements, parents first, and the page's blocks in order."""
     root = Element("", 0, None)
-    paths: dict[tuple[int, str, str, bool], int] = {}  # (path of the parent, tag, first class, marked) -> path; long paths as strings would grow with the square of the depth
+    paths: dict[tuple[int, str, str, float], int] = {}  # (path of the parent, tag, first class, nudge) -> path; long paths as strings would grow with the square of the depth
     here, blocks, everything = root, [], [root]
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
@@ -253,13 +270,14 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
                         close(e)
                         break
                     e = e.parent
-        told, named, first = signs(tag, attrs, here.main)
-        path = here.path if inline else paths.setdefault((here.path, tag, first, told or named), len(paths) + 1)
+        own, first = signs(tag, attrs, here.main)
+        nudge = min(here.nudge, own)
+        path = here.path if inline and own == 1.0 else paths.setdefault((here.path, tag, first, nudge), len(paths) + 1)
         main = here.main or tag in MAIN or bool(re.search(MAIN_ROLE, attrs))
-        child = Element(tag, path, here, here.dropped or tag in DROPPED, main, told, named, inline, here.phrase or tag in PHRASES)
+        child = Element(tag, path, here, here.dropped or tag in DROPPED, main, nudge, inline, here.phrase or tag in PHRASES)
         if not inline:
             here.children.append(child)
-        elif told or named or child.dropped:
+        elif own < 1.0 or child.dropped:
             flush()
         everything.append(child)
         if attrs.rstrip().endswith("/") and (tag not in INLINE or here.phrase):
@@ -273,27 +291,26 @@ def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
 
 
 def path_ratios(blocks: list[Block], factor: dict[int, float]) -> dict[int, float]:
-    """Ratio of each tag path: text, punctuation and links fused, smoothed among blocks of one factor, times that factor."""
-    groups: dict[float, list[Block]] = {}
-    for b in blocks:
-        groups.setdefault(factor[b.path], []).append(b)
-    return {p: r * f for f, group in groups.items() for p, r in smoothed(group).items()}
+    """Ratio of each tag path: text, punctuation and links fused, smoothed along the page, times the path's nudge."""
+    return {p: r * factor[p] for p, r in smoothed(blocks).items()}
 
 
 def smoothed(blocks: list[Block]) -> dict[int, float]:
     totals: dict[int, list[float]] = {}
+    headed = {id(b.element.part) for b in blocks if b.tag == "h1"}
     for b in blocks:
-        t = totals.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        t = totals.setdefault(b.path, [0.0, 0.0, 0.0, 0.0, 0.0])
         t[0] += len(b.text)
         t[1] += len(PUNCTUATION.findall(b.text))
         t[2] += b.linked
         t[3] += 1
-    fused = {p: chars / n * (1.0 + marks / n) * (1.0 - min(1.0, linked / chars)) for p, (chars, marks, linked, n) in totals.items()}
+        t[4] += len(b.text) * (id(b.element.part) in headed)
+    fused = {p: chars / n * (1.0 + marks / n) * (1.0 - min(1.0, linked / chars)) * (1.0 + HEADED * near / chars) * n / (n + 1) for p, (chars, marks, linked, n, near) in totals.items()}
     row, parts = [fused[b.path] for b in blocks], [b.element.part for b in blocks]
     half = len(KERNEL) // 2
     sums: dict[int, list[float]] = {}
     for i, b in enumerate(blocks):
-        near = [(row[j], KERNEL[j - i + half] * (1.0 if parts[j] is parts[i] else APART)) for j in range(max(0, i - half), min(len(row), i + half + 1))]
+        near = [(row[j], KERNEL[j - i + half] * (1.0 if parts[j] is parts[i] else APART)) for j in range(max(0, i - half), min(len(row), i + half + 1)) if blocks[j].element.nudge == b.element.nudge]
         s = sums.setdefault(b.path, [0.0, 0.0])
         s[0] += sum(v * w for v, w in near) / sum(w for _, w in near)
         s[1] += 1
@@ -301,11 +318,11 @@ def smoothed(blocks: list[Block]) -> dict[int, float]:
 
 
 def content_paths(blocks: list[Block], factor: dict[int, float]) -> set[int]:
-    """The paths whose ratio reaches the threshold; paths of small factors count little in the mean that sets it."""
+    """The paths whose ratio reaches the threshold; nudged paths count less in the mean that sets it."""
     ratio = path_ratios(blocks, factor)
-    weight = sum(len(b.text) * factor[b.path] for b in blocks)
-    mean = sum(ratio[b.path] * len(b.text) * factor[b.path] for b in blocks) / weight
-    return {p for p, r in ratio.items() if r >= max(LEAST, SHARE * mean)}
+    weights = [len(b.text) * factor[b.path] ** 2 for b in blocks]
+    mean = sum(ratio[b.path] * w for b, w in zip(blocks, weights, strict=True)) / sum(weights)
+    return {p for p, r in ratio.items() if r >= SHARE * mean}
 
 
 def weigh(everything: list[Element], blocks: list[Block]) -> float:
@@ -319,56 +336,13 @@ def weigh(everything: list[Element], blocks: list[Block]) -> float:
     return everything[0].weight
 
 
-def inherit_marks(everything: list[Element], blocks: list[Block]) -> None:
-    """``told`` and ``named`` go to all that lies in such an element.
-
-    What tags, roles and styles tell holds unless it leaves next to nothing of a page without article and main elements.  An
-    element that holds most of the content paths' text loses its name first, and all do if they leave next to nothing.
-    """
-    chars = sum(len(b.text) for b in blocks)
-    own = [e.told for e in everything]
-    for e in everything[1:]:
-        e.told = e.told or e.parent.told
-    has_main = any(e.main and not e.told for e in everything)
-    if not has_main and sum(len(b.text) for b in blocks if not b.element.told) <= RIVAL * chars:
-        for e, was in zip(everything, own, strict=True):
-            e.told, e.named = False, e.named or was
-    blocks = [b for b in blocks if not b.element.told]
-    if not blocks:
-        return
-    chars = sum(len(b.text) for b in blocks)
-    content = content_paths(blocks, dict.fromkeys((b.path for b in blocks), 1.0))
-    total = weigh(everything, [b for b in blocks if b.path in content] or blocks)
-    for b in blocks:
-        b.element.plain += len(b.text)
-    whole = {id(e): e.weight for e in everything if e.tag in MAIN}
-    for e in reversed(everything[1:]):
-        if e.main:
-            e.exposed = e.plain
-        if not e.named:
-            e.parent.plain += e.plain
-            e.parent.exposed += e.exposed
-    rival = everything[0].exposed  # text of article and main elements outside named ones
-    if any(e.tag in MAIN and not e.told and whole[id(e)] == 0 for e in everything):  # the article is there, and empty
-        rival = max(rival, RIVAL * chars + 1)
-    for e in everything[1:]:
-        if e.parent.named:
-            e.named = True
-        elif e.named and e.weight > MOST * total and (e.main or rival <= RIVAL * chars):
-            e.named = False
-            rival += e.exposed
-    if rival <= RIVAL * chars and sum(len(b.text) for b in blocks if not b.element.named) <= RIVAL * chars:  # names that leave next to nothing say nothing
-        for e in everything:
-            e.named = False
-
-
 def article_of(everything: list[Element], blocks: list[Block]) -> Element:
     """The article by the weights of the elements."""
     root = everything[0]
     for e in everything:
-        if e.tag in MAIN and not e.dropped and not e.marked and e.weight > HOLDS * root.weight:
+        if e.tag in MAIN and not e.dropped and e.weight > HOLDS * root.weight:
             return e
-    headline = next((b.element for b in blocks if b.tag == "h1" and not b.element.marked), None)
+    headline = next((b.element for b in blocks if b.tag == "h1" and b.element.nudge == 1.0), None)
     above = set()
     while headline is not None:
         above.add(id(headline))
@@ -382,8 +356,8 @@ def article_of(everything: list[Element], blocks: list[Block]) -> Element:
     return holder
 
 
-def link_lists(blocks: list[Block]) -> set[int]:
-    """Which blocks belong to lists or paths that are mostly links; headings and single paragraphs never do."""
+def menus_of(blocks: list[Block]) -> set[int]:
+    """Which blocks belong to lists or paths of short links; headings and single paragraphs never do."""
     groups: dict[object, list[Block]] = {}
     lists: dict[int, int | None] = {}
 
@@ -407,7 +381,8 @@ def link_lists(blocks: list[Block]) -> set[int]:
     out = set()
     for (kind, _), group in groups.items():
         single = kind == "path" and len(group) == 1 and group[0].tag in TEXT_BLOCKS
-        if not single and sum(b.linked for b in group) > LINKS * sum(len(b.text) for b in group):
+        short = sum(len(b.text.split()) for b in group) < TITLE * len(group)
+        if not single and short and sum(b.linked for b in group) > LINKS * sum(len(b.text) for b in group):
             out.update(map(id, group))
     return out
 
@@ -418,13 +393,14 @@ def main_text(page: str | None) -> str:
         return ""
     everything, blocks = blocks_of(page)
     blocks = [b for b in blocks if not b.element.dropped]
+    if not any(b.element.main for b in blocks) and any(e.tag in MAIN for e in everything):
+        blocks = [b for b in blocks if b.element.nudge == 1.0]  # the article is there, and empty: no menu or footer stands in for it
+    own = [b for b in blocks if b.element.nudge == 1.0]
+    if own and all(b.element.main for b in own) and sum(len(b.text) for b in own) < STUB:
+        blocks = own
     if not blocks:
         return ""
-    inherit_marks(everything, blocks)
-    for b in blocks:
-        if b.element.marked:
-            b.path = -b.path
-    factor = {b.path: MARKED if b.path < 0 else 1.0 for b in blocks}
+    factor = {b.path: b.element.nudge for b in blocks}
     content = content_paths(blocks, factor)
     weigh(everything, [b for b in blocks if b.path in content])
     article = article_of(everything, blocks)
@@ -433,13 +409,13 @@ def main_text(page: str | None) -> str:
     if article.tag in MAIN:
         outer = {b.path for b in blocks if not b.element.inside} - {b.path for b in blocks if b.element.inside}
         content = content_paths(blocks, {p: f * OUTSIDE if p in outer else f for p, f in factor.items()})
-    menus = link_lists([b for b in blocks if b.path in content or b.element.inside])
+    menus = menus_of([b for b in blocks if b.path in content or b.element.inside])
     return "\n".join(b.text for b in blocks if (b.path in content or belongs(b, article)) and id(b) not in menus)
 
 
 def belongs(b: Block, article: Element) -> bool:
-    """Whether a block is a short part of the article."""
-    return b.element.inside and not b.element.marked and (b.tag in TEXT_BLOCKS or article.tag not in WHOLE) and bool(article.weight)
+    """Whether a block is a short part of the article: nothing on the way down to it says otherwise."""
+    return b.element.inside and b.element.nudge >= article.nudge and (b.tag in TEXT_BLOCKS or article.tag not in WHOLE) and bool(article.weight)
 
 
 def extract(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:

@@ -416,25 +416,8 @@ class PlainTree(HTMLParser):
 
 
 def plain_main_text(page):
-    """The operator's rules on short pages without frames, lists of links apart from menus, or names but "ad"."""
-    blocks = [(p, t, n, 0.001 if {"nav", "footer"} & {x for x, _ in p} or "ad" in [c for _, c in p] else 1.0) for p, t, n in PlainTree(page).blocks]
-    part = lambda path: tuple(x for x in path if x[0] not in ("p", "h1", "li", "ul"))
-    own, ratio = {}, {}
-    for p, _, _, f in blocks:
-        same = [(len(t), sum(c in ".,;:!?¡¿…。，、！？；：-" for c in t), n) for q, t, n, _ in blocks if q == p]
-        chars, marks, linked = (sum(x) for x in zip(*same))
-        own[p] = chars / len(same) * (1 + marks / len(same)) * (1 - min(1, linked / chars))
-    for p, _, _, f in blocks:
-        near = []
-        row = [q for q, _, _, g in blocks if g == f]
-        for i, q in enumerate(row):
-            if q == p:
-                around = [(own[row[j]], (4, 2, 1)[abs(i - j)] * (1 if part(row[j]) == part(q) else 0.25)) for j in range(len(row)) if abs(i - j) < 3]
-                near.append(sum(v * w for v, w in around) / sum(w for _, w in around))
-        ratio[p] = (sum(near) / len(near) + own[p]) / 2 * f
-    mean = sum(ratio[p] * len(t) * f for p, t, _, f in blocks) / sum(len(t) * f for _, t, _, f in blocks)
-    content = {p for p in ratio if ratio[p] >= max(1, 0.3 * mean)}
-    return "\n".join(t for p, t, _, f in blocks if p in content or "article" in [x for x, _ in p] and f == 1)
+    """What the contract asks for on the given pages: the blocks of the article element."""
+    return "\n".join(t for p, t, _ in PlainTree(page).blocks if "article" in [x for x, _ in p])
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
@@ -448,13 +431,37 @@ def test_given_pages_against_a_plain_version(spark, size):
 
 
 def test_the_ratios_choose(spark, monkeypatch):
-    """With one constant ratio for every path every page changes; text and punctuation alone, without tags and names, get most pages right."""
+    """Ratios without nudges get nearly all pages right, nudges with equal ratios nearly none; telling tags and names are not needed."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = [plain_main_text(p) for p in pages]
+    count = lambda pages: sum(html_text.main_text(p) == t for p, t in zip(pages, right, strict=True))
     bare = [re.sub(r"<(/?)(nav|footer|article)\b", r"<\1div", p).replace(' class="ad"', "") for p in pages]
-    right = [html_text.main_text(p) for p in pages]
-    assert sum(html_text.main_text(b) == t for b, t in zip(bare, right, strict=True)) > 0.5 * len(pages)
-    monkeypatch.setattr(html_text, "path_ratios", lambda blocks, factor: {b.path: 1.0 for b in blocks})
-    assert not any(html_text.main_text(p) == t for p, t in zip(pages, right, strict=True))
+    assert count(bare) > 0.95 * len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "path_ratios", lambda blocks, factor: html_text.smoothed(blocks))
+        assert count(pages) > 0.98 * len(pages)
+    monkeypatch.setattr(html_text, "path_ratios", lambda blocks, factor: dict(factor))
+    assert count(pages) < 0.05 * len(pages)
+
+
+REMARKS = "".join(f"<p>I think so too, remark {i}, and thanks for it.</p>" for i in range(20))
+ABOUT = "".join(f"<p>About me {i}: I write here of this and that, often.</p>" for i in range(12))
+SHORT = f"<p>{SENTENCES[0]}</p><p>{SENTENCES[1]}</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><nav><a href=1>Home</a></nav><article>{BODY}<p class="ad-hoc">An ad-hoc paragraph, short.</p><p id="hidden-gems">Hidden gems are here.</p></article></body>', [*SENTENCES, "An ad-hoc paragraph, short.", "Hidden gems are here."]),
+    (f"<body><article>{BODY}<ul><li><a href=1>Report of the council</a><li><a href=2>Map of the bridge</a></ul></article></body>", [*SENTENCES, "Report of the council", "Map of the bridge"]),
+    (f'<body><article>{SHORT}</article><div class="comments">{REMARKS}</div></body>', SENTENCES[:2]),
+    (f'<body><div class="post">{SHORT}</div><section class="comments">{REMARKS}</section></body>', SENTENCES[:2]),
+    (f'<body><main><h1>Head</h1>{SHORT}<section id="comments"><h2>Comments</h2>{REMARKS}</section></main></body>', ["Head", *SENTENCES[:2]]),
+    (f'<body><div class="post">{SHORT}</div><div class="sidebar">{ABOUT}</div></body>', SENTENCES[:2]),
+    (f'<body><div id="cookie-notice"><p>We use cookies, and so do our partners. Accept them all, please.</p></div><div><h1>Head</h1>{BODY}</div></body>', ["Head", *SENTENCES]),
+    (f'<body><div class="comments">{BODY}</div><footer>(c) me</footer></body>', SENTENCES),
+    ("<body><nav><a href=1>Home</a></nav><article><h1>Hi</h1><p>Ok.</p></article><footer>All rights kept, by us, and for long.</footer></body>", ["Hi", "Ok."]),
+])
+def test_names_nudge_and_do_not_decide_alone(page, want):
+    assert html_text.main_text(page).split("\n") == want
 
 
 def test_deep_pages_stay_linear():
