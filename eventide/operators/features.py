@@ -73,7 +73,7 @@ def on_skeleton(df: DataFrame, axes: Sequence[DataFrame], keys: Sequence[str]) -
     """The rows on the full product of the given axis tables, absent ones missing."""
     grid = axes[0]
     for a in axes[1:]:
-        grid = grid.crossJoin(F.broadcast(a))
+        grid = grid.crossJoin(a)
     return grid.join(df, list(keys), "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -61,6 +62,9 @@ def gradient_weights(away, known: np.ndarray, v: np.ndarray, nugget: float, tole
         c, rest = c + length * step, rest - length * image
         size, before = rest @ rest, size
         step = rest + size / before * step
+    else:
+        if size > least:
+            raise ArithmeticError(f"kriging weights of {len(v)} points have not converged: residual {math.sqrt(size):.3g}, wanted {math.sqrt(least):.3g}")
     return c, float((v - product(c)).mean())
 
 

@@ -264,3 +264,32 @@ def lowest_level(df: DataFrame, keys: Sequence[str], level: str, temperature: st
     above = F.col(f"b.{altitude}") - F.col(f"b.{ground}")
     down = F.col(f"b.{temperature}") + lapse * F.greatest(above, F.lit(0.0))
     return best.where(above <= most_above).select(*keys, down.alias(temperature), *[F.col(f"b.{c}").alias(c) for c in carry], above.alias("above"))
+
+
+def expected_swath(steps: DataFrame, bank: DataFrame, keys: Sequence[str], day: str, hour: str, cycle: Column, fewest_days: int, least: float) -> DataFrame:
+    """(day, hour, lat, lon, expected): the area that the overpass of a day usually covers, from a bank of the repeat cycle.
+
+    ``bank`` has cycle_day, hour, lat, lon, n_days and frequency.  ``steps`` are the (keys) asked for, ``day`` and ``hour`` among them.  Steps whose
+    cycle day and hour the bank lacks, or knows from fewer than ``fewest_days`` overpasses, have no rows.
+    """
+    known = bank.where(F.col("n_days") >= fewest_days).select("cycle_day", F.col("hour").alias("_hour"), "lat", "lon", (F.col("frequency") >= least).alias("expected"))
+    asked = steps.select(*keys).distinct().withColumn("_cycle", cycle)
+    return asked.join(known, (F.col("_cycle") == F.col("cycle_day")) & (F.col(hour) == F.col("_hour"))).select(*keys, "lat", "lon", "expected")
+
+
+def gap_types(observed: DataFrame, bank: DataFrame | None, keys: Sequence[str], schema_keys: str, flag: str, day: str, hour: str, cycle: Column, fewest_days: int = 5, least: float = 0.5, domain: Column | None = None, rounds: int = 1) -> DataFrame:
+    """(keys, lat, lon, inside, source, gap): the class of every cell, by the expected swath or else by the day's own envelope.
+
+    A fully overcast stretch leaves nothing to close, but the bank still knows that the satellite was there.  A step that the
+    bank knows uses it for all its cells (a cell that the bank lacks is outside); all other steps use the morphological envelope, and only these are grouped.
+    """
+    if bank is None:
+        own = observed.join(envelope(observed, keys, schema_keys, flag, rounds), [*keys, "lat", "lon"]).withColumn("source", F.lit("envelope"))
+    else:
+        expected = expected_swath(observed, bank, keys, day, hour, cycle, fewest_days, least)
+        steps = expected.select(*keys).distinct()
+        by_bank = observed.join(steps, list(keys), "left_semi").join(expected, [*keys, "lat", "lon"], "left").withColumn("inside", F.coalesce("expected", F.lit(False))).drop("expected").withColumn("source", F.lit("bank"))
+        rest = observed.join(steps, list(keys), "left_anti")
+        by_day = rest.join(envelope(rest, keys, schema_keys, flag, rounds), [*keys, "lat", "lon"]).withColumn("source", F.lit("envelope"))
+        own = by_bank.unionByName(by_day)
+    return own.withColumn("gap", gap_class(F.coalesce(F.col(flag), F.lit(False)), F.col("inside"), domain)).select(*keys, "lat", "lon", "inside", "source", "gap")

@@ -18,6 +18,12 @@ from .rank import equal_count_bins, running_totals, value_groups
 RESULT = "n long, n_events long, gini double, ci_lo double, ci_hi double, p double, se_naive double, se_block double, inflation double, n_days int"
 
 
+def two_sided(boot: np.ndarray, point: float) -> float:
+    """p of a point under resampled values moved to their mean; at least one over their number plus one."""
+    around = boot - boot.mean()
+    return min(1.0, max(2 * min((around >= point).mean(), (around <= point).mean()), 1 / (len(boot) + 1)))
+
+
 def bin_day_matrix(df: DataFrame, keys: Sequence[str], value: str, flag: str, day: str, tie: str, bins: int = 512) -> DataFrame:
     """(keys, bin, day, n, e): counts and events by equal-count rank bin and day."""
     rows = df.where(F.col(value).isNotNull() & F.col(flag).isNotNull())
@@ -68,8 +74,7 @@ def bootstrap(matrix: DataFrame, keys: Sequence[str], key_schema: str, day: str
             row |= dict.fromkeys(("gini", "ci_lo", "ci_hi", "p", "se_naive", "se_block", "inflation"))
         else:
             lo, hi = np.quantile(boot, [(1 - confidence) / 2, (1 + confidence) / 2])
-            around = boot - boot.mean()
-            p = min(1.0, max(2 * min((around >= point).mean(), (around <= point).mean()), 1 / (len(boot) + 1)))
+            p = two_sided(boot, point)
             a, b = np.nanstd(iid, ddof=1), np.nanstd(blocks, ddof=1)
             row |= {"gini": point, "ci_lo": lo, "ci_hi": hi, "p": p, "se_naive": a, "se_block": b, "inflation": b / a if a > 0 else None}
         return pd.DataFrame([row])

@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .skill import r_squared
 
 
@@ -25,7 +26,7 @@ def forest_fit(train: DataFrame, features: Sequence[str], target: str, trees: in
 
 def block_comparison(df: DataFrame, base: Sequence[str], extra: Sequence[str], target: str, is_test: Column, trees: int = 20) -> DataFrame:
     """(block, n, r2): a forest with and without a block of features, on one sample that has them all."""
-    sample = df.dropna(subset=[*base, *extra, target]).withColumn("_test", is_test).persist()
+    sample = written(df.dropna(subset=[*base, *extra, target]).withColumn("_test", is_test), "comparison")
     out = []
     for name, features in (("base", list(base)), ("with_extra", [*base, *extra])):
         model = forest_fit(sample.where("NOT _test"), features, target, trees)

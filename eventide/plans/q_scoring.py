@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import physics as phys
-from ..operators import receptors, scoring
-from .frames import DAILY, ROWS, daily, rows
+from ..operators import forest, receptors, scoring
+from .frames import DAILY, ROWS, cells, daily, rows
 from .q_screens import PATH, paths
 
 
@@ -114,3 +114,30 @@ def receptor_kernels(spark, sf_dir):
     members = receptors.nearest_target(arriving, "y", "x", 0.0, 0.0, 1.0, 31, 31, alt="alt", band=(100, float("inf")))
     out = receptors.receptor_kernels(points, members, ["user_id"], ["wave", "tlat", "tlon"], "step", "h", "y", "x", contact=phys.contact_weight(F.col("alt"), F.col("depth")), sigma=0.3 + 0.01 * F.col("back"), most_lag=48, lag_hours=24, window=6, target=("tlat", "tlon"))
     return out.select("wave", "tlat", "tlon", "lag", "ilat", "ilon", F.round("mass", 6).alias("mass"), "n_parcels")
+
+
+STUMP_EDGES = [[float(e) for e in range(10, 100, 10)], [float(e) for e in range(1, 10)]]
+CUTS = "SELECT UNNEST(range(10, 100, 10)) AS e, 0 AS f UNION ALL SELECT UNNEST(range(1, 10)), 1"
+
+
+@query("ml_multi_stump", f"""WITH {ROWS}, s AS (SELECT event_id, predictor AS p, CAST(lat AS DOUBLE) AS l, target AS y, CAST(slot AS DOUBLE) AS z FROM rows WHERE predictor IS NOT NULL AND target IS NOT NULL),
+t AS (SELECT count(*) AS n, sum(y) AS sy, sum(z) AS sz FROM s), c AS ({CUTS}),
+g AS (SELECT f, e, count(*) AS ln, sum(y) AS ly, sum(z) AS lz FROM c JOIN s ON CASE WHEN f = 0 THEN p ELSE l END <= e GROUP BY f, e),
+b AS (SELECT f, e, (ly * ly + lz * lz) / ln + ((sy - ly) * (sy - ly) + (sz - lz) * (sz - lz)) / (n - ln) AS gain, ly / ln AS ay, lz / ln AS az, (sy - ly) / (n - ln) AS by_, (sz - lz) / (n - ln) AS bz FROM g, t WHERE ln >= 5 AND n - ln >= 5 ORDER BY gain DESC LIMIT 1)
+SELECT event_id, round(CASE WHEN CASE WHEN f = 0 THEN p ELSE l END <= e THEN ay ELSE by_ END, 6) AS y_hat, round(CASE WHEN CASE WHEN f = 0 THEN p ELSE l END <= e THEN az ELSE bz END, 6) AS z_hat FROM s, b""")
+def multi_stump(spark, sf_dir):
+    """A tree of one split with two targets: the split is the one that serves both best."""
+    df = rows(spark, sf_dir).select("event_id", "predictor", F.col("lat").cast("double").alias("lat"), "target", F.col("slot").cast("double").alias("slot")).where("predictor IS NOT NULL AND target IS NOT NULL")
+    model = forest.fit_forest(df, ["predictor", "lat"], ["target", "slot"], trees=1, depth=1, bootstrap=False, edges=STUMP_EDGES)
+    return forest.predict_forest(df, model, keep=["event_id"]).select("event_id", F.round(F.col("predicted")[0], 6).alias("y_hat"), F.round(F.col("predicted")[1], 6).alias("z_hat"))
+
+
+@query("ml_multi_forest")
+def multi_forest(spark, sf_dir):
+    """R² of held-out days for two targets of each cell and slot: one forest for both, one pooled, and one each."""
+    from functools import reduce
+
+    cell = cells(spark, sf_dir).select("day", "x", F.col("slot").cast("double").alias("slot"), F.col("lat").cast("double").alias("lat"), "y", F.col("n").cast("double").alias("n"))
+    held = F.dayofmonth("day") % 4 == 0
+    parts = [forest.experiment(cell, held, ["x", "slot", "lat"], ["y", "n"], mode, slot="place", trees=5, depth=4, seed=1).withColumn("mode", F.lit(mode)) for mode in ("wide", "pooled", "separate")]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("r2", F.round("r2", 6))

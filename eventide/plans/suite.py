@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.inference import bin_day_matrix, binned_gini, day_weights, fdr, row_replicates
+from ..operators.inference import bin_day_matrix, binned_gini, day_weights, fdr, row_replicates, two_sided
 from ..operators.inversion import crossfit
 from ..operators.rank import equal_count_bins
 from ..operators.screens import all_slots_present
@@ -75,8 +75,7 @@ def estimate(pdf: pd.DataFrame, cfg: RunConfig) -> dict:
     boot = (b if cfg.inference == "block" else i)[~np.isnan(b if cfg.inference == "block" else i)]
     if np.isnan(g) or len(boot) < 2:
         return out | dict.fromkeys(("gini", "ci_lo", "ci_hi", "p", "se_naive", "se_block", "inflation"))
-    around = boot - boot.mean()
-    p = min(1.0, max(2 * min((around >= g).mean(), (around <= g).mean()), 1 / (len(boot) + 1)))
+    p = two_sided(boot, g)
     lo, hi = np.quantile(boot, [0.025, 0.975])
     naive, block = (np.nanstd(x, ddof=1) for x in (i, b))
     return out | {"gini": float(g), "ci_lo": lo, "ci_hi": hi, "p": p, "se_naive": naive, "se_block": block, "inflation": block / naive if naive > 0 else None}
