@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.physics import cycle_day
-from ..operators import aggregates, grid, pooling
+from ..operators import aggregates, grid, krige_blocks, pooling
 from ..sources.point_scan import lay_out, point_profile
 from ..sources.scratch import fresh_path
 from ..sources.tables import newest
@@ -113,3 +113,11 @@ def permutation_costs(spark, sf_dir):
     run = F.concat(F.lit("m"), F.expr("slot div 2").cast("string"), F.lit("_fold"), (F.col("slot") % 2).cast("string"), F.when(F.col("user_id") % 2 == 0, "_a").otherwise("_b"))
     df = rows(spark, sf_dir).select(run.alias("run"), F.when((F.col("slot") % 2 == 0) & (F.col("event_id") % 3 == 0), "mean").otherwise("raw").alias("stat"), (F.col("lat") % 4).alias("dilation"), F.when(F.col("lon") % 3 == 0, "none").otherwise(F.concat(F.lit("f"), (F.col("lon") % 3).cast("string"))).alias("front"), F.col("event_type").alias("channel"), F.col("predictor").alias("cost"))
     return pooling.permutation_costs(df, "run", "view", "none", "cost").withColumn("cost", F.round("cost", 6))
+
+
+@query("gap_krige_blocks")
+def krige_in_blocks(spark, sf_dir):
+    """The mean field of all days with every seventh diagonal hidden, kriged in tiles; the tests hold it to the dense system."""
+    field = daily(spark, sf_dir).groupBy("lat", "lon").agg(F.avg("v").alias("truth")).withColumn("v", F.when((F.col("lat") + F.col("lon")) % 7 != 0, F.col("truth")))
+    out = krige_blocks.fill_large(field, "lat", "lon", "v", tile=40)
+    return out.select("lat", "lon", F.round("truth", 6).alias("truth"), F.round("filled", 5).alias("filled"))
