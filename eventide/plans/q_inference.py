@@ -82,7 +82,14 @@ def permutation(spark, sf_dir):
 HARMONIC = "2 * pi() / 365.25 * dayofyear(day)"
 
 
-@query("clm_harmonic_anomaly")
+#: Least squares in 1, cos and sin of the year for each cell of at least nine days, by the determinants of the normal equations.
+HARMONIC = DAILY + """, h AS (SELECT *, cos(2 * pi() / 365.25 * dayofyear(day)) AS c, sin(2 * pi() / 365.25 * dayofyear(day)) AS s FROM daily),
+n AS (SELECT lat, lon, count(v) AS n, sum(c) AS c, sum(s) AS s, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, sum(v) AS v, sum(c * v) AS cv, sum(s * v) AS sv FROM h WHERE v IS NOT NULL GROUP BY ALL),
+d AS (SELECT *, n * (cc * ss - cs * cs) - c * (c * ss - cs * s) + s * (c * cs - cc * s) AS det FROM n WHERE n >= 9),
+f AS (SELECT lat, lon, (v * (cc * ss - cs * cs) - c * (cv * ss - cs * sv) + s * (cv * cs - cc * sv)) / det AS b0, (n * (cv * ss - cs * sv) - v * (c * ss - cs * s) + s * (c * sv - cv * s)) / det AS b1, (n * (cc * sv - cv * cs) - c * (c * sv - cv * s) + v * (c * cs - cc * s)) / det AS b2 FROM d)"""
+
+
+@query("clm_harmonic_anomaly", f"WITH {HARMONIC} SELECT day, h.lat, h.lon, round(v - (b0 + b1 * c + b2 * s), 5) AS anomaly FROM h LEFT JOIN f ON f.lat = h.lat AND f.lon = h.lon")
 def harmonic_anomaly(spark, sf_dir):
     d = daily(spark, sf_dir)
     fit = clim.harmonic_fit(d, ["lat", "lon"], "v", "lat int, lon int", n=1)

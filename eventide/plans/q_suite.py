@@ -97,7 +97,15 @@ def forest_classify(spark, sf_dir):
     return ml.forest_classify(df, ["x", "c"], weak, 10).select("day", "slot", "lat", "lon", F.round("probability", 4).alias("probability"), "convective")
 
 
-@query("ver_isotonic")
+#: Monotone fit as the largest over starts of the least over ends of the mean rate between them; linear between fitted places.
+ISOTONIC = ROWS + """, r AS (SELECT event_id, control / 100 AS p, CAST(target > 2500 AS INT) AS flag FROM rows), g AS (SELECT p, sum(flag) AS s, count(*) AS n FROM r WHERE event_id % 2 = 0 AND p IS NOT NULL AND flag IS NOT NULL GROUP BY p),
+c AS (SELECT p, row_number() OVER w AS i, sum(s) OVER w AS s1, sum(n) OVER w AS n1, sum(s) OVER w - s AS s0, sum(n) OVER w - n AS n0 FROM g WINDOW w AS (ORDER BY p)),
+m AS (SELECT i.i, a.i AS a, min((b.s1 - a.s0) / (b.n1 - a.n0)) AS m FROM c i JOIN c a ON a.i <= i.i JOIN c b ON b.i >= i.i GROUP BY i.i, a.i), v AS (SELECT c.p, max(m) AS v FROM m JOIN c USING (i) GROUP BY c.p),
+q AS (SELECT DISTINCT p FROM r WHERE event_id % 2 = 1), e AS (SELECT q.p, max(v.p) FILTER (WHERE v.p <= q.p) AS lo, min(v.p) FILTER (WHERE v.p >= q.p) AS hi FROM q, v GROUP BY q.p),
+f AS (SELECT e.p, CASE WHEN lo IS NULL THEN h.v WHEN hi IS NULL OR hi = lo THEN l.v ELSE l.v + (h.v - l.v) * (e.p - lo) / (hi - lo) END AS calibrated FROM e LEFT JOIN v l ON l.p = lo LEFT JOIN v h ON h.p = hi)"""
+
+
+@query("ver_isotonic", f"WITH {ISOTONIC} SELECT event_id, round(calibrated, 6) AS calibrated FROM r JOIN f USING (p) WHERE event_id % 2 = 1")
 def isotonic(spark, sf_dir):
     df = rows(spark, sf_dir).select("event_id", (F.col("control") / 100).alias("p"), (F.col("target") > 2500).alias("flag"))
     return ml.isotonic(df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1"), "p", "flag").select("event_id", F.round("calibrated", 6).alias("calibrated"))
