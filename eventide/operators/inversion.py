@@ -63,6 +63,30 @@ def binned_rates(train: DataFrame, score: DataFrame, x: str, flag: str, bins: in
     return score.withColumn("index", F.when(v.isNull(), None).when(v <= c[0], r[0]).otherwise(index))
 
 
+def binned_rates_of_folds(cut: DataFrame, x: str, flag: str, bins: int = 20) -> DataFrame:
+    """Adds ``index`` to rows with a ``fold``: :func:`binned_rates` of the other folds, all folds fitted at once.
+
+    A training row counts once for each fold that is not its own; edges, medians and rates are keyed by the fold that they serve.
+    """
+    known = cut.where(F.col(x).isNotNull() & F.col(flag).isNotNull())
+    folds = cut.select("fold").distinct().agg(F.collect_set("fold").alias("_all"))  # a few numbers
+    train = known.crossJoin(F.broadcast(folds)).select(F.col(x).cast("double").alias("_x"), F.col(flag).cast("int").alias("_y"), F.explode(F.filter("_all", lambda k: k != F.col("fold"))).alias("_k"))
+    train = written(train, "folds-train")
+    found = percentiles(train, "_x", [i / bins for i in range(bins + 1)], ["_k"], "_e")
+    edges = found.select("_k", F.array_sort(F.array_distinct("_e")).alias("_e"))
+    inner = F.when(F.size("_e") > 2, F.expr("slice(_e, 2, size(_e) - 2)")).otherwise(F.array().cast("array<double>"))
+    edges = edges.select("_k", inner.alias("_e"))
+    binned = train.join(F.broadcast(edges), "_k").withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("_x")))).drop("_e")
+    medians = percentiles(binned, "_x", [0.5], ["_k", "_b"], "_c")
+    rates = binned.groupBy("_k", "_b").agg(F.avg("_y").alias("r")).join(medians, ["_k", "_b"])
+    curve = rates.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct(F.col("_c")[0].alias("c"), "r"))).alias("_curve"))  # one point a bin
+    scored = cut.where(F.col(x).isNotNull()).join(F.broadcast(written(curve, "fold-curves")), F.col("fold") == F.col("_k"), "left")
+    v, below = F.col(x).cast("double"), F.size(F.filter("_curve", lambda p: p["c"] < F.col(x)))
+    scored = scored.withColumns({"_low": F.get("_curve", below - 1), "_high": F.get("_curve", below)})
+    between = F.col("_low.r") + (F.col("_high.r") - F.col("_low.r")) * (v - F.col("_low.c")) / (F.col("_high.c") - F.col("_low.c"))
+    return scored.withColumn("index", F.when(F.col("_low").isNull(), F.col("_high.r")).when(F.col("_high").isNull(), F.col("_low.r")).otherwise(between)).drop("_k", "_curve", "_low", "_high")
+
+
 METHODS: dict[str, Callable] = {"quadratic": quadratic_logistic, "binned": binned_rates}
 
 
@@ -71,6 +95,8 @@ def crossfit(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
     cut = written(contiguous_folds(df, day, folds), "folds")
+    if method == "binned":
+        return binned_rates_of_folds(cut, x, flag)
     known = F.col(x).isNotNull() & F.col(flag).isNotNull()
     parts = []
     for k in range(folds):

@@ -22,7 +22,7 @@ RANGES = 64
 ACCURACY = 20_000
 #: Even cuts of a part in later passes of a selection.
 EVEN = 256
-#: Equal values up to this number are put in order by one task each, more by running totals; so many values fit into one buffer.
+#: Equal values up to this number are put in order by one task each, more by running totals; and so many values of one key.
 SORTED = 200_000
 
 
@@ -72,16 +72,26 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
 def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), out: str = "q", most: int = SORTED) -> DataFrame:
     """(keys, out): the exact, linearly interpolated quantiles as one array, without a buffer of all values.
 
-    Where no key has more than ``most`` values, each key's fit into one buffer.  Otherwise the two order statistics around each quantile
+    Where no key has more than ``most`` values, each key's are sorted by one task.  Otherwise the two order statistics around each quantile
     are found by distributed selection (:func:`selected`).  Nulls do not count, null keys are keys; keys without values are left
     out, and without keys there is always a row, with null for quantiles of nothing.
     """
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     fractions = [float(f) for f in fractions]
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
-        return v.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, fractions))).alias("_q")).select(*keys, F.transform(F.array(*map(F.lit, range(len(fractions)))), lambda i: F.get("_q", i)).alias(out))
     at = lambda f: (F.col("_n") - 1) * F.lit(f)
+
+    def mixed(f, low, high):
+        part = at(f) - F.floor(at(f))
+        return F.when(part == 0, low).otherwise(low + part * (high - low))
+
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        order, whole = Window.partitionBy(*keys).orderBy("_v"), Window.partitionBy(*keys)  # at most so many values
+        groups = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")).withColumns({"_upto": F.sum("_m").over(order), "_n": F.sum("_m").over(whole)})
+        value = lambda rank: F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_m")), F.col("_v")))
+        ends = [x for i, f in enumerate(fractions) for x in (value(F.floor(at(f))).alias(f"_l{i}"), value(F.ceil(at(f))).alias(f"_h{i}"))]
+        found = groups.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+        return found.select(*keys, F.array(*[mixed(f, F.col(f"_l{i}"), F.col(f"_h{i}")) for i, f in enumerate(fractions)]).alias(out))
     asked = sizes.select(*keys, F.explode(F.array(*[x for f in fractions for x in (F.floor(at(f)), F.ceil(at(f)))])).alias("_rank")).distinct()
     wide = 3 / ACCURACY  # three times the error of the approximate quantiles
     near = sorted({x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))})
@@ -89,12 +99,8 @@ def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seq
     ranked = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     both = ranked.join(sizes, same_keys(ranked, sizes, keys)).select(*[ranked[k] for k in keys], "_at", "_n") if keys else ranked.crossJoin(F.broadcast(sizes))
 
-    def mixed(f):
-        low, high = F.element_at("_at", F.floor(at(f))), F.element_at("_at", F.ceil(at(f)))
-        part = at(f) - F.floor(at(f))
-        return F.when(part == 0, low).otherwise(low + part * (high - low))
-
-    return both.select(*keys, F.array(*map(mixed, fractions)).alias(out))
+    ends = lambda f: (F.element_at("_at", F.floor(at(f))), F.element_at("_at", F.ceil(at(f))))
+    return both.select(*keys, F.array(*[mixed(f, *ends(f)) for f in fractions]).alias(out))
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:

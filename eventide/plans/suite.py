@@ -28,9 +28,10 @@ ROW = "id string, scope string, n long, n_events long, gini double, ci_lo double
 def stacked(df: DataFrame, tests: Sequence[Hypothesis], strata: Mapping[str, Column], cfg: RunConfig, key: str, day: str) -> DataFrame:
     """(id, scope, expected, control_bin, x, flag, day, key) of all tests; control bins are equal-count over the whole sample."""
     controls = sorted({c for h in tests if cfg.run_controls for c in h.controls})
-    for c in controls:
-        binned = equal_count_bins(df.where(F.col(c).isNotNull()), [], c, key, cfg.control_bins, f"_bin_{c}").select(key, f"_bin_{c}")
-        df = df.join(written(binned, "control-bins"), key, "left")
+    if controls:  # all in one ranking; a row has a number for each control
+        long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in controls])).alias("c")).select(key, "c.*")
+        binned = equal_count_bins(long, ["name"], "value", key, cfg.control_bins, "bin").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "bin"))).alias("_bins"))
+        df = df.join(written(binned, "control-bins"), key, "left").withColumns({f"_bin_{c}": F.col("_bins")[c] for c in controls}).drop("_bins")
     parts = []
     for h in tests:
         x, flag = F.col(h.predictor).cast("double"), F.col(h.flag)
