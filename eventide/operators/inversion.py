@@ -75,7 +75,7 @@ def binned_rates_of_folds(cut: DataFrame, x: str, flag: str, bins: int = 20) ->
     found = percentiles(train, "_x", [i / bins for i in range(bins + 1)], ["_k"], "_e")
     edges = found.select("_k", F.array_sort(F.array_distinct("_e")).alias("_e"))
     inner = F.when(F.size("_e") > 2, F.expr("slice(_e, 2, size(_e) - 2)")).otherwise(F.array().cast("array<double>"))
-    edges = edges.select("_k", inner.alias("_e"))
+    edges = written(edges.select("_k", inner.alias("_e")), "fold-edges")
     binned = train.join(F.broadcast(edges), "_k").withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("_x")))).drop("_e")
     medians = percentiles(binned, "_x", [0.5], ["_k", "_b"], "_c")
     rates = binned.groupBy("_k", "_b").agg(F.avg("_y").alias("r")).join(medians, ["_k", "_b"])

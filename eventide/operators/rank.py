@@ -77,30 +77,36 @@ def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seq
     out, and without keys there is always a row, with null for quantiles of nothing.
     """
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = written(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     fractions = [float(f) for f in fractions]
     at = lambda f: (F.col("_n") - 1) * F.lit(f)
 
-    def mixed(f, low, high):
-        part = at(f) - F.floor(at(f))
-        return F.when(part == 0, low).otherwise(low + part * (high - low))
-
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
-        order, whole = Window.partitionBy(*keys).orderBy("_v"), Window.partitionBy(*keys)  # at most so many values
-        groups = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")).withColumns({"_upto": F.sum("_m").over(order), "_n": F.sum("_m").over(whole)})
-        value = lambda rank: F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_m")), F.col("_v")))
-        ends = [x for i, f in enumerate(fractions) for x in (value(F.floor(at(f))).alias(f"_l{i}"), value(F.ceil(at(f))).alias(f"_h{i}"))]
-        found = groups.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
-        return found.select(*keys, F.array(*[mixed(f, F.col(f"_l{i}"), F.col(f"_h{i}")) for i, f in enumerate(fractions)]).alias(out))
     asked = sizes.select(*keys, F.explode(F.array(*[x for f in fractions for x in (F.floor(at(f)), F.ceil(at(f)))])).alias("_rank")).distinct()
-    wide = 3 / ACCURACY  # three times the error of the approximate quantiles
-    near = sorted({x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))})
-    found = selected(v, asked, keys, near, most)
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
+        found = at_ranks(v, asked, keys)
+    else:
+        wide = 3 / ACCURACY  # three times the error of the approximate quantiles
+        near = sorted({x for f in fractions for x in (max(0.0, f - wide), min(1.0, f + wide))})
+        found = selected(v, asked, keys, near, most)
     ranked = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     both = ranked.join(sizes, same_keys(ranked, sizes, keys)).select(*[ranked[k] for k in keys], "_at", "_n") if keys else ranked.crossJoin(F.broadcast(sizes))
 
-    ends = lambda f: (F.element_at("_at", F.floor(at(f))), F.element_at("_at", F.ceil(at(f))))
-    return both.select(*keys, F.array(*[mixed(f, *ends(f)) for f in fractions]).alias(out))
+    def mixed(f):
+        low, high = F.element_at("_at", F.floor(at(f))), F.element_at("_at", F.ceil(at(f)))
+        part = at(f) - F.floor(at(f))
+        return F.when(part == 0, low).otherwise(low + part * (high - low))
+
+    return both.select(*keys, F.array(*map(mixed, fractions)).alias(out))
+
+
+def at_ranks(rows: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _rank, _v): the values at 0-based ranks, where one task can sort the distinct values of a key."""
+    groups = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_v"))
+    # Each rank takes the value of the first group that reaches beyond it: the last one seen from above.
+    both = groups.select(*keys, F.lit(None).cast("long").alias("_rank"), (upto - 0.5).alias("_place"), "_v").unionByName(asked.select(*keys, "_rank", F.col("_rank").cast("double").alias("_place"), F.lit(None).cast("double").alias("_v")))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_v", F.last("_v", True).over(down)).where("_rank IS NOT NULL").select(*keys, "_rank", "_v")
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
