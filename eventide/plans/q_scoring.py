@@ -58,17 +58,17 @@ CENTRES = [5.0, 40.0, 90.0]
 
 
 @query("udf_class_scores", f"""WITH {ROWS}, s AS (SELECT event_id, [-abs(predictor - 5), -abs(predictor - 40), -abs(predictor - 90)] AS s FROM rows)
-SELECT event_id, CAST(list_position(s, list_max(s)) - 1 AS INT) AS class, round(list_max(s), 6) AS best FROM s""")
+SELECT event_id, CAST(list_position(s, list_max(s)) - 1 AS INT) AS class, round(list_max(s), 6) + 0.0 AS best FROM s""")
 def class_scores(spark, sf_dir):
     out = scoring.score(rows(spark, sf_dir), NearestCentre(CENTRES), ["predictor"], "s", width=3, keep=["event_id"])
-    return out.select("event_id", scoring.best_class("s").alias("class"), F.round(F.array_max("s"), 6).alias("best"))
+    return out.select("event_id", scoring.best_class("s").alias("class"), (F.round(F.array_max("s"), 6) + 0.0).alias("best"))
 
 
-@query("udf_tile_score", f"""WITH {DAILY} SELECT d.day, d.lat, d.lon, round(avg(e.v), 6) AS score FROM daily d JOIN daily e ON e.day = d.day AND abs(e.lat - d.lat) <= 2 AND abs(e.lon - d.lon) <= 2 GROUP BY d.day, d.lat, d.lon""")
+@query("udf_tile_score", f"""WITH {DAILY} SELECT d.day, d.lat, d.lon, round(avg(e.v), 9) AS score FROM daily d JOIN daily e ON e.day = d.day AND abs(e.lat - d.lat) <= 2 AND abs(e.lon - d.lon) <= 2 GROUP BY d.day, d.lat, d.lon""")
 def tile_score(spark, sf_dir):
     """Grids of 12 by 12 cells in tiles of 5 with a halo of 2: the same as over the uncut field."""
     out = scoring.score_tiles(daily(spark, sf_dir), BoxMean(2), ["day"], "lat", "lon", ["v"], "score", tile=5, halo=2)
-    return out.select("day", "lat", "lon", F.round("score", 6).alias("score"))
+    return out.select("day", "lat", "lon", F.round("score", 9).alias("score"))
 
 
 #: Arrivals on half degrees, so that many lie on the edges of boxes and midway between cells.
