@@ -34,7 +34,7 @@ from .vector_blocks import blocks_of, floor_divided, usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Rows of a chunk, distinct parts of a leaf, salts of the join on labels.
-CHUNK, LEAF, SALTS = 32_768, 32, 16
+CHUNK, LEAF, SALTS = 32_768, 128, 16
 RESULT = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
 TREE = "chunk long, part int, points binary, places binary, balls binary, ranges binary, sums binary"
 
