@@ -8,7 +8,7 @@ from ..catalog import query
 from ..functions import physics as phys
 from ..operators import aggregates, climatology, grid, inversion, trajectory
 from ..sources import tables
-from ..sources.scratch import fresh_path
+from ..sources.scratch import fresh_path, written
 from . import suite
 from .config import RunConfig
 from .frames import CELLS, DAILY, ROWS, cells, daily, rows
@@ -119,6 +119,37 @@ def stored_curves(spark, sf_dir):
     return suite.load_curves(spark, at, "first").select("id", "bin", "n", *[F.round(c, 6).alias(c) for c in ("median", "rate", "se")])
 
 
+SCORES = {"value": "predictor", "factor": "control", "slot": "slot"}
+TAIL = ROWS + """, t AS (SELECT quantile_cont(target, 0.9) AS p90, quantile_cont(target, 0.99) AS p99 FROM rows), s AS (SELECT u.id, u.x, event_id, target > p90 AS p90, target > p99 AS p99 FROM t, rows, LATERAL (VALUES ('value', CAST(predictor AS DOUBLE)), ('factor', CAST(control AS DOUBLE)), ('slot', CAST(slot AS DOUBLE))) u(id, x) WHERE x IS NOT NULL AND target IS NOT NULL),
+b AS (SELECT id, CAST((row_number() OVER (PARTITION BY id ORDER BY x, event_id) - 1) * 100 // count(*) OVER (PARTITION BY id) AS INT) + 1 AS bin, p90, p99 FROM s),
+r AS (SELECT id, label, bin, count(*) AS n, count(*) FILTER (WHERE flag) AS n_events FROM b, LATERAL (VALUES ('p90', p90), ('p99', p99)) l(label, flag) GROUP BY ALL),
+tail AS (SELECT id, label, bin, n, n_events, sum(n_events / n) OVER (PARTITION BY id, label ORDER BY bin) / nullif(sum(n_events / n) OVER (PARTITION BY id, label), 0) AS cum_freq FROM r)"""
+
+
+@query("bat_tail_curves", f"WITH {TAIL} SELECT id, label, bin, n, n_events, round(cum_freq, 6) AS cum_freq FROM tail")
+def tail_curves(spark, sf_dir):
+    """Tail curves of three scores at two set points, stored for a sample and read back."""
+    found = suite.tail_curves(rows(spark, sf_dir), SCORES, "target", {"p90": 90, "p99": 99}, "event_id", absolute=False)
+    at = fresh_path(spark, "tails")
+    suite.write_tail_curves(found, at, "whole")
+    results = spark.createDataFrame([(i,) for i in SCORES], "id string")
+    return suite.load_tail_curves(results, at, "whole").withColumn("cum_freq", F.round("cum_freq", 6))
+
+
+@query("bat_folders", f"""WITH {TAIL}, w AS (SELECT id, label, bin, printf('%d,%d,%d,%.6f', bin, n, n_events, cum_freq) AS text FROM tail)
+SELECT id, 'tail_' || label || '.csv' AS file, count(*) + 1 AS n_lines, md5(string_agg(text, chr(10) ORDER BY bin)) AS body FROM w GROUP BY id, label""")
+def folders(spark, sf_dir):
+    """The same as one folder per test with a CSV file per set point, read back as text: lines and a digest of the body of each file."""
+    found = suite.tail_curves(rows(spark, sf_dir), SCORES, "target", {"p90": 90, "p99": 99}, "event_id", absolute=False)
+    found = written(found, "tails").withColumn("cum_freq", F.format_string("%.6f", "cum_freq"))
+    at, columns = fresh_path(spark, "folders"), ["bin", "n", "n_events", "cum_freq"]
+    files = [suite.csv_lines(found.where(F.col("label") == p), f"tail_{p}.csv", columns, ["bin"]) for p in ("p90", "p99")]
+    suite.write_folders(files[0].unionByName(files[1]), at)
+    texts = spark.read.schema("value string, id string, file string").text(at, wholetext=True)
+    text = F.regexp_replace("value", "\n$", "")
+    return texts.select("id", "file", F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.md5(F.regexp_replace(text, "^[^\n]*\n", "")).alias("body"))
+
+
 @query("bat_presets", f"""WITH {CELLS}, p AS (SELECT day, lat, lon, slot, CASE WHEN x > 20 THEN x END AS a, CASE WHEN lat <> 3 THEN y END AS b, CASE WHEN slot < 5 OR lon < 6 THEN n END AS c FROM cells), k AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
 SELECT 'all' AS preset, count(*) AS n FROM k UNION ALL SELECT 'complete', count(*) FROM (SELECT * FROM k QUALIFY count(slot) OVER (PARTITION BY day, lat, lon) = 6) UNION ALL SELECT 'first_last', count(*) FROM p WHERE a IS NOT NULL AND c IS NOT NULL""")
 def presets(spark, sf_dir):

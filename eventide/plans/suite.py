@@ -8,15 +8,17 @@ every test, and the bootstraps run one test per task call.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.inference import bin_day_matrix, binned_gini, day_weights, fdr, row_replicates, two_sided
 from ..operators.inversion import crossfit
-from ..operators.rank import equal_count_bins
+from ..operators.rank import equal_count_bins, percentiles
 from ..operators.screens import all_slots_present
 from ..operators.skill import event_rate_curve
 from ..sources.scratch import written
@@ -116,11 +118,17 @@ def factor_deltas(results: DataFrame, factors: Sequence[str], factor: str, base,
     return a.join(b, rest).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_b") - F.col("_a")).alias("mean_delta"))
 
 
+def formatted(form: str, columns: Sequence[str], otherwise: str) -> Column:
+    """The columns as text, or ``otherwise`` where one of them is null."""
+    known = [F.col(c).isNotNull() for c in columns]
+    return F.when(reduce(and_, known), F.format_string(form, *columns)).otherwise(F.lit(otherwise))
+
+
 def report_lines(results: DataFrame) -> DataFrame:
     """(id, line): one Markdown table row per overall verdict, in order of id."""
     v = verdict(results.where("scope = 'overall'"))
-    ci = F.format_string("%+.3f [%+.3f, %+.3f]", "gini", "ci_lo", "ci_hi")
-    return v.select("id", F.concat_ws(" | ", F.lit("").cast("string"), F.col("id"), F.coalesce(ci, F.lit("-")), F.coalesce(F.format_string("%.3g", "p"), F.lit("-")), "verdict", F.lit("")).alias("line"))
+    ci = formatted("%+.3f [%+.3f, %+.3f]", ["gini", "ci_lo", "ci_hi"], "-")
+    return v.select("id", F.concat_ws(" | ", F.lit("").cast("string"), F.col("id"), ci, formatted("%.3g", ["p"], "-"), "verdict", F.lit("")).alias("line"))
 
 
 STRATIFIERS: dict[str, Callable[[], Column]] = {"slot_phase": lambda: F.when(F.col("slot") >= 3, "late").otherwise("early"), "event_type": lambda: F.col("event_type")}
@@ -143,6 +151,79 @@ def load_curves(spark: SparkSession, path: str, run: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("run") == run).drop("run").select("id", "bin", "n", "median", "rate", "se")
 
 
+def tail_curves(df: DataFrame, scores: Mapping[str, str], target: str, levels: Mapping[str, float], key: str, absolute: bool = True, bins: int = 100) -> DataFrame:
+    """(id, label, bin, n, n_events, cum_freq): how event rates accumulate over equal-count bins of each score, 1 the lowest.
+
+    ``scores`` names one column per id.  Events are rows whose target exceeds a level, which is a value or, where ``absolute`` is false, a
+    percentile of the target over all rows that have one.  One ranking serves all levels of a score.  Bins without rows repeat the one before;
+    without events ``cum_freq`` is null; rows without score or target take no part.
+    """
+    known = df.where(F.col(target).isNotNull())
+    limits = {label: F.lit(float(at)) for label, at in levels.items()}
+    if not absolute:  # one row, however long the table
+        known = known.crossJoin(F.broadcast(percentiles(known, target, [at / 100 for at in levels.values()], out="_limits")))
+        limits = {label: F.col("_limits")[i] for i, label in enumerate(levels)}
+    events = F.array(*[F.col(target) > limit for limit in limits.values()]).alias("events")
+    parts = F.array(*[F.struct(F.lit(name).alias("id"), F.col(c).cast("double").alias("x")) for name, c in scores.items()])
+    long = known.select(key, events, F.explode(parts).alias("t")).select(key, "events", "t.*")
+    counts = [F.count_if(F.col("events")[i]).alias(f"e{i}") for i in range(len(levels))]
+    per_bin = equal_count_bins(long, ["id"], "x", key, bins).groupBy("id", "bin").agg(F.count(F.lit(1)).alias("n"), *counts)
+    labels = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"e{i}").alias("n_events")) for i, label in enumerate(levels)])
+    found = per_bin.select("id", (F.col("bin") + 1).alias("bin"), "n", F.explode(labels).alias("l")).select("id", "l.label", "bin", "n", "l.n_events")
+    places = found.select("id", "label").distinct().select("id", "label", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    full = places.join(found, ["id", "label", "bin"], "left").fillna(0, ["n", "n_events"])
+    of = Window.partitionBy("id", "label")
+    rate = F.coalesce(F.try_divide(F.col("n_events"), F.col("n")), F.lit(0.0))
+    upto = F.sum(rate).over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    return full.select("id", "label", "bin", "n", "n_events", F.try_divide(upto, F.sum(rate).over(of)).alias("cum_freq"))
+
+
+TAILS = "id string, label string, bin int, n long, n_events long, cum_freq double, sample string"
+
+
+def write_tail_curves(found: DataFrame, path: str, sample: str) -> None:
+    """Curves as one table by sample, id and label; those of the same three are replaced, others stay."""
+    placed = found.withColumn("sample", F.lit(sample)).repartition("id", "label")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample", "id", "label").parquet(path)
+
+
+def load_tail_curves(results: DataFrame, path: str, sample: str) -> DataFrame:
+    """Stored curves of a sample, of ids in ``results`` alone: those of another sample, or left by dropped tests, are not seen."""
+    stored = results.sparkSession.read.schema(TAILS).parquet(path).where(F.col("sample") == sample).drop("sample")
+    return stored.join(results.select("id").distinct(), "id", "left_semi").select("id", "label", "bin", "n", "n_events", "cum_freq")
+
+
+def csv_lines(df: DataFrame, file: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(id, file, line, text): a table as CSV lines per id, line 0 the header; ``order`` may not tie within an id."""
+    body = df.select("id", F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("line"), F.to_csv(F.struct(*columns)).alias("text"))
+    head = df.select("id").distinct().select("id", F.lit(0).alias("line"), F.lit(",".join(columns)).alias("text"))
+    return head.unionByName(body).select("id", F.lit(file).alias("file"), "line", "text")
+
+
+def write_folders(lines: DataFrame, path: str) -> None:
+    """One folder per id with one text file per ``file`` (as Hive-style folders ``id=.../file=...``), lines in order.
+
+    ``lines`` is any union of :func:`csv_lines` and (id, file, line, text) of other texts.  Folders of ids that have lines are rebuilt.
+    """
+    keys = ["id", "file"]
+    ordered = lines.select(*keys, "line", "text").repartition(*keys).sortWithinPartitions(*keys, "line")
+    ordered.select(*keys, "text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
+
+
+def topline(results: DataFrame, titles: Mapping[str, str]) -> DataFrame:
+    """(id, file, line, text): a short Markdown page per id with its title, overall Gini, interval, errors and verdict."""
+    named = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[F.col("id")]
+    texts = [
+        F.concat_ws(" ", F.lit("#"), "id", F.concat(F.lit("- "), named)),
+        F.lit(""),
+        F.concat(F.lit("- expected: "), F.coalesce("expected", F.lit("nothing")), F.lit(", found: "), "verdict"),
+        F.concat(F.lit("- rows: "), F.col("n").cast("string"), F.lit(", events: "), F.col("n_events").cast("string")),
+        F.concat(F.lit("- gini: "), formatted("%+.4f [%+.4f, %+.4f]", ["gini", "ci_lo", "ci_hi"], "no estimate")),
+        F.concat(F.lit("- standard error: "), formatted("%.5f in blocks of days, %.5f of single rows", ["se_block", "se_naive"], "no estimate")),
+    ]
+    return verdict(results.where("scope = 'overall'")).select("id", F.lit("topline.md").alias("file"), F.posexplode(F.array(*texts)).alias("line", "text"))
+
+
 def admitted(df: DataFrame, cfg: RunConfig, cell_day: Sequence[str], slots: int) -> DataFrame:
     """The sample of a configuration: rows on which all its products are known and, if asked for, only days with every slot."""
     known = df.dropna(subset=list(cfg.valid)) if cfg.valid else df
