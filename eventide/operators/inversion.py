@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,8 +64,8 @@ def binned_rates(train: DataFrame, score: DataFrame, x: str, flag: str, bins: in
     return score.withColumn("index", F.when(v.isNull(), None).when(v <= c[0], r[0]).otherwise(index))
 
 
-def binned_rates_of_folds(cut: DataFrame, x: str, flag: str, bins: int = 20) -> DataFrame:
-    """Adds ``index`` to rows with a ``fold``: :func:`binned_rates` of the other folds, all folds fitted at once.
+def fold_curves(cut: DataFrame, x: str, flag: str, bins: int = 20) -> DataFrame:
+    """(_k, _curve): for every fold the curve of :func:`binned_rates` that the rows of the other folds give, all fitted at once.
 
     A training row counts once for each fold that is not its own; edges, medians and rates are keyed by the fold that they serve.
     """
@@ -80,7 +81,12 @@ def binned_rates_of_folds(cut: DataFrame, x: str, flag: str, bins: int = 20) ->
     medians = percentiles(binned, "_x", [0.5], ["_k", "_b"], "_c")
     rates = binned.groupBy("_k", "_b").agg(F.avg("_y").alias("r")).join(medians, ["_k", "_b"])
     curve = rates.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct(F.col("_c")[0].alias("c"), "r"))).alias("_curve"))  # one point a bin
-    scored = cut.where(F.col(x).isNotNull()).join(F.broadcast(written(curve, "fold-curves")), F.col("fold") == F.col("_k"), "left")
+    return written(curve, "fold-curves")
+
+
+def along_curves(df: DataFrame, curves: DataFrame, x: str) -> DataFrame:
+    """Adds ``index`` to rows with a ``fold``: their fold's curve at x, linear between its points, constant beyond; rows without x go."""
+    scored = df.where(F.col(x).isNotNull()).join(F.broadcast(curves), F.col("fold") == F.col("_k"), "left")
     v, below = F.col(x).cast("double"), F.size(F.filter("_curve", lambda p: p["c"] < F.col(x)))
     scored = scored.withColumns({"_low": F.get("_curve", below - 1), "_high": F.get("_curve", below)})
     between = F.col("_low.r") + (F.col("_high.r") - F.col("_low.r")) * (v - F.col("_low.c")) / (F.col("_high.c") - F.col("_low.c"))
@@ -96,16 +102,13 @@ def crossfit(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int
         raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
     cut = written(contiguous_folds(df, day, folds), "folds")
     if method == "binned":
-        return binned_rates_of_folds(cut, x, flag)
+        return along_curves(cut, fold_curves(cut, x, flag), x)
     known = F.col(x).isNotNull() & F.col(flag).isNotNull()
     parts = []
     for k in range(folds):
         train, score = cut.where(known & (F.col("fold") != k)), cut.where(F.col(x).isNotNull() & (F.col("fold") == k))
         parts.append(METHODS[method](train, score, x, flag).withColumn("index", F.col("index").cast("double")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_stability(df: DataFrame, x: str, flag: str, day: str, method: str, folds: int = 5, points: int = 101) -> DataFrame:
@@ -119,10 +122,12 @@ def fold_stability(df: DataFrame, x: str, flag: str, day: str, method: str, fold
     at = [0.005 + 0.99 * i / (points - 1) for i in range(points)]
     grid = percentiles(known, x, at).select(F.posexplode("q").alias("place", x)).where(F.col(x).isNotNull())
     grid = written(grid, "grid")
-    curves = None
-    for k in range(folds):
-        own = METHODS[method](known.where(F.col("fold") != k), grid, x, flag).select("place", F.lit(k).alias("fold"), F.col("index").cast("double").alias("index"))
-        curves = own if curves is None else curves.unionByName(own)
+    if method == "binned":
+        every = grid.crossJoin(F.broadcast(known.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))))  # the grid once a fold
+        curves = along_curves(every, fold_curves(known, x, flag), x).select("place", "fold", "index")
+    else:
+        parts = [METHODS[method](known.where(F.col("fold") != k), grid, x, flag).select("place", F.lit(k).alias("fold"), F.col("index").cast("double").alias("index")) for k in range(folds)]
+        curves = reduce(DataFrame.unionByName, parts)
     by_fold = Window.partitionBy("fold")
     ranked = written(curves, "curves").withColumn("r", F.rank().over(by_fold.orderBy("index")) + (F.count(F.lit(1)).over(Window.partitionBy("fold", "index")) - 1) / 2)
     a, b = ranked.select("place", F.col("fold").alias("f"), F.col("r").alias("a")), ranked.select("place", F.col("fold").alias("g"), F.col("r").alias("b"))

@@ -79,9 +79,10 @@ def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seq
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     sizes = written(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     fractions = [float(f) for f in fractions]
-    at = lambda f: (F.col("_n") - 1) * F.lit(f)
+    at = lambda f: (F.col("_n") - 1) * f
+    wanted = F.array(*map(F.lit, fractions))  # one constant: plans do not grow with the number of fractions
 
-    asked = sizes.select(*keys, F.explode(F.array(*[x for f in fractions for x in (F.floor(at(f)), F.ceil(at(f)))])).alias("_rank")).distinct()
+    asked = sizes.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(wanted, lambda f: F.array(F.floor(at(f)), F.ceil(at(f))))))).alias("_rank"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= most:
         found = at_ranks(v, asked, keys)
     else:
@@ -96,7 +97,7 @@ def percentiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Seq
         part = at(f) - F.floor(at(f))
         return F.when(part == 0, low).otherwise(low + part * (high - low))
 
-    return both.select(*keys, F.array(*map(mixed, fractions)).alias(out))
+    return both.select(*keys, F.transform(wanted, mixed).alias(out))
 
 
 def at_ranks(rows: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
