@@ -89,17 +89,21 @@ def thermal_front(df: DataFrame, keys: Sequence[str], value: str, screen: float)
     return t.select(*keys, "lat", "lon", "tfp", F.coalesce(turn & (F.col("magnitude") >= screen), F.lit(False)).alias("front"))
 
 
-def rasterise(points: DataFrame, line: Sequence[str], order: str, x: str, y: str, width: float) -> DataFrame:
+def rasterise(points: DataFrame, line: Sequence[str], order: str, x: str, y: str, width: float, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(line, ilat, ilon): grid points within half a width of a polyline (round caps), sentinels (null points) cut lines.
 
-    Every segment is compared only with the grid points of its own bounding box.
+    Every segment is compared only with the grid points of its own bounding box.  ``box`` is the grid, if it has ends: first and last
+    ilat, first and last ilon; lines run on beyond it, but there is nothing to mark there.
     """
     w = Window.partitionBy(*line).orderBy(order)
     half = width / 2
     s = points.select(*line, F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.lead(x).over(w).alias("_x1"), F.lead(y).over(w).alias("_y1")).where("_x0 IS NOT NULL AND _y0 IS NOT NULL AND _x1 IS NOT NULL AND _y1 IS NOT NULL")
-    i = F.sequence(F.ceil(F.least("_y0", "_y1") - half - 1e-9), F.floor(F.greatest("_y0", "_y1") + half + 1e-9))
-    j = F.sequence(F.ceil(F.least("_x0", "_x1") - half - 1e-9), F.floor(F.greatest("_x0", "_x1") + half + 1e-9))
-    boxed = s.where((F.ceil(F.least("_y0", "_y1") - half - 1e-9) <= F.floor(F.greatest("_y0", "_y1") + half + 1e-9)) & (F.ceil(F.least("_x0", "_x1") - half - 1e-9) <= F.floor(F.greatest("_x0", "_x1") + half + 1e-9)))
+    reach = lambda a, b: (F.ceil(F.least(a, b) - half - 1e-9), F.floor(F.greatest(a, b) + half + 1e-9))
+    (i0, i1), (j0, j1) = reach("_y0", "_y1"), reach("_x0", "_x1")
+    if box:
+        i0, i1, j0, j1 = F.greatest(i0, F.lit(box[0])), F.least(i1, F.lit(box[1])), F.greatest(j0, F.lit(box[2])), F.least(j1, F.lit(box[3]))
+    i, j = F.sequence(i0, i1), F.sequence(j0, j1)
+    boxed = s.where((i0 <= i1) & (j0 <= j1))
     g = boxed.withColumn("ilat", F.explode(i)).withColumn("ilon", F.explode(j))
     dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
     length = dx * dx + dy * dy
