@@ -204,10 +204,7 @@ def append_columns(spark, sf_dir):
 k AS (SELECT conv_id % 96 AS t, arg_max(conv_id, (n, conv_id)) AS conv_id FROM b GROUP BY 1)
 SELECT CASE WHEN c.turn % 2 = 0 THEN 'cold' ELSE 'warm' END AS kind, count(*) * 2 AS n_points FROM k JOIN conversations c USING (conv_id) GROUP BY 1""")
 def bulletin_points(spark, sf_dir):
-    """Bulletins written from the conversations table, parsed back: the most complete one per valid time.
-
-    Ties of completeness go by hash there and by id in the SQL; both have the same number of points of each kind.
-    """
+    """Bulletins written from the conversations table, parsed back: the most complete one per valid time, of equally complete ones the last conversation."""
     c = load(spark, sf_dir, "conversations")
 
     def digits(e: str, n: int):
@@ -216,8 +213,8 @@ def bulletin_points(spark, sf_dir):
     line = F.concat(F.when(F.col("turn") % 2 == 0, "COLD WK ").otherwise("WARM "), digits("10 + (conv_id * 7 + turn * 3) % 70", 2), digits("(conv_id * 13 + turn * 11) % 180", 3), F.lit(" "), digits("10 + (conv_id * 5 + turn) % 70", 2), digits("(conv_id * 17 + turn) % 180", 3))
     stamp = F.concat(F.lit("01"), F.lpad((F.expr("(conv_id % 96) div 8") + 1).cast("string"), 2, "0"), F.lpad((F.expr("conv_id % 8") * 3).cast("string"), 2, "0"))
     b = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), " ").alias("body"))
-    text = b.select(F.concat(F.lit("CODSUS\nVALID "), stamp, F.lit("Z "), F.col("body"), F.lit(" $")).alias("text"))
-    points = bulletins.points_of(text, "text", F.lit(2016))
+    text = b.select("conv_id", F.concat(F.lit("CODSUS\nVALID "), stamp, F.lit("Z "), F.col("body"), F.lit(" $")).alias("text"))
+    points = bulletins.points_of(text, "text", F.lit(2016), "conv_id")
     return points.groupBy("kind").agg(F.count(F.lit(1)).alias("n_points"))
 
 

@@ -15,14 +15,17 @@ def read_bulletins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\x01").text(path).select(F.col("value").alias("text"))
 
 
-def points_of(bulletins: DataFrame, text: str, year: Column) -> DataFrame:
+def points_of(bulletins: DataFrame, text: str, year: Column, tie: str | None = None) -> DataFrame:
     """(valid, kind, line_id, seq, lat, lon): the most complete bulletin per valid time, its lines point by point.
 
+    ``tie`` is a column that tells all bulletins apart; of equally complete ones that with the largest counts.  Without it bulletins are told
+    apart by a digest of their text, and repeats of a text are one bulletin.
     Points are 4 or 5 digits, latitude then longitude west.  A section ends at anything that is no point, keyword or
     strength.  Bulletins with six-digit points are another product and go.
     """
     head = F.regexp_extract(text, r"(?m)^VALID\s+(\d{6})Z", 1)
-    b = bulletins.where(head != "").select(F.xxhash64(text).alias("bulletin"), head.alias("stamp"), year.alias("year"), F.split(F.trim(F.regexp_extract(text, r"(?s)VALID\s+\d{6}Z(.*)", 1)), r"\s+").alias("tokens"))
+    bulletins = bulletins if tie else bulletins.dropDuplicates([text])
+    b = bulletins.where(head != "").select((F.col(tie) if tie else F.sha2(text, 256)).alias("bulletin"), head.alias("stamp"), year.alias("year"), F.split(F.trim(F.regexp_extract(text, r"(?s)VALID\s+\d{6}Z(.*)", 1)), r"\s+").alias("tokens"))
     b = b.where(~F.exists("tokens", lambda t: t.rlike(r"^\d{6,}$")))
     stamp = F.to_timestamp(F.concat(F.col("year").cast("string"), F.col("stamp")), "yyyyMMddHH")
     t = b.select("bulletin", stamp.alias("valid"), F.posexplode("tokens").alias("pos", "token")).where(~F.col("token").isin(*STRENGTHS))
