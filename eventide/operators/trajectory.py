@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .rank import SORTED, running_totals, value_groups
 from .segments import neighbours, segmented, totals
 from .windows import path_length, residence_hours
@@ -71,7 +72,8 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
 
 def containment(members: DataFrame, group: Sequence[str], x: str, y: str, share: float = 0.9, fewest: int = 20) -> DataFrame:
     """(group, cx, cy, radius): the circle around the mean position that holds a share of the members; groups below ``fewest`` stay open (null radius)."""
-    centre = members.groupBy(*group).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count(F.lit(1)).alias("_n"))
+    # Written: a mean computed anew adds in another order, and the last digits of the distances would differ between the steps of the ranking.
+    centre = written(members.groupBy(*group).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count(F.lit(1)).alias("_n")), "centres")
     d = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
     away = members.join(centre, list(group)).select(*group, d.alias("_d"))
     ranks = running_totals(value_groups(away, group, "_d", {"_m": F.count(F.lit(1))}), group, "_d", ["_m"])
