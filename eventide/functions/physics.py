@@ -121,12 +121,16 @@ def nearest_branch(lon: Column, to: Column) -> Column:
     return to + F.pmod(lon - to + 180, F.lit(360.0)) - 180
 
 
-def _share(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b)
+def _share(a: Column, b: Column, ieee: bool = False) -> Column:
+    share = F.when(b > 0, a / b)
+    return share.when(a > 0, float("inf")).when(b == 0, float("nan")) if ieee else share
 
 
-def contingency_scores(pred_hit: Column, pred_miss: Column, truth_hit: Column, truth_miss: Column) -> dict[str, Column]:
-    """Detection, false alarms, critical success and bias of symmetric neighbourhood counts."""
-    pod, far = _share(truth_hit, truth_hit + truth_miss), _share(pred_miss, pred_hit + pred_miss)
-    csi = F.when((pod > 0) & (far < 1), 1 / (1 / pod + 1 / (1 - far) - 1)).when(pod.isNotNull() & far.isNotNull(), 0.0)
-    return {"pod": pod, "far": far, "csi": csi, "fb": _share(pred_hit + pred_miss, truth_hit + truth_miss)}
+def contingency_scores(pred_hit: Column, pred_miss: Column, truth_hit: Column, truth_miss: Column, ieee: bool = False) -> dict[str, Column]:
+    """Detection, false alarms, critical success and bias of symmetric neighbourhood counts.
+
+    Shares of nothing are null, or with ``ieee`` what floating-point division gives: infinite, or NaN where both counts are zero.
+    """
+    pod, far = _share(truth_hit, truth_hit + truth_miss, ieee), _share(pred_miss, pred_hit + pred_miss, ieee)
+    csi = F.when(F.isnan(pod) | F.isnan(far), float("nan")).when((pod > 0) & (far < 1), 1 / (1 / pod + 1 / (1 - far) - 1)).when(pod.isNotNull() & far.isNotNull(), 0.0)
+    return {"pod": pod, "far": far, "csi": csi, "fb": _share(pred_hit + pred_miss, truth_hit + truth_miss, ieee)}

@@ -27,11 +27,11 @@ def contingency(truth: DataFrame, pred: DataFrame, keys: Sequence[str], dilation
     return both.select(*keys, F.lit(dilation).alias("dilation"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pred_hit", "pred_miss", "truth_hit", "truth_miss")])
 
 
-def scores(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pooled counts and their scores."""
+def scores(counts: DataFrame, keys: Sequence[str], ieee: bool = False) -> DataFrame:
+    """Pooled counts and their scores; shares of nothing are null, or with ``ieee`` infinite or NaN."""
     cs = ("pred_hit", "pred_miss", "truth_hit", "truth_miss")
     out = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cs])
-    return out.withColumns(contingency_scores(*[F.col(c) for c in cs]))
+    return out.withColumns(contingency_scores(*[F.col(c) for c in cs], ieee))
 
 
 def threshold_sweep(probs: DataFrame, truth: DataFrame, keys: Sequence[str], p: str, dilation: int, thresholds: int = 99) -> DataFrame:
