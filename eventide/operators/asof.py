@@ -65,26 +65,43 @@ def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_tim
     return filled.where("_l IS NOT NULL").select(*keys, "_l.*", *carry, f"{right_time}_before")
 
 
-def bracketed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, max_gap: float, out: str) -> DataFrame:
-    """Linear interpolation of a right series at the left times: exact hits as they are, nothing outside the series or across gaps wider than ``max_gap`` (units of the numeric times)."""
+def between(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str) -> DataFrame:
+    """The left rows with ``_t`` (their time) and the known right samples around it, ``_a`` (at or before) and ``_b`` (at or after), as structs of _t and _v.
+
+    One union and two windows, one in each direction, so that both frames only grow.
+    """
     l_cols = [c for c in left.columns if c not in keys]
     kind = "struct<" + ",".join(f"`{c}`:{t}" for c, t in left.dtypes if c in l_cols) + ">"
     a = left.select(*keys, F.col(left_time).cast("double").alias("_t"), F.struct(*l_cols).alias("_l"), F.lit(None).cast("double").alias("_v"))
     b = right.where(F.col(value).isNotNull()).select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(None).cast(kind).alias("_l"), F.col(value).cast("double").alias("_v"))
-    point = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
-    w = Window.partitionBy(*keys).orderBy("_t")
-    both = a.unionByName(b).withColumn("_p", point)
-    both = both.withColumn("_a", F.last("_p", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_p", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = a.unionByName(b).withColumn("_p", F.when(F.col("_v").isNotNull(), F.struct("_t", "_v")))
+    near = lambda order: F.last("_p", True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_a", near(F.asc("_t"))).withColumn("_b", near(F.desc("_t")))
+    return both.where("_l IS NOT NULL").select(*keys, "_l.*", "_t", "_a", "_b")
+
+
+def mixed_between(max_gap: float) -> Column:
+    """The linear mix of the samples of :func:`between`; null outside the series and across gaps wider than ``max_gap``."""
     t0, v0, t1, v1 = F.col("_a._t"), F.col("_a._v"), F.col("_b._t"), F.col("_b._v")
-    mix = F.when(t0 == t1, v0).when(t1 - t0 <= max_gap, v0 + (v1 - v0) * (F.col("_t") - t0) / (t1 - t0))
-    return both.where("_l IS NOT NULL").select(*keys, "_l.*", mix.alias(out))
+    return F.when(t0 == t1, v0).when(t1 - t0 <= max_gap, v0 + (v1 - v0) * (F.col("_t") - t0) / (t1 - t0))
 
 
-def interpolated_or_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, max_gap: int, tolerance: int, left_id: str, out: str) -> DataFrame:
-    """A right series at the left times: between two samples at most ``max_gap`` apart, else the nearest one within ``tolerance``."""
-    between = bracketed(left, right, keys, left_time, right_time, value, max_gap, "_mix")
-    both = nearest_within(between, right.where(F.col(value).isNotNull()), keys, left_time, right_time, tolerance, left_id, [value])
-    return both.withColumn(out, F.coalesce("_mix", value)).drop("_mix", value, right_time)
+def bracketed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, max_gap: float, out: str) -> DataFrame:
+    """Linear interpolation of a right series at the left times: exact hits as they are, nothing outside the series or across gaps wider than ``max_gap`` (units of the numeric times)."""
+    return between(left, right, keys, left_time, right_time, value).withColumn(out, mixed_between(max_gap)).drop("_t", "_a", "_b")
+
+
+def interpolated_or_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, max_gap: int, tolerance: int, out: str) -> DataFrame:
+    """A right series at the left times: between two samples at most ``max_gap`` apart, else the nearest one within ``tolerance`` (the earlier one of two equally near).
+
+    Of samples of one time the smallest value counts.
+    """
+    one = right.where(F.col(value).isNotNull()).groupBy(*keys, right_time).agg(F.min(value).alias(value))
+    before, after = F.col("_t") - F.col("_a._t"), F.col("_b._t") - F.col("_t")
+    early = before <= F.coalesce(after, F.lit(float("inf")))
+    nearest = F.when(early, F.when(before <= tolerance, F.col("_a._v"))).when(after <= tolerance, F.col("_b._v"))
+    found = between(left, one, keys, left_time, right_time, value)
+    return found.withColumn(out, F.coalesce(mixed_between(max_gap), nearest)).drop("_t", "_a", "_b")
 
 
 def fallback(df: DataFrame, sources: Sequence[tuple[str, DataFrame, Sequence[str], str]], out: str) -> DataFrame:

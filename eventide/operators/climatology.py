@@ -102,6 +102,5 @@ def cell_report(slots: DataFrame, samples: DataFrame, cell: Sequence[str], day:
 
     Between two samples close enough it is interpolated, at the edges the nearest sample within the tolerance stands in.
     """
-    marked = slots.withColumn("_id", F.concat_ws("|", *cell, day, "slot"))
-    found = interpolated_or_nearest(marked, samples, cell, time, sample_time, value, max_gap, tolerance, "_id", "_value")
+    found = interpolated_or_nearest(slots, samples, cell, time, sample_time, value, max_gap, tolerance, "_value")
     return found.groupBy(*cell, day).agg(*[F.max(F.when(F.col("slot") == k, F.col("_value"))).alias(f"{value}_{k}") for k in slot_numbers])
