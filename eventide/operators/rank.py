@@ -22,6 +22,8 @@ RANGES = 64
 ACCURACY = 20_000
 #: Even cuts of a part in later passes of a selection.
 EVEN = 256
+#: Every so many edges one is compared first.
+STEP = 16
 #: Equal values up to this number are put in order by one task each, more by running totals; and so many values of one key.
 SORTED = 200_000
 
@@ -115,21 +117,21 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return functools.reduce(lambda x, k: x & a[k].eqNullSafe(b[k]), keys, F.lit(True))
 
 
-def selected(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int) -> DataFrame:
+def selected(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int, few: bool = False) -> DataFrame:
     """(keys, _rank, _v): the values ``_v`` of ``rows`` (keys, _v) at the 0-based ranks ``asked`` (keys, _rank) of each key.
 
     A pass cuts the values of each part at approximate quantiles, counts what lies in each gap and on each cut, and goes on with the
     gaps that hold an asked rank: in the first pass cuts lie close around the asked fractions (``near``), later ones are even.  A
     rank on a cut, or at an end of a gap, is answered at once, so common values need no more passes.  It ends when no gap has
-    more than ``most`` rows; only these are sorted.
+    more than ``most`` rows; only these are sorted.  ``few`` tells that all keys fit into a broadcast, so that rows stay where they lie.
     """
-    answers, rest, targets = narrowed(rows, asked, keys, near, most)
+    answers, rest, targets = narrowed(rows, asked, keys, near, most, few)
     order = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
     placed = rest.withColumn("_place", order).alias("a").join(targets.alias("b"), functools.reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), [*keys, "_part"], F.col("a._place") == F.col("b._place")))
     return answers.unionByName(placed.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b._rank", "a._v"))
 
 
-def narrowed(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def narrowed(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Sequence[float], most: int, few: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, rest, targets): ranks answered on the way, the rows of the last gaps (keys, _part, _v), and the ranks sought there.
 
     No (keys, _part) of ``rest`` has more than ``most`` rows.
@@ -141,9 +143,11 @@ def narrowed(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Seque
     probes, accuracy, answers = list(near), ACCURACY, None
     while True:
         edges = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", probes, accuracy)).alias("_edges"))
-        cut = rows.alias("r").join(F.broadcast(edges).alias("e") if not keys and answers is None else edges.alias("e"), on("r", "e", own)).select(*[F.col(f"r.{k}").alias(k) for k in own], "_v", "_edges")
-        below = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-        cut = cut.withColumn("_below", below).withColumn("_gap", 2 * F.col("_below") + F.coalesce(F.get("_edges", F.col("_below")) == F.col("_v"), F.lit(False)).cast("int")).drop("_edges", "_below")
+        edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % STEP == STEP - 1))
+        cut = rows.alias("r").join(F.broadcast(edges).alias("e") if few or not keys and answers is None else edges.alias("e"), on("r", "e", own)).select(*[F.col(f"r.{k}").alias(k) for k in own], "_v", "_edges", "_coarse")
+        below = lambda e: F.size(F.filter(e, lambda x: x < F.col("_v")))  # noqa: E731  (first among every STEP-th edge, then among those that follow)
+        cut = cut.withColumn("_first", below("_coarse") * STEP).withColumn("_below", F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, STEP)))
+        cut = cut.withColumn("_gap", 2 * F.col("_below") + F.coalesce(F.get("_edges", F.col("_below")) == F.col("_v"), F.lit(False)).cast("int")).drop("_edges", "_coarse", "_first", "_below")
         gaps = cut.groupBy(*own, "_gap").agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         before = F.coalesce(F.sum("_m").over(Window.partitionBy(*own).orderBy("_gap").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         gaps = gaps.withColumn("_before", before)  # a few gaps for each part
@@ -181,32 +185,53 @@ def bin_markers(groups: DataFrame, keys: Sequence[str], value: str, bins: int) -
 def equal_count_bins(df: DataFrame, keys: Sequence[str], value: str, tie: str, bins: int, out: str = "bin") -> DataFrame:
     """Adds ``floor(rank0 * bins / n)`` by value, equal values by the ``tie`` column (a number, date or time).
 
-    Values whose rows all fall into one bin need no order among them.  The others are at most ``bins`` a key: where one has more
-    than ``SORTED`` rows, they are ranked by running totals over ``tie``, so that no task sorts a common value.  Where ``tie`` tells all rows apart, bins differ by
+    Values whose rows all fall into one bin need no order among them.  The others are at most ``bins`` a key: the ties at which bins begin inside
+    one are its order statistics, selected where it has more than ``SORTED`` rows, so that no task sorts a common value.  Where ``tie`` tells all rows apart, bins differ by
     at most one row; rows equal in both fall into one bin, rows without a ``tie`` first of their value; rows without a value go.
     """
-    groups = running_totals(value_groups(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, ["n"])
-    marks = written(bin_markers(groups, keys, value, bins), "bin-markers")
-    rows = count_below(df.where(F.col(value).isNotNull()), marks, keys, value, "_values", max(1, math.isqrt(bins)), "_below")
-    rows = rows.withColumns({"_own": F.get("_marks", F.col("_below")), "_last": F.get("_marks", F.col("_below") - 1)["last"]}).drop("_marks", "_values", "_below")
+    groups = written(running_totals(value_groups(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, ["n"]), "groups")
+    rows = df.where(F.col(value).isNotNull())
+    if groups.count() <= SORTED:  # few values: each row takes the bins of its own
+        first, last = F.floor(F.col("before_n") * bins / F.col("all_n")), F.floor((F.col("before_n") + F.col("n") - 1) * bins / F.col("all_n"))
+        on, last_mark = [*keys, value], F.lit(None).cast("long")
+        places = groups.select(*on, F.struct(F.col(value).alias("v"), first.alias("first"), last.alias("last"), "before_n", "n", "all_n").alias("_own"), last_mark.alias("_last"))
+    else:
+        marks = written(bin_markers(groups, keys, value, bins), "bin-markers")
+        rows = count_below(rows, marks.select(*keys, "_values"), keys, value, "_values", max(1, math.isqrt(bins)), "_spot").drop("_values")
+        # What a row needs of the marks around it: one small record for each place among them, not the whole array.
+        on, places = [*keys, "_spot"], marks.select(*keys, "_marks", F.explode(F.sequence(F.lit(0), F.size("_marks"))).alias("_spot"))
+        places = places.select(*on, F.get("_marks", F.col("_spot")).alias("_own"), F.get("_marks", F.col("_spot") - 1)["last"].alias("_last"))
     own = F.coalesce(F.col("_own.v") == F.col(value), F.lit(False))
     mixed = own & (F.col("_own.last") > F.col("_own.first"))
-    plain = rows.where(~mixed).withColumn(out, F.when(own, F.col("_own.first")).otherwise(F.col("_last")).cast("int"))
-    most = marks.select(F.explode("_marks").alias("m")).where("m.last > m.first").agg(F.max("m.n")).first()[0]  # rows of the most common such value
+    bin_ = F.when(own, F.col("_own.first")).otherwise(F.col("_last"))
+    common = places.where("_own.last > _own.first")
+    most = common.agg(F.max("_own.n")).first()[0]  # rows of the most common value in which a bin begins
     if most is None:
-        return plain.drop("_own", "_last")
-    ranked = within_ties(rows.where(mixed), [*keys, value], tie, most)
-    rank = F.col("_own.before_n") + F.col("_rank")
-    ranked = ranked.withColumn(out, F.floor(rank * bins / F.col("_own.all_n")).cast("int")).select(*plain.columns)
-    return plain.unionByName(ranked).drop("_own", "_last")
+        return rows.join(F.broadcast(places), on).withColumn(out, bin_.cast("int")).drop("_spot", "_own", "_last")
+    tied = rows.join(F.broadcast(places), on).where(mixed).select(*on, F.col(tie).alias("_v"))
+    places = places.join(tie_borders(tied, common, on, bins, most), on, "left")
+    place = F.col("_own.first") + F.when(F.col(tie).isNull(), 0).otherwise(F.col("_free") + F.size(F.filter("_borders", lambda b: b < F.col(tie))))
+    return rows.join(F.broadcast(places), on).withColumn(out, F.when(mixed, place).otherwise(bin_).cast("int")).drop("_spot", "_own", "_last", "_free", "_borders")
+
 
+def tie_borders(tied: DataFrame, mixed: DataFrame, on: Sequence[str], bins: int, most: int) -> DataFrame:
+    """(on, _borders, _free): where bins begin inside a common value.
 
-def within_ties(tied: DataFrame, group: Sequence[str], tie: str, most: int) -> DataFrame:
-    """Adds ``_rank``: how many rows of the group come before, rows without a ``tie`` first."""
+    ``tied`` (on, _v) holds the tie column of its rows, ``mixed`` (on, _own) the mark of each such value.  A row lies behind each border that its
+    tie exceeds, and any row with a tie behind ``_free`` more.  Only the rows around the borders are sorted, where a value has more than ``SORTED`` rows.
+    """
+    tied = written(tied, "tied")
+    sizes = tied.groupBy(*on).agg(F.count("_v").alias("_known"))
+    begins = F.explode(F.sequence(F.col("_own.first") + 1, F.col("_own.last"))).alias("_b")
+    borders = mixed.join(sizes, list(on)).select(*on, "_own", "_known", begins)
+    # The first rank of a bin, less one: the row before it, among those with a tie.
+    before = F.expr(f"(_b * _own.all_n + {bins - 1}) div {bins}") - F.col("_own.before_n") - 1 - (F.col("_own.n") - F.col("_known"))
+    borders = written(borders.select(*on, before.alias("_rank")), "borders")
+    asked, known = borders.where("_rank >= 0").distinct(), tied.where("_v IS NOT NULL")
     if most <= SORTED:
-        return tied.withColumn("_rank", F.rank().over(Window.partitionBy(*group).orderBy(F.col(tie).asc_nulls_first())) - 1)
-    ranks = running_totals(value_groups(tied, group, tie, {"n": F.count(F.lit(1))}), group, tie, ["n"]).select(*group, tie, F.col("before_n").alias("_place"))
-    unknown = tied.where(F.col(tie).isNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_unknown"))
-    ranked = tied.join(ranks, [*group, tie], "left").join(unknown, list(group), "left")
-    place = F.when(F.col("_place").isNull(), 0).otherwise(F.col("_place") + F.coalesce("_unknown", F.lit(0)))
-    return ranked.withColumn("_rank", place).drop("_place", "_unknown")
+        order = F.row_number().over(Window.partitionBy(*on).orderBy("_v")) - 1
+        found = known.withColumn("_rank", order.cast("long")).join(asked, [*on, "_rank"])
+    else:
+        found = selected(known, asked, on, [i / EVEN for i in range(1, EVEN)], SORTED, few=True)
+    per_value = borders.join(found.select(*on, "_rank", "_v"), [*on, "_rank"], "left").groupBy(*on)
+    return written(per_value.agg(F.collect_list("_v").alias("_borders"), F.count_if(F.col("_rank") < 0).alias("_free")), "tie-borders")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .rank import equal_count_bins, percentiles, running_totals, value_groups
 
 
@@ -90,7 +91,8 @@ def pooled_gini(per_bin: DataFrame) -> DataFrame:
 
 def event_rate_curve(df: DataFrame, value: str, flag: str, tie: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, bin, n, median, rate, se) over equal-count bins of the value."""
-    rows = equal_count_bins(df.where(f"`{value}` IS NOT NULL AND `{flag}` IS NOT NULL"), keys, value, tie, bins)
+    known = written(df.where(f"`{value}` IS NOT NULL AND `{flag}` IS NOT NULL").select(*keys, value, flag, tie), "values")
+    rows = written(equal_count_bins(known, keys, value, tie, bins).select(*keys, "bin", value, flag), "binned")  # read by every pass for the medians
     rates = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("int")).alias("rate"))
     out = rates.join(percentiles(rows, value, [0.5], [*keys, "bin"], "m"), [*keys, "bin"]).select(*keys, "bin", "n", F.col("m")[0].alias("median"), "rate")
     return out.withColumn("se", F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")))

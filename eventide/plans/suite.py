@@ -158,7 +158,8 @@ def tail_curves(df: DataFrame, scores: Mapping[str, str], target: str, levels: M
     percentile of the target over all rows that have one.  One ranking serves all levels of a score.  Bins without rows repeat the one before;
     without events ``cum_freq`` is null; rows without score or target take no part.
     """
-    known = df.where(F.col(target).isNotNull())
+    needed = dict.fromkeys([key, target, *scores.values()])
+    known = written(df.where(F.col(target).isNotNull()).select(*needed), "known")  # read by every pass of the ranking
     limits = {label: F.lit(float(at)) for label, at in levels.items()}
     if not absolute:  # one row, however long the table
         known = known.crossJoin(F.broadcast(percentiles(known, target, [at / 100 for at in levels.values()], out="_limits")))
