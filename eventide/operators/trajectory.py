@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from .rank import SORTED, running_totals, value_groups
 from .segments import neighbours, segmented, totals
 from .windows import path_length, residence_hours
 
+#: Points of a task that spreads them over cells.
+SPREAD = 50_000
+
 
 def apply_kernel(kernel: DataFrame, surface: DataFrame, receptor: Sequence[str], source: Sequence[str], weight: str, value: str, min_coverage: float = 0.0) -> DataFrame:
     """(receptor, value, coverage): weighted mean of a gappy surface, renormalised by the weight on known cells; null below the coverage."""
@@ -44,14 +48,29 @@ def resample(points: DataFrame, path: Sequence[str], time: str, values: Sequence
     return inner.unionByName(last)
 
 
-def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigma: str, mass: str, cell: float = 1.0, cut: float = 4.0) -> DataFrame:
+def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigma: str, mass: str, cell: float = 1.0, cut: float = 4.0, most: int = SPREAD) -> DataFrame:
     """(receptor, ilat, ilon, mass): each point's mass spread by a discrete two-dimensional Gaussian.
 
     Distances are in units of ``cell``; cells within ``cut`` sigma take part, weights are normalised per point so that
     mass is conserved, and a spread below half a cell puts all of it into the nearest cell.
+
+    Points go to the tasks by receptor before they multiply, about ``most`` a task; a receptor with more is spread over several, whose cells are
+    added afterwards.  So a task holds the cells of a bounded number of points, however long the table.
     """
+    points = written(points.select(*receptor, lat, lon, sigma, mass), "points")
+    own = [*receptor, "_share"]
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // most))
+    large = points.groupBy(*receptor).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    large = written(large.select(*[F.col(c).alias(f"_large_{c}") for c in receptor], "_n"), "large")
+    if large.isEmpty():
+        points = points.withColumn("_share", F.lit(0).cast("long"))
+    else:  # few: each has more than ``most`` points
+        same = reduce(lambda on, c: on & F.col(c).eqNullSafe(F.col(f"_large_{c}")), receptor, F.lit(True))
+        share = F.pmod(F.xxhash64(lat, lon, sigma, mass, F.monotonically_increasing_id()), F.ceil(F.col("_n") / most))
+        points = points.join(F.broadcast(large), same, "left").select(*points.columns, F.coalesce(share, F.lit(0)).alias("_share"))
+    points = points.repartition(parts, *own)
     reach = F.when(F.col(sigma) < cell / 2, 0).otherwise(F.ceil(F.col(sigma) * cut / cell)).cast("int")
-    p = points.select(*receptor, lat, lon, F.col(sigma).alias("_s"), F.col(mass).alias("_m"), reach.alias("_r"), F.rint(F.col(lat) / cell).cast("int").alias("_i"), F.rint(F.col(lon) / cell).cast("int").alias("_j"))
+    p = points.select(*own, lat, lon, F.col(sigma).alias("_s"), F.col(mass).alias("_m"), reach.alias("_r"), F.rint(F.col(lat) / cell).cast("int").alias("_i"), F.rint(F.col(lon) / cell).cast("int").alias("_j"))
     # Row by row of cells: only the span of columns that the circle covers is made, a little wider for rounding, then tested.
     away = lambda i: i * cell - F.col(lat)
     half = lambda i: F.sqrt(F.greatest(F.pow(F.col("_s") * cut, 2) - F.pow(away(i), 2), F.lit(0.0))) * (1 + 1e-9) / cell + 1e-9
@@ -66,8 +85,9 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
     rows = F.filter(F.sequence(F.col("_i") - F.col("_r"), F.col("_i") + F.col("_r")), lambda i: (F.col("_r") == 0) | (F.abs(away(i)) <= F.col("_s") * cut))
     p = p.withColumn("_c", F.flatten(F.transform(rows, cells)))
     p = p.withColumn("_t", F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["w"]))
-    flat = p.select(*receptor, "_m", "_t", F.explode(F.filter("_c", lambda c: c["w"] > 0)).alias("c"))
-    return flat.groupBy(*receptor, "c.ilat", "c.ilon").agg(F.sum(F.col("_m") * F.col("c.w") / F.col("_t")).alias("mass"))
+    flat = p.select(*own, "_m", "_t", F.explode(F.filter("_c", lambda c: c["w"] > 0)).alias("c"))
+    found = flat.groupBy(*own, "c.ilat", "c.ilon").agg(F.sum(F.col("_m") * F.col("c.w") / F.col("_t")).alias("mass"))
+    return found.drop("_share") if large.isEmpty() else found.repartition(parts, *receptor, "ilat", "ilon").groupBy(*receptor, "ilat", "ilon").agg(F.sum("mass").alias("mass"))
 
 
 def containment(members: DataFrame, group: Sequence[str], x: str, y: str, share: float = 0.9, fewest: int = 20) -> DataFrame:
