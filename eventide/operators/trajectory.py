@@ -58,15 +58,14 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
     added afterwards.  So a task holds the cells of a bounded number of points, however long the table.
     """
     points = written(points.select(*receptor, lat, lon, sigma, mass), "points")
-    own = [*receptor, "_share"]
     parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // most))
     large = points.groupBy(*receptor).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     large = written(large.select(*[F.col(c).alias(f"_large_{c}") for c in receptor], "_n"), "large")
-    if large.isEmpty():
-        points = points.withColumn("_share", F.lit(0).cast("long"))
-    else:  # few: each has more than ``most`` points
+    own, spread = list(receptor), not large.isEmpty()
+    if spread:  # few: each has more than ``most`` points
         same = reduce(lambda on, c: on & F.col(c).eqNullSafe(F.col(f"_large_{c}")), receptor, F.lit(True))
         share = F.pmod(F.xxhash64(lat, lon, sigma, mass, F.monotonically_increasing_id()), F.ceil(F.col("_n") / most))
+        own = [*receptor, "_share"]
         points = points.join(F.broadcast(large), same, "left").select(*points.columns, F.coalesce(share, F.lit(0)).alias("_share"))
     points = points.repartition(parts, *own)
     reach = F.when(F.col(sigma) < cell / 2, 0).otherwise(F.ceil(F.col(sigma) * cut / cell)).cast("int")
@@ -87,7 +86,7 @@ def deposit(points: DataFrame, receptor: Sequence[str], lat: str, lon: str, sigm
     p = p.withColumn("_t", F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["w"]))
     flat = p.select(*own, "_m", "_t", F.explode(F.filter("_c", lambda c: c["w"] > 0)).alias("c"))
     found = flat.groupBy(*own, "c.ilat", "c.ilon").agg(F.sum(F.col("_m") * F.col("c.w") / F.col("_t")).alias("mass"))
-    return found.drop("_share") if large.isEmpty() else found.repartition(parts, *receptor, "ilat", "ilon").groupBy(*receptor, "ilat", "ilon").agg(F.sum("mass").alias("mass"))
+    return found if not spread else found.repartition(parts, *receptor, "ilat", "ilon").groupBy(*receptor, "ilat", "ilon").agg(F.sum("mass").alias("mass"))
 
 
 def containment(members: DataFrame, group: Sequence[str], x: str, y: str, share: float = 0.9, fewest: int = 20) -> DataFrame:
