@@ -6,14 +6,15 @@ so many tests run side by side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import equal_count_bins, running_totals, value_groups
+from ..sources.scratch import written
+from .rank import equal_count_bins, places, running_totals, value_groups
 
 RESULT = "n long, n_events long, gini double, ci_lo double, ci_hi double, p double, se_naive double, se_block double, inflation double, n_days int"
 
@@ -147,11 +148,37 @@ def counts_bootstrap(counts: DataFrame, keys: Sequence[str], day: str, columns:
     return pooled.withColumn("_s", score).groupBy(*keys).agg(F.percentile("_s", 0.025).alias("ci_lo"), F.percentile("_s", 0.975).alias("ci_hi"))
 
 
+def with_others(df: DataFrame, columns: Sequence[str], key: str, seed: int, salts: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_<column>``: the columns of the row that one permutation of all rows (or inside groups) puts in each row's place.
+
+    Places by a seeded hash are matched to places by key, both with the groups first, so that groups of equal size meet.
+    All columns share the permutation.  Null keys go last in both.
+    """
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    groups = [F.col(s).asc_nulls_first() for s in salts]
+    own = places(df, [*groups, F.col(key).asc_nulls_last()], "_place")
+    hashed = df.select(*salts, key, *[F.col(c).alias(f"_{c}") for c in columns], h.alias("_h"))
+    others = places(hashed, [*groups, F.col("_h").asc_nulls_last(), F.col(key).asc_nulls_last()], "_place")
+    return own.join(others.select("_place", *[f"_{c}" for c in columns]), "_place").drop("_place")
+
+
 def permuted(df: DataFrame, column: str, key: str, seed: int, salts: Sequence[str] = ()) -> DataFrame:
-    """One column permuted over all rows (or inside groups): ranks by a seeded hash are matched to ranks by key."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    a = running_totals(value_groups(df.select(*salts, key), salts, key, {"n": F.count(F.lit(1))}), salts, key, ["n"]).select(*salts, key, F.col("before_n").alias("_r"))
-    hashed = df.select(*salts, F.col(column), h.alias("_h"))
-    b = running_totals(hashed.groupBy(*salts, "_h").agg(F.first(column).alias(column), F.count(F.lit(1)).alias("n")), salts, "_h", ["n"]).select(*salts, F.col(column).alias(f"_{column}"), F.col("before_n").alias("_r"))
-    swapped = a.join(b, [*salts, "_r"]).select(*salts, key, f"_{column}")
-    return df.join(swapped, [*salts, key]).withColumn(column, F.col(f"_{column}")).drop(f"_{column}")
+    """One column permuted over all rows (or inside groups), see :func:`with_others`."""
+    return with_others(df, [column], key, seed, salts).withColumn(column, F.col(f"_{column}")).drop(f"_{column}")
+
+
+def permutation_importance(df: DataFrame, columns: Sequence[str], score: Callable[[dict[str, Column]], Column], flag: str, key: str, seed: int) -> DataFrame:
+    """(permuted, n, n_events, gini): Gini of a score of the columns as they are ("none"), and with each of them permuted over the rows.
+
+    Rows are permuted once for all columns, and all scores are summed per distinct value in one pass; each name has a row, without scores too.
+    """
+    from .skill import gini_of_groups
+
+    names = ["none", *columns]
+    scores = [F.struct(F.lit(n).alias("permuted"), score({c: F.col(f"_{c}" if c == n else c) for c in columns}).alias("score")) for n in names]
+    rows = with_others(df.select(key, flag, *columns), columns, key, seed).where(F.col(flag).isNotNull())
+    stacked = rows.select(flag, F.explode(F.array(*scores)).alias("_s")).select(flag, "_s.*")
+    groups = value_groups(stacked, ["permuted"], "score", {"n": F.count(F.lit(1)), "e": F.count_if(F.col(flag))})
+    found = gini_of_groups(written(groups, "scores"), ["permuted"], "score", few=True)
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "permuted string")
+    return every.join(F.broadcast(found), "permuted", "left")

@@ -33,26 +33,27 @@ def value_groups(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def count_below(df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str, column: str, step: int, out: str) -> DataFrame:
+def count_below(df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str, column: str, step: int, out: str, few: bool = False) -> DataFrame:
     """Joins ``edges`` (keys, a sorted array of bounded length) and adds the number of its numbers below the value.
 
-    They are counted first among every step-th number, then among the step numbers that follow.
+    They are counted first among every step-th number, then among the step numbers that follow.  ``few`` tells that all keys fit
+    into a broadcast, so that rows stay where they lie.
     """
     edges = edges.withColumn("_coarse", F.filter(column, lambda _, i: i % step == step - 1))
-    df = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
+    df = df.join(F.broadcast(edges) if few else edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))
     below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
     df = df.withColumn("_first", below("_coarse") * step)
     return df.withColumn(out, F.col("_first") + below(F.slice(column, F.col("_first") + 1, step))).drop("_coarse", "_first")
 
 
-def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Adds ``before_<s>`` (sum over smaller values) and ``all_<s>`` (sum over all) for each column in ``sums``."""
+def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], ranges: int | None = None, few: bool = False) -> DataFrame:
+    """Adds ``before_<s>`` (sum over smaller values) and ``all_<s>`` (sum over all) for each column in ``sums``; ``few`` as in :func:`count_below`."""
     ranges = ranges or max(RANGES, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts, step = [i / ranges for i in range(1, ranges)], math.isqrt(ranges)
     # The condition always holds; naming all sums keeps this branch's shuffle the same as the other's, so it runs once.
     named = F.when(sum((F.col(s).cast("double") for s in sums), F.lit(0.0)) > -1e308, F.col(value))
     edges = groups.groupBy(*keys).agg(F.percentile_approx(named, cuts, 20 * ranges).alias("_edges"))
-    cut = count_below(groups, edges, keys, value, "_edges", step, "_range").drop("_edges")
+    cut = count_below(groups, edges, keys, value, "_edges", step, "_range", few).drop("_edges")
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -64,6 +65,19 @@ def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Seq
     return out.drop("_range", *[f"_o_{s}" for s in sums])
 
 
+def places(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """Adds the 0-based place of each row in ``order``, rows that are equal in it one after another; every row is kept.
+
+    Rows are sorted in ranges and written with their place inside their range; the sizes of the earlier ranges (one row each) are added.
+    """
+    ranged = written(df.sort(*order).withColumn("_id", F.monotonically_increasing_id()), "places")
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)  # number of the range, row inside it
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_part", earlier.alias("_before")))
+    return ranged.withColumn("_part", part).join(offsets, "_part").withColumn(out, F.col("_before") + inside).drop("_id", "_part", "_before")
+
+
 def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "pct_rank") -> DataFrame:
     """Adds the average rank of ``value`` over the count of values (ties share their mean rank); null stays null."""
     ranked = running_totals(value_groups(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, ["n"])

@@ -15,13 +15,13 @@ from ..sources.scratch import written
 from .rank import equal_count_bins, percentiles, running_totals, value_groups
 
 
-def gini_of_groups(groups: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, n, n_events, gini) from (keys, value, n, e); null without events.
+def gini_of_groups(groups: DataFrame, keys: Sequence[str], value: str, few: bool = False) -> DataFrame:
+    """(keys, n, n_events, gini) from (keys, value, n, e); null without events; ``few`` as in :func:`running_totals`.
 
     Gini is twice the area between the diagonal and the capture curve of rows sorted by value:
     ``1 - 2 / (N E) * sum n_i (E_before_i + e_i / 2)``.
     """
-    r = running_totals(groups, keys, value, ["n", "e"])
+    r = running_totals(groups, keys, value, ["n", "e"], few=few)
     area = F.sum(F.col("n") * (F.col("before_e") + F.col("e") / 2))
     out = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("e").alias("n_events"), area.alias("_a"))
     return out.select(*keys, "n", "n_events", F.when(F.col("n_events") > 0, 1 - 2 * F.col("_a") / (F.col("n") * F.col("n_events"))).alias("gini"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..catalog import also, query
 from ..functions import physics as phys
 from ..operators import climatology as clim
-from ..operators import gapfill, inference, trajectory, windows
+from ..operators import gapfill, inference, thresholds, trajectory, windows
+from ..sources.scratch import written
 from .frames import CELLS, DAILY, ROWS, cells, daily, rows
 from .q_screens import PATH, paths
 from .q_skill import FLAGGED, flagged
@@ -68,15 +69,11 @@ m AS (SELECT a.flag, a.predictor, a.control, b.predictor AS other_predictor, b.c
 {permuted_gini("none", "predictor", "control")} UNION ALL {permuted_gini("predictor", "other_predictor", "control")} UNION ALL {permuted_gini("control", "predictor", "other_control")}""")
 def permutation(spark, sf_dir):
     """Loss of Gini when a column is permuted over the rows."""
-    from ..operators import skill
-
-    df = flagged(spark, sf_dir).select("event_id", "predictor", "control", "flag")
-    score = F.col("predictor") * (1 + F.col("control") / 50)
-    out = []
-    for name in ("none", "predictor", "control"):
-        p = df if name == "none" else inference.permuted(df, name, "event_id", 11)
-        out.append(skill.gini(p.withColumn("score", score), "score", "flag").withColumn("permuted", F.lit(name)))
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("permuted", "n", "n_events", F.round("gini", 6).alias("gini"))
+    df = written(rows(spark, sf_dir).select("event_id", "predictor", "control", "target"), "rows")  # read by every pass for the threshold
+    (t,) = thresholds.percentile_thresholds(df, "target", [90])
+    df = df.withColumn("flag", thresholds.exceeds("target", t))
+    out = inference.permutation_importance(df, ["predictor", "control"], lambda c: c["predictor"] * (1 + c["control"] / 50), "flag", "event_id", 11)
+    return out.select("permuted", "n", "n_events", F.round("gini", 6).alias("gini"))
 
 
 HARMONIC = "2 * pi() / 365.25 * dayofyear(day)"
