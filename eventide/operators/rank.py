@@ -157,7 +157,8 @@ def narrowed(rows: DataFrame, asked: DataFrame, keys: Sequence[str], near: Seque
     probes, accuracy, answers = list(near), ACCURACY, None
     while True:
         edges = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", probes, accuracy)).alias("_edges"))
-        edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % STEP == STEP - 1))
+        # Written: approximate quantiles depend on the order in which parts arrive, and the rows that go on must lie in the gaps that were counted.
+        edges = written(edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % STEP == STEP - 1)), "edges")
         cut = rows.alias("r").join(F.broadcast(edges).alias("e") if few or not keys and answers is None else edges.alias("e"), on("r", "e", own)).select(*[F.col(f"r.{k}").alias(k) for k in own], "_v", "_edges", "_coarse")
         below = lambda e: F.size(F.filter(e, lambda x: x < F.col("_v")))  # noqa: E731  (first among every STEP-th edge, then among those that follow)
         cut = cut.withColumn("_first", below("_coarse") * STEP).withColumn("_below", F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, STEP)))
