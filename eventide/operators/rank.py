@@ -53,7 +53,8 @@ def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Seq
     # The condition always holds; naming all sums keeps this branch's shuffle the same as the other's, so it runs once.
     named = F.when(sum((F.col(s).cast("double") for s in sums), F.lit(0.0)) > -1e308, F.col(value))
     edges = groups.groupBy(*keys).agg(F.percentile_approx(named, cuts, 20 * ranges).alias("_edges"))
-    cut = count_below(groups, edges, keys, value, "_edges", step, "_range", few).drop("_edges")
+    # Written: edges computed anew may differ, and the totals must be those of the rows that a range holds.
+    cut = written(count_below(groups, edges, keys, value, "_edges", step, "_range", few).drop("_edges"), "ranges")
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
