@@ -60,7 +60,7 @@ def running_totals(groups: DataFrame, keys: Sequence[str], value: str, sums: Seq
     whole = Window.partitionBy(*keys)
     offsets = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(order), F.lit(0)).alias(f"_o_{s}") for s in sums], *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums])
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(offsets, [*keys, "_range"])
+    out = cut.repartition(*keys, "_range").join(offsets, [*keys, "_range"])  # as the windows need them, whatever the join
     for s in sums:
         out = out.withColumn(f"before_{s}", F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_o_{s}"))
     return out.drop("_range", *[f"_o_{s}" for s in sums])
